@@ -1,2 +1,92 @@
-def queries():
-    return {}
+"""Statement pages as lines with places: header, rows and columns. A PDF reader is pluggable; it
+gives (page, block, line_y, x, text), one row for each line of text."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .normalize import DATE
+
+
+def fixture(spark: SparkSession, pages: int = 40, rows: int = 12) -> DataFrame:
+    """Pages of a statement: a title, a header on the first page, then rows of five columns."""
+    base = spark.range(pages).select((F.col("id") + 1).cast("int").alias("page"))
+    heads = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(t).alias("text")) for x, t in ((10, "Date"), (80, "Narration"), (250, "Withdrawal"), (350, "Deposit"), (450, "Balance"))])
+    title = base.select("page", F.lit(0).alias("block"), F.lit(5.0).alias("line_y"), F.lit(10.0).alias("x"), F.lit("Statement of account").alias("text"))
+    header = base.filter("page = 1").select("page", F.lit(1).alias("block"), F.lit(40.0).alias("line_y"), F.explode(heads).alias("h")).select("page", "block", "line_y", F.col("h.x").cast("double").alias("x"), "h.text")
+    row = base.select("page", F.explode(F.sequence(F.lit(1), F.lit(rows))).alias("r"))
+    n = F.col("page") * 100 + F.col("r")
+    cells = F.array(
+        F.struct(F.lit(10).alias("x"), F.format_string("%02d/%02d/2024", F.col("r") + 10, F.col("page") % 12 + 1).alias("text")), F.struct(F.lit(80).alias("x"), F.concat(F.lit("Payment "), n.cast("string")).alias("text")),
+        F.struct(F.when(F.col("r") % 3 == 0, F.lit(350)).otherwise(F.lit(250)).alias("x"), F.concat(n.cast("string"), F.lit(".00")).alias("text")), F.struct(F.lit(450).alias("x"), F.concat((n * 10).cast("string"), F.lit(".00")).alias("text")))
+    body = row.select("page", (F.col("r") + 1).alias("block"), (F.col("r") * 12 + 50).cast("double").alias("line_y"), F.explode(cells).alias("c")).select("page", "block", "line_y", F.col("c.x").cast("double").alias("x"), "c.text")
+    more = row.filter("r % 4 = 0").select("page", (F.col("r") + 1).alias("block"), (F.col("r") * 12 + 56).cast("double").alias("line_y"), F.lit(80.0).alias("x"), F.lit("ref continued").alias("text"))
+    return title.unionByName(header).unionByName(body).unionByName(more)
+
+
+def is_date(x: Column) -> Column:
+    return F.trim(x).rlike(DATE)
+
+
+def headers(lines: DataFrame) -> DataFrame:
+    """SRC2: lines within two units of height are one; a page's anchor is the one with most lines,
+    five at least, with a column named date."""
+    rows = lines.withColumn("band", F.floor(F.col("line_y") / 2))
+    bands = rows.groupBy("page", "band").agg(F.count("*").alias("n"), F.max(F.lower("text").rlike(r"\bdate\b")).alias("dated"), F.min("line_y").alias("header_y"), F.sort_array(F.collect_list(F.struct("x", "text"))).alias("columns"))
+    best = bands.filter((F.col("n") >= 5) & F.col("dated")).withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("n"), "band")))
+    return best.filter("place = 1").select("page", "header_y", "columns")
+
+
+def body(lines: DataFrame) -> DataFrame:
+    """SRC3, SRC4: lines below the page's header in reading order; a page without one starts at its
+    first date-looking line."""
+    first = lines.filter(is_date(F.col("text"))).groupBy("page").agg(F.min("line_y").alias("first_y"))
+    out = lines.join(headers(lines).select("page", "header_y"), "page", "left").join(first, "page", "left")
+    return out.filter(F.col("line_y") > F.coalesce("header_y", F.col("first_y") - 0.5, F.lit(-1.0))).select("page", "block", "line_y", "x", "text")
+
+
+def rows_of(lines: DataFrame) -> DataFrame:
+    """SRC5, SRC6: a date opens a row; a line belongs to the last column that starts at or before
+    it, by the page's header or the last one before it."""
+    order = Window.partitionBy("page").orderBy("line_y", "x", "text")
+    numbered = body(lines).withColumn("row_no", F.sum(is_date(F.col("text")).cast("int")).over(order)).filter("row_no > 0")
+    head = headers(lines).select(F.col("page").alias("from_page"), "columns")
+    spans = head.withColumn("until", F.coalesce(F.lead("from_page").over(Window.orderBy("from_page")), F.lit(1 << 30)))
+    at = numbered.join(F.broadcast(spans), (F.col("page") >= F.col("from_page")) & (F.col("page") < F.col("until")))
+    left = F.filter("columns", lambda c: c["x"] <= F.col("x") + 2)
+    named = at.withColumn("column", F.coalesce(F.try_element_at(left, F.lit(-1)), F.element_at("columns", 1))["text"])
+    cells = named.groupBy("page", "row_no", "column").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("line_y", "x", "text"))), lambda c: c["text"])).alias("value"))
+    return cells.groupBy("page", "row_no").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("column", "value")))).alias("cells"))
+
+
+#: NRM1: canonical names of columns by the words their headers may hold; a pluggable stand-in.
+SYNONYMS = {"date": "date", "description": "narration|description|particulars|details", "debit": "withdrawal|debit|paid out", "credit": "deposit|credit|paid in", "balance": "balance"}
+
+
+def renamed(rows: DataFrame, synonyms: dict[str, str] | None = None) -> DataFrame:
+    """NRM1, NRM2: cells under their canonical names; unmapped ones go."""
+
+    def under(words: str) -> Column:
+        found = F.map_filter("cells", lambda k, _: F.lower(k).rlike(words))
+        return F.try_element_at(F.map_values(found), F.lit(1))
+
+    return rows.select("page", "row_no", *[under(words).alias(name) for name, words in (synonyms or SYNONYMS).items()])
+
+
+def src2_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headers(fixture(spark)).select("page", "header_y", F.concat_ws("|", F.col("columns.text")).alias("columns"))
+
+
+def src5_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return renamed(rows_of(fixture(spark)))
+
+
+def src7_image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC7: under fifty characters of text in all means a scanned image."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", (F.length(F.regexp_replace("html", "<[^>]*>|\\s", "")) < 50).alias("is_image"))
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (src2_headers, src5_rows, src7_image_pages)}
