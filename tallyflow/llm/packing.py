@@ -23,29 +23,57 @@ from pyspark.sql import types as T
 from .scratch import partitions, written
 
 BLANKS = re.compile(r"[\t\n\x0b\x0c\r]")
+#: Latin letters, then marks that never join them in a token.
+LETTERS_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,*&%$#:;!?()|-]*)")
 
 
 class ChunkTokenizer:
     """Ids of whole texts. The vocabulary drops white space and no token spans it, so the ids
-    of a text are those of its chunks between blanks; frequent chunks are kept as bytes."""
+    of a text are those of its chunks between blanks. Letters and the marks after them are
+    tokens of their own and case doesn't count, so a chunk's ids are those of its lower-cased
+    letters and of its marks. What is known stays for the worker's later tasks, up to ``keep``
+    chunks and as many parts."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {"": b""}
+        self.tokenizer, self.keep = tokenizers.Tokenizer.from_file(path), keep
+        held = tokenizers.__dict__.setdefault("_tallyflow_known", {})
+        self.known, self.parts = held.setdefault(path, ({"": b""}, {"": b""}))
+        to_bytes = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {k: to_bytes.pre_tokenize_str(chr(k))[0][0] for k in [*range(33, 127), *range(0xC0, 0x250)]}
+        # the shortcuts hold for lower-casing byte-level vocabularies that drop white space
+        probe = "Abc,  déf\nGhi!! x"
+        self.apart = self._whole(probe) == b"".join(self._part(x) for x in ("abc", ",", "déf", "ghi", "!!", "x"))
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """A token's ids without the steps before the merges: it is normal and one piece already."""
+        return np.asarray([t.id for t in self.tokenizer.model.tokenize(part.translate(self.spelled))], "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.apart:
+            return [self._whole(t) for t in texts]
         split = [BLANKS.sub(" ", t).split(" ") for t in texts]
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
-            known[""] = b""
-        new = list({c for chunks in split for c in chunks if c not in known})
-        if new:
-            for chunk, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[chunk] = np.asarray(e.ids, "<u4").tobytes()
+        known, parts = self.known, self.parts
+        for held in (known, parts):
+            if len(held) > self.keep:
+                held.clear()
+                held[""] = b""
+        for c in {c for chunks in split for c in chunks if c not in known}:
+            m = LETTERS_MARKS.fullmatch(c)
+            if m:
+                letters, marks = m[1].lower(), m[2]
+                for x in (letters, marks):
+                    if x not in parts:
+                        parts[x] = self._part(x)
+                known[c] = parts[letters] + parts[marks]
+            else:
+                known[c] = self._whole(c)
         return [b"".join([known[c] for c in chunks]) for chunks in split]
 
 
