@@ -54,12 +54,12 @@ def edits_within(a: list[int], b: list[int], most: int) -> bool:
             if d == 0:
                 i = 0
             else:
-                i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
+                i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2) + 1, reach.get(k + 1, -2))
                 if i < 0:
                     continue
-            i = min(i, n, m + k if k < 0 else n)
+            i = min(i, n, m + k)
             j = i - k
-            if j < 0 or j > m:
+            if i < 0 or j < 0:
                 continue
             while i < n and j < m and a[i] == b[j]:
                 i += 1
