@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -18,14 +19,21 @@ def shared_folder(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back; a lost executor costs nothing before it."""
+def written(df: DataFrame, name: str, partition_by: str | None = None, free: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back; a lost executor costs nothing before it.
+
+    ``free`` has the driver collect its garbage afterwards, upon which Spark deletes the shuffle
+    files that only this write needed.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -188,8 +188,8 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(found.keys[hot].view(np.int64)), pa.array([body[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()), pa.array(node[part.first + row]), pa.array(d[part.first + row]), pa.array((lo - part.off[row]).astype(np.int32))], ["anchor", "seg", "_node", "_d", "at"])
 
-    held = written(spoken.select("_node", "_d", "text").mapInArrow(segments, "anchor long, seg binary, _node long, _d long, at int"), "byte-segments")
-    distinct = written(held.groupBy("anchor", "seg").agg(F.min("_d").alias("least"), F.max("_d").alias("most")), "byte-distinct")
+    held = written(spoken.select("_node", "_d", "text").mapInArrow(segments, "anchor long, seg binary, _node long, _d long, at int"), "byte-segments", free=True)
+    distinct = written(held.groupBy("anchor", "seg").agg(F.min("_d").alias("least"), F.max("_d").alias("most")), "byte-distinct", free=True)
     real = distinct.groupBy("anchor").agg(F.min("least").alias("a"), F.max("most").alias("b")).filter("a < b").select("anchor")
     able = distinct.join(real, "anchor").select("anchor", "seg", "least")
 
@@ -219,11 +219,11 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
             yield out()
 
     sorted_ = able.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
-    owned = written(sorted_.mapInArrow(owners, "anchor long, seg binary, owner array<long>"), "byte-owners")
+    owned = written(sorted_.mapInArrow(owners, "anchor long, seg binary, owner array<long>"), "byte-owners", free=True)
     gone = F.filter(F.transform("owner", lambda x, i: F.when(x < F.col("_d"), F.col("at") + i)), lambda x: x.isNotNull())
     hits = held.join(owned, ["anchor", "seg"]).select("_node", gone.alias("_at")).filter(F.size("_at") > 0)
     hits = hits.groupBy("_node").agg(F.flatten(F.collect_list("_at")).alias("_at"))
-    spans = written(hits.join(copies, "_node", "full"), "byte-spans")
+    spans = written(hits.join(copies, "_node", "full"), "byte-spans", free=True)
     tagged = plain.join(spans, "_node", "left").withColumn("_all", F.coalesce(F.col("_first") < F.col("_d"), F.lit(False))).select(*[c for c in plain.columns if c not in ("_node", "_d")], "_at", "_all")
     text = tagged.columns.index("text")
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
