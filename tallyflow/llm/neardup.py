@@ -109,7 +109,7 @@ def components(links: DataFrame) -> DataFrame:
         state = state.select("node", "comp")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 12, size: int = 3, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 12, size: int = 3, rounds: int = 2) -> DataFrame:
     """Add class_id and n_links to every row, replacing columns of these names.
 
     Two texts are linked if the Jaccard similarity of their sets of k-word shingles and their
@@ -121,8 +121,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
 
     Candidates agree on a band: an order MinHash of ``size`` k-mers. In each bucket all members
     meet one leader; in further rounds a member still outside its component leads and meets all
-    those outside its own. So a round costs a bucket as many pairs as it has members. At similarity 0.8 a pair shares
-    no bucket at all with a probability of about (1 - 0.8**size)**bands, 0.0002.
+    those outside its own. So a round costs a bucket as many pairs as it has members. What the
+    ``rounds`` leave apart is settled by ``_apart``, so every link between texts that share a
+    bucket is found or implied by others. At similarity 0.8 a pair shares no bucket at all with a
+    probability of about (1 - 0.8**size)**bands, 0.0002.
     """
     plain = docs.drop("class_id", "n_links", "_node").withColumn("_node", F.xxhash64("text"))
     sure = plain.filter(F.col("text").isNotNull())
@@ -135,18 +137,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
                 starts, ends, words = word_bounds(part)
                 hashes = word_hashes(part, starts, ends, powers)
                 grams = rolling(hashes, k, powers)
-                rows, keys = [], []
+                rows, keys, counts = [], [], []
                 for i, (lo, hi) in enumerate(zip(words[:-1], words[1:], strict=True)):
                     if hi > lo:
                         rows.append(part.first + i)
-                        keys.append(order_sketch(grams[lo : hi - k + 1] if hi - lo >= k else shingles(hashes[lo:hi], k, powers), seeds, size))
+                        own = grams[lo : hi - k + 1] if hi - lo >= k else shingles(hashes[lo:hi], k, powers)
+                        keys.append(order_sketch(own, seeds, size))
+                        counts.append(len(np.unique(own)))
                 if rows:
                     flat = pa.array(np.concatenate(keys).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * bands), flat)], ["node", "keys"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * bands), flat), pa.array(counts, pa.int32())], ["node", "keys", "n"])
 
     # one text speaks for its copies
-    drawn = sure.select("_node", "text").mapInArrow(sketch, "node long, keys array<long>").groupBy("node").agg(F.first("keys").alias("keys"))
-    held = written(drawn.select("node", F.posexplode("keys").alias("band", "key")), "omh-bands")
+    drawn = sure.select("_node", "text").mapInArrow(sketch, "node long, keys array<long>, n int").groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n"))
+    held = written(drawn.select("node", "n", F.posexplode("keys").alias("band", "key")), "omh-bands")
     firsts = written(sure.groupBy("_node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "omh-texts")
     links = pairs = labels = None
     open_ = held
@@ -178,6 +182,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
         led = written(led.select("band", "key", F.coalesce("comp", "leader").alias("led")), "omh-led")
         open_ = open_.join(led, ["band", "key"]).join(labels, "node", "left").filter(F.coalesce("comp", "node") != F.col("led"))
         open_ = written(open_.select("node", "band", "key"), "omh-open")
+    new = _apart(held, labels, least)
+    new = written(new if pairs is None else new.join(pairs, ["x", "y"], "left_anti"), "omh-pairs")
+    if new.limit(1).count():
+        good = written(_verified(new, sure, firsts, k, least), "omh-links")
+        links = good if links is None else links.unionByName(good)
+        labels = components(links)
     if links is None:
         each = firsts.select("_node", F.col("first").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     else:
@@ -193,6 +203,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
     return out.select(*[c for c in plain.columns if c != "_node"], "class_id", "n_links")
 
 
+def _apart(held: DataFrame, labels: DataFrame | None, least: float) -> DataFrame:
+    """Pairs of texts (x, y) that share a bucket and lie in different components, less those
+    whose numbers of shingles rule out a similarity of ``least``.
+
+    Every member outside its bucket's largest component meets the members of all others, so a
+    bucket of one large component and a few strangers costs their product, not its square.
+    """
+    if labels is None:
+        own = held.withColumn("comp", F.col("node"))
+    else:
+        own = held.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = own.groupBy("band", "key", "comp").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy("band", "key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("parts"))
+    own = written(own.join(mixed.filter("parts > 1"), ["band", "key"]).select("band", "key", "node", "n", "comp", "main"), "omh-mixed")
+    out = own.filter("comp != main").select("band", "key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
+    both = out.join(own, ["band", "key"]).filter((F.col("ac") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("node"))))
+    both = both.filter(F.least("an", "n") >= F.lit(least) * F.greatest("an", "n"))
+    return both.select(F.least("a", "node").alias("x"), F.greatest("a", "node").alias("y")).distinct()
+
+
 def _verified(pairs: DataFrame, sure: DataFrame, firsts: DataFrame, k: int, least: float) -> DataFrame:
     """The pairs of texts (x, y) that are similar."""
     needed = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
