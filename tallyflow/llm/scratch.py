@@ -27,7 +27,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None, free: boo
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
@@ -37,6 +37,16 @@ def written(df: DataFrame, name: str, partition_by: str | None = None, free: boo
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no later step reads."""
+    spark = tables[0].sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for place in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partitions, the unit in which the operators split hot groups."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

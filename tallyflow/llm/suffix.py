@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import partitions, written
+from .scratch import forget, partitions, written
 from .sketch import Anchors, repeated_cells
-from .textscan import Powers, slices
+from .textscan import Powers, rolling, slices
 
 LAST = (1 << 63) - 1
 
@@ -138,6 +138,57 @@ def least_owner(segments: list[bytes], owners: list[int], width: int) -> list[li
     return out
 
 
+def maybe_shared(segments: list[bytes], width: int, powers: Powers) -> list[list[tuple[int, int]]]:
+    """For each segment the runs of windows, [first, last], whose hash is met twice or more; the
+    windows elsewhere have no equal."""
+    off = np.zeros(len(segments) + 1, np.int64)
+    np.cumsum([len(s) for s in segments], out=off[1:])
+    flat = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint64)
+    n = max(0, len(flat) - width + 1)
+    start = np.flatnonzero(np.arange(n) + width <= np.repeat(off[1:], np.diff(off))[:n])
+    _, which, times = np.unique(rolling(flat, width, powers, 30)[start], return_inverse=True, return_counts=True)
+    start = start[times[which] > 1]
+    row = np.searchsorted(off, start, "right") - 1
+    edge = np.flatnonzero((np.diff(start, prepend=-2) != 1) | (np.diff(row, prepend=-1) != 0))
+    out: list[list[tuple[int, int]]] = [[] for _ in segments]
+    for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(start)] if len(edge) else [], strict=True):
+        r = int(row[lo])
+        out[r].append((int(start[lo] - off[r]), int(start[hi - 1] - off[r])))
+    return out
+
+
+def owned_runs(anchors: list[int], segments: list[bytes], leasts: list[int], mosts: list[int], width: int, powers: Powers) -> list[tuple[int, int, int, int]]:
+    """(segment, first byte, end, least owner) of the runs of windows that some row of the
+    segment may lose: those whose least owner lies below ``mosts``.
+
+    Windows met in no other segment are the segment's own. The rest are cut out; cuts of equal
+    bytes under one anchor are one, and those that stand beside others are sorted.
+    """
+    cuts: dict[tuple[int, bytes], list] = {}
+    out = []
+    for i, runs in enumerate(maybe_shared(segments, width, powers)):
+        end, here = len(segments[i]) - width, 0
+        for lo, hi in runs:
+            if lo > here:
+                out.append((i, here, lo - 1 + width, leasts[i]))
+            here = hi + 1
+            own = cuts.setdefault((anchors[i], segments[i][lo : hi + width]), [leasts[i], []])
+            own[0] = min(own[0], leasts[i])
+            own[1].append((i, lo))
+        if here <= end:
+            out.append((i, here, end + width, leasts[i]))
+    many = Counter(a for a, _ in cuts)
+    mixed = [(body, own) for (a, body), own in cuts.items() if many[a] > 1]
+    found = least_owner([body for body, _ in mixed], [own[0] for _, own in mixed], width) if mixed else []
+    placed = [(own[1], least) for (_, own), least in zip(mixed, found, strict=True)]
+    placed += [(own[1], [own[0]] * (len(body) - width + 1)) for (a, body), own in cuts.items() if many[a] == 1]
+    for places, least in placed:
+        steps = [k for k in range(len(least)) if k == 0 or least[k] != least[k - 1]]
+        for k, last in zip(steps, [*steps[1:], len(least)], strict=True):
+            out += [(i, lo + k, lo + last - 1 + width, least[k]) for i, lo in places]
+    return [x for x in out if x[3] < mosts[x[0]]]
+
+
 def byte_windows(width: int, gram: int) -> Callable[[], Callable]:
     def scan() -> Callable[[pa.Array], Iterator[Anchors]]:
         powers = Powers()
@@ -162,7 +213,8 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
     Rows of equal text are one class, for which a row of the least doc_id speaks; the others
     lose all (from ``width`` bytes on). The sketch marks strings that may be repeated. Strings
     with one anchor stand side by side in segments of at most 2 * width bytes, so equal
-    strings meet where their anchor's distinct segments do; there a suffix array groups them.
+    strings meet where their anchor's distinct segments do; there a suffix array groups those
+    whose hash is met twice. A segment is named by its anchor and a hash, 128 bits, afterwards.
     """
     gram = max(1, width - 26)
     plain = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_node", "_d", "_n", "_first", "_at", "_all")
@@ -190,22 +242,18 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
 
     held = written(spoken.select("_node", "_d", "text").mapInArrow(segments, "anchor long, seg binary, _node long, _d long, at int"), "byte-segments", free=True)
     distinct = written(held.groupBy("anchor", "seg").agg(F.min("_d").alias("least"), F.max("_d").alias("most")), "byte-distinct", free=True)
-    real = distinct.groupBy("anchor").agg(F.min("least").alias("a"), F.max("most").alias("b")).filter("a < b").select("anchor")
-    able = distinct.join(real, "anchor").select("anchor", "seg", "least")
 
     def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor; anchors are sorted together up to ``shard`` bytes."""
-        rows: list[tuple[int, bytes, int]] = []
+        powers = Powers()
+        rows: list[tuple[int, bytes, int, int]] = []
         size, last = 0, None
 
         def out() -> pa.RecordBatch:
-            many = Counter(r[0] for r in rows)
-            mixed = [r for r in rows if many[r[0]] > 1]
-            alone = [r for r in rows if many[r[0]] == 1]  # a segment without others needs no order
-            found = least_owner([r[1] for r in mixed], [r[2] for r in mixed], width) if mixed else []
-            found += [[r[2]] * (len(r[1]) - width + 1) for r in alone]
-            both = mixed + alone
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in both], pa.int64()), pa.array([r[1] for r in both], pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["anchor", "seg", "owner"])
+            found = owned_runs([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], width, powers)
+            at, lo, hi, least = [pa.array([f[c] for f in found], pa.int64()) for c in range(4)]
+            of = [rows[f[0]] for f in found]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in of], pa.int64()), pa.array([r[1] for r in of], pa.binary()), lo, hi, least], ["anchor", "seg", "lo", "hi", "owner"])
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -218,12 +266,16 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
         if rows:
             yield out()
 
-    sorted_ = able.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
-    owned = written(sorted_.mapInArrow(owners, "anchor long, seg binary, owner array<long>"), "byte-owners", free=True)
-    gone = F.filter(F.transform("owner", lambda x, i: F.when(x < F.col("_d"), F.col("at") + i)), lambda x: x.isNotNull())
-    hits = held.join(owned, ["anchor", "seg"]).select("_node", gone.alias("_at")).filter(F.size("_at") > 0)
-    hits = hits.groupBy("_node").agg(F.flatten(F.collect_list("_at")).alias("_at"))
+    sorted_ = distinct.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
+    owned = sorted_.mapInArrow(owners, "anchor long, seg binary, lo long, hi long, owner long")
+    owned = written(owned.select("anchor", F.xxhash64("seg").alias("h"), "lo", "hi", "owner"), "byte-owners", free=True)
+    forget(distinct)
+    own = held.select("anchor", F.xxhash64("seg").alias("h"), "_node", "_d", "at")
+    hits = own.join(owned, ["anchor", "h"]).filter(F.col("owner") < F.col("_d"))
+    hits = hits.select("_node", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("_at"))
+    hits = hits.groupBy("_node").agg(F.collect_list("_at").alias("_at"))
     spans = written(hits.join(copies, "_node", "full"), "byte-spans", free=True)
+    forget(held, owned)
     tagged = plain.join(spans, "_node", "left").withColumn("_all", F.coalesce(F.col("_first") < F.col("_d"), F.lit(False))).select(*[c for c in plain.columns if c not in ("_node", "_d")], "_at", "_all")
     text = tagged.columns.index("text")
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
@@ -241,9 +293,8 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
                         gone[:] = n >= width
                     elif (own := at[part.first + i]).is_valid:
                         step = np.zeros(n + 1, np.int64)
-                        starts = np.asarray(own.values)
-                        np.add.at(step, starts, 1)
-                        np.add.at(step, starts + width, -1)
+                        np.add.at(step, np.asarray(own.values.field("lo")), 1)
+                        np.add.at(step, np.asarray(own.values.field("hi")), -1)
                         gone = np.cumsum(step)[:-1] > 0
                     for column, value in zip(out, (n, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum()), data[~gone].tobytes()), strict=True):
                         column.append(value)
