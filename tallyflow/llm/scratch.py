@@ -19,22 +19,22 @@ def shared_folder(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None, free: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back; a lost executor costs nothing before it.
 
-    ``free`` has the driver collect its garbage afterwards, upon which Spark deletes the shuffle
-    files that only this write needed.
+    Then the driver collects its garbage, upon which Spark deletes the shuffle files that only
+    this write needed; a caller that keeps ``df`` keeps them.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    del df, writer
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def forget(*tables: DataFrame) -> None:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import forget, written
 from .sketch import Anchors, repeated_cells
 from .textscan import Powers, rolling, slices, word_bounds, word_hashes
 
@@ -72,11 +72,16 @@ def remove_repeated_windows(docs: DataFrame, width: int = 35, bits: int = 27) ->
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(rolling(hashes, width, powers, s)[at].view(np.int64)) for s in (70, 80)] + [pa.array(node[part.first + row]), pa.array((at - words[row]).astype(np.int32)), pa.array(weight[part.first + row])], ["a", "b", "_node", "at", "w"])
 
-    held = written(spoken.select("_node", "text", "_n").mapInArrow(windows, "a long, b long, _node long, at int, w int"), "windows", free=True)
-    twice = written(held.groupBy("a", "b").agg(F.sum("w").alias("n")).filter("n > 1").select("a", "b"), "windows-twice", free=True)
-    hits = held.join(twice, ["a", "b"]).groupBy("_node").agg(F.collect_list("at").alias("_at"))
-    spans = hits.join(copies.select("_node", F.lit(True).alias("_all")), "_node", "full")
-    spans = written(spans.select("_node", F.when(F.col("_all"), F.lit(None)).otherwise(F.col("_at")).alias("_at"), "_all"), "window-spans", free=True)
+    held = written(spoken.select("_node", "text", "_n").mapInArrow(windows, "a long, b long, _node long, at int, w int"), "windows")
+    twice = written(held.groupBy("a", "b").agg(F.sum("w").alias("n")).filter("n > 1").select("a", "b"), "windows-twice")
+
+    def repeated() -> DataFrame:
+        hits = held.join(twice, ["a", "b"]).groupBy("_node").agg(F.collect_list("at").alias("_at"))
+        spans = hits.join(copies.select("_node", F.lit(True).alias("_all")), "_node", "full")
+        return spans.select("_node", F.when(F.col("_all"), F.lit(None)).otherwise(F.col("_at")).alias("_at"), "_all")
+
+    spans = written(repeated(), "window-spans")
+    forget(held, twice)
     text, names = docs.columns.index("text") if "text" in docs.columns else 0, ["n_words", "n_removed", "kept"]
     tagged = plain.join(spans, "_node", "left").select(*[c for c in plain.columns if c != "_node"], "_at", "_all")
     text = tagged.columns.index("text")

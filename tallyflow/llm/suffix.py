@@ -240,8 +240,8 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(found.keys[hot].view(np.int64)), pa.array([body[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()), pa.array(node[part.first + row]), pa.array(d[part.first + row]), pa.array((lo - part.off[row]).astype(np.int32))], ["anchor", "seg", "_node", "_d", "at"])
 
-    held = written(spoken.select("_node", "_d", "text").mapInArrow(segments, "anchor long, seg binary, _node long, _d long, at int"), "byte-segments", free=True)
-    distinct = written(held.groupBy("anchor", "seg").agg(F.min("_d").alias("least"), F.max("_d").alias("most")), "byte-distinct", free=True)
+    held = written(spoken.select("_node", "_d", "text").mapInArrow(segments, "anchor long, seg binary, _node long, _d long, at int"), "byte-segments")
+    distinct = written(held.groupBy("anchor", "seg").agg(F.min("_d").alias("least"), F.max("_d").alias("most")), "byte-distinct")
 
     def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor; anchors are sorted together up to ``shard`` bytes."""
@@ -266,15 +266,20 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
         if rows:
             yield out()
 
-    sorted_ = distinct.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
-    owned = sorted_.mapInArrow(owners, "anchor long, seg binary, lo long, hi long, owner long")
-    owned = written(owned.select("anchor", F.xxhash64("seg").alias("h"), "lo", "hi", "owner"), "byte-owners", free=True)
+    def placed() -> DataFrame:
+        found = distinct.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
+        return found.mapInArrow(owners, "anchor long, seg binary, lo long, hi long, owner long").select("anchor", F.xxhash64("seg").alias("h"), "lo", "hi", "owner")
+
+    owned = written(placed(), "byte-owners")
     forget(distinct)
-    own = held.select("anchor", F.xxhash64("seg").alias("h"), "_node", "_d", "at")
-    hits = own.join(owned, ["anchor", "h"]).filter(F.col("owner") < F.col("_d"))
-    hits = hits.select("_node", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("_at"))
-    hits = hits.groupBy("_node").agg(F.collect_list("_at").alias("_at"))
-    spans = written(hits.join(copies, "_node", "full"), "byte-spans", free=True)
+
+    def removed() -> DataFrame:
+        own = held.select("anchor", F.xxhash64("seg").alias("h"), "_node", "_d", "at")
+        hits = own.join(owned, ["anchor", "h"]).filter(F.col("owner") < F.col("_d"))
+        hits = hits.select("_node", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("_at"))
+        return hits.groupBy("_node").agg(F.collect_list("_at").alias("_at")).join(copies, "_node", "full")
+
+    spans = written(removed(), "byte-spans")
     forget(held, owned)
     tagged = plain.join(spans, "_node", "left").withColumn("_all", F.coalesce(F.col("_first") < F.col("_d"), F.lit(False))).select(*[c for c in plain.columns if c not in ("_node", "_d")], "_at", "_all")
     text = tagged.columns.index("text")
