@@ -109,7 +109,7 @@ def components(links: DataFrame) -> DataFrame:
         state = state.select("node", "comp")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 12, size: int = 3, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 12, size: int = 3, rounds: int = 3, whole: int = 50) -> DataFrame:
     """Add class_id and n_links to every row, replacing columns of these names.
 
     Two texts are linked if the Jaccard similarity of their sets of k-word shingles and their
@@ -121,9 +121,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
 
     Candidates agree on a band: an order MinHash of ``size`` k-mers. In each bucket all members
     meet one leader; in further rounds a member still outside its component leads and meets all
-    those outside its own. So a round costs a bucket as many pairs as it has members. What the
-    ``rounds`` leave apart is settled by ``_apart``, so every link between texts that share a
-    bucket is found or implied by others. At similarity 0.8 a pair shares no bucket at all with a
+    those outside its own. So a round costs a bucket as many pairs as it has members. A bucket of
+    at most ``whole`` texts that is still in several components after ``rounds`` is then compared
+    whole (``_apart``). In a larger one members have met three leaders, not each other: a link
+    that shows in such buckets alone can be missed. At similarity 0.8 a pair shares no bucket at all with a
     probability of about (1 - 0.8**size)**bands, 0.0002.
     """
     plain = docs.drop("class_id", "n_links", "_node").withColumn("_node", F.xxhash64("text"))
@@ -182,7 +183,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
         led = written(led.select("band", "key", F.coalesce("comp", "leader").alias("led")), "omh-led")
         open_ = open_.join(led, ["band", "key"]).join(labels, "node", "left").filter(F.coalesce("comp", "node") != F.col("led"))
         open_ = written(open_.select("node", "band", "key"), "omh-open")
-    new = _apart(held, labels, least)
+    new = _apart(held, labels, least, whole)
     new = written(new if pairs is None else new.join(pairs, ["x", "y"], "left_anti"), "omh-pairs")
     if new.limit(1).count():
         good = written(_verified(new, sure, firsts, k, least), "omh-links")
@@ -203,20 +204,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
     return out.select(*[c for c in plain.columns if c != "_node"], "class_id", "n_links")
 
 
-def _apart(held: DataFrame, labels: DataFrame | None, least: float) -> DataFrame:
-    """Pairs of texts (x, y) that share a bucket and lie in different components, less those
+def _apart(held: DataFrame, labels: DataFrame | None, least: float, whole: int) -> DataFrame:
+    """Pairs of texts (x, y) that share a bucket of at most ``whole`` texts and lie in different components, less those
     whose numbers of shingles rule out a similarity of ``least``.
 
-    Every member outside its bucket's largest component meets the members of all others, so a
-    bucket of one large component and a few strangers costs their product, not its square.
+    Every member outside its bucket's largest component meets the members of all others: at most
+    ``whole`` pairs a member.
     """
     if labels is None:
         own = held.withColumn("comp", F.col("node"))
     else:
         own = held.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     parts = own.groupBy("band", "key", "comp").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("band", "key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("parts"))
-    own = written(own.join(mixed.filter("parts > 1"), ["band", "key"]).select("band", "key", "node", "n", "comp", "main"), "omh-mixed")
+    mixed = parts.groupBy("band", "key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("texts"))
+    own = written(own.join(mixed.filter(f"parts > 1 AND texts <= {whole}"), ["band", "key"]).select("band", "key", "node", "n", "comp", "main"), "omh-mixed")
     out = own.filter("comp != main").select("band", "key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
     both = out.join(own, ["band", "key"]).filter((F.col("ac") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("node"))))
     both = both.filter(F.least("an", "n") >= F.lit(least) * F.greatest("an", "n"))
