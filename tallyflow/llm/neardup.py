@@ -121,10 +121,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
 
     Candidates agree on a band: an order MinHash of ``size`` k-mers. In each bucket all members
     meet one leader; in further rounds a member still outside its component leads and meets all
-    those outside its own. So a round costs a bucket as many pairs as it has members. A bucket of
-    at most ``whole`` texts that is still in several components after ``rounds`` is then compared
-    whole (``_apart``). In a larger one members have met three leaders, not each other: a link
-    that shows in such buckets alone can be missed. At similarity 0.8 a pair shares no bucket at all with a
+    those outside its own. So a round costs a bucket as many pairs as it has members. Buckets still
+    in several components after ``rounds`` are then settled (``_apart``): one of at most ``whole``
+    texts is compared whole, the texts of larger ones by their rarest shingles, which loses
+    no link. At similarity 0.8 a pair shares no bucket at all with a
     probability of about (1 - 0.8**size)**bands, 0.0002.
     """
     plain = docs.drop("class_id", "n_links", "_node").withColumn("_node", F.xxhash64("text"))
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
         led = written(led.select("band", "key", F.coalesce("comp", "leader").alias("led")), "omh-led")
         open_ = open_.join(led, ["band", "key"]).join(labels, "node", "left").filter(F.coalesce("comp", "node") != F.col("led"))
         open_ = written(open_.select("node", "band", "key"), "omh-open")
-    new = _apart(held, labels, least, whole)
+    new = _apart(held, labels, sure, firsts, k, least, whole)
     new = written(new if pairs is None else new.join(pairs, ["x", "y"], "left_anti"), "omh-pairs")
     if new.limit(1).count():
         good = written(_verified(new, sure, firsts, k, least), "omh-links")
@@ -204,32 +204,73 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
     return out.select(*[c for c in plain.columns if c != "_node"], "class_id", "n_links")
 
 
-def _apart(held: DataFrame, labels: DataFrame | None, least: float, whole: int) -> DataFrame:
-    """Pairs of texts (x, y) that share a bucket of at most ``whole`` texts and lie in different components, less those
-    whose numbers of shingles rule out a similarity of ``least``.
+def _apart(held: DataFrame, labels: DataFrame | None, sure: DataFrame, firsts: DataFrame, k: int, least: float, whole: int) -> DataFrame:
+    """Pairs of texts (x, y) in different components that share a bucket and may be similar.
 
-    Every member outside its bucket's largest component meets the members of all others: at most
-    ``whole`` pairs a member.
+    A bucket of at most ``whole`` texts is compared whole. The texts of larger ones are dealt
+    anew, by shingles: in one order of all shingles, the rarest first, two texts that are similar
+    share one among the first n - ceil(least * n) + 1 of each. What made the bucket large, a passage
+    common to many texts, comes last in that order.
     """
     if labels is None:
         own = held.withColumn("comp", F.col("node"))
     else:
         own = held.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    parts = own.groupBy("band", "key", "comp").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("band", "key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("texts"))
-    own = written(own.join(mixed.filter(f"parts > 1 AND texts <= {whole}"), ["band", "key"]).select("band", "key", "node", "n", "comp", "main"), "omh-mixed")
-    out = own.filter("comp != main").select("band", "key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-    both = out.join(own, ["band", "key"]).filter((F.col("ac") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("node"))))
-    both = both.filter(F.least("an", "n") >= F.lit(least) * F.greatest("an", "n"))
-    return both.select(F.least("a", "node").alias("x"), F.greatest("a", "node").alias("y")).distinct()
+    own = written(_mixed(own, ["band", "key"]), "omh-mixed")
+    pairs = _met(own.filter(F.col("texts") <= whole), ["band", "key"], least)
+    large = written(own.filter(F.col("texts") > whole).groupBy("node").agg(F.first("comp").alias("comp")), "omh-large")
+    if not large.limit(1).count():
+        return pairs.distinct()
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for part in slices(batch.column(2)):
+                starts, ends, words = word_bounds(part)
+                hashes = word_hashes(part, starts, ends, powers)
+                sets = [np.unique(shingles(hashes[lo:hi], k, powers)) for lo, hi in zip(words[:-1], words[1:], strict=True)]
+                sizes = np.array([len(x) for x in sets])
+                rows = pa.array(np.repeat(np.arange(part.first, part.first + part.rows), sizes))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64))], ["node", "comp", "n", "gram"])
+
+    texts = _texts(large.select("node"), sure, firsts).join(large, "node").select("node", "comp", "text")
+    grams = written(texts.mapInArrow(draw, "node long, comp long, n int, gram long"), "omh-grams")
+    often = written(grams.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1"), "omh-often")
+    ordered = grams.join(often, "gram").groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("g"))
+    # those met once stand before all others
+    spare = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("g"))
+    head = ordered.withColumn("spare", spare).filter("spare > 0").select("node", "comp", "n", F.explode(F.expr("slice(g, 1, spare)")).alias("g"))
+    head = written(_mixed(head.select("node", "comp", "n", F.col("g.gram").alias("gram")), ["gram"]), "omh-heads")
+    return pairs.unionByName(_met(head, ["gram"], least)).distinct()
+
+
+def _mixed(own: DataFrame, by: list[str]) -> DataFrame:
+    """The rows (``by``, node, n, comp) of groups that hold several components, with the group's
+    number of ``texts`` and ``main``, its largest component."""
+    parts = own.groupBy(*by, "comp").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy(*by).agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("texts"))
+    return own.join(mixed.filter("parts > 1").drop("parts"), by).select(*by, "node", "n", "comp", "main", "texts")
+
+
+def _met(own: DataFrame, by: list[str], least: float) -> DataFrame:
+    """Pairs (x, y) in which every text outside its group's largest component meets the texts of all
+    others, less those whose numbers of shingles rule out a similarity of ``least``."""
+    out = own.filter("comp != main").select(*by, F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
+    may = (F.col("ac") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("node"))) & (F.least("an", "n") >= F.lit(least) * F.greatest("an", "n"))
+    return out.join(own, by).filter(may).select(F.least("a", "node").alias("x"), F.greatest("a", "node").alias("y"))
+
+
+def _texts(needed: DataFrame, sure: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(node, text) of the needed nodes, from the first row of each."""
+    chosen = firsts.join(needed, firsts["_node"] == F.col("node")).select("node", "first")
+    texts = sure.select(F.col("_node").alias("n2"), "doc_id", "text").join(chosen, (F.col("n2") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    return texts.groupBy("node").agg(F.first("text").alias("text"))
 
 
 def _verified(pairs: DataFrame, sure: DataFrame, firsts: DataFrame, k: int, least: float) -> DataFrame:
     """The pairs of texts (x, y) that are similar."""
     needed = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    chosen = firsts.join(needed, firsts["_node"] == F.col("node")).select("node", "first")
-    texts = sure.select(F.col("_node").alias("n2"), "doc_id", "text").join(chosen, (F.col("n2") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "omh-needed")
+    texts = written(_texts(needed, sure, firsts), "omh-needed")
     both = pairs.join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
     both = both.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x")
 

@@ -237,6 +237,42 @@ def test_near_duplicates(docs, rows, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("whole", [0, 50, 10_000])
+def test_near_duplicates_that_share_a_passage(spark, whole):
+    """Buckets of many components: all texts hold one passage, some are near copies besides."""
+    rnd = random.Random(7)
+    passage = [f"p{i}" for i in range(90)]
+    found = []
+    for i in range(70):
+        own = passage + [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([15, 30, 60]))]
+        found.append(own)
+        if i % 3 == 0:
+            found.append([("z" if rnd.random() < 0.02 else w) for w in own])
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in found]
+    least = list(range(len(found)))
+
+    def top(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    def edits(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            e = [i]
+            for j, y in enumerate(b, 1):
+                e.append(min(d[j] + 1, e[-1] + 1, d[j - 1] + (x != y)))
+            d = e
+        return d[-1]
+
+    for a, b in itertools.combinations(range(len(found)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and edits(found[a], found[b]) <= 0.2 * max(len(found[a]), len(found[b])):
+            a, b = top(a), top(b)
+            least[max(a, b)] = min(a, b)
+    got = neardup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(found)], "doc_id long, text string"), rounds=1, whole=whole)
+    assert {r.doc_id: r.class_id for r in got.collect()} == {i: top(i) for i in range(len(found))}
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_banded_alignment(seed):
     rnd = random.Random(seed)
