@@ -109,7 +109,7 @@ def components(links: DataFrame) -> DataFrame:
         state = state.select("node", "comp")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 12, size: int = 3, rounds: int = 3, whole: int = 50) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 12, size: int = 3, rounds: int = 1, whole: int = 50) -> DataFrame:
     """Add class_id and n_links to every row, replacing columns of these names.
 
     Two texts are linked if the Jaccard similarity of their sets of k-word shingles and their
@@ -216,7 +216,7 @@ def _apart(held: DataFrame, labels: DataFrame | None, sure: DataFrame, firsts: D
         own = held.withColumn("comp", F.col("node"))
     else:
         own = held.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    own = written(_mixed(own, ["band", "key"]), "omh-mixed")
+    own = written(_mixed(own, ["band", "key"]).withColumns({"pos": F.lit(0), "near": F.lit(True)}), "omh-mixed")
     pairs = _met(own.filter(F.col("texts") <= whole), ["band", "key"], least)
     large = written(own.filter(F.col("texts") > whole).groupBy("node").agg(F.first("comp").alias("comp")), "omh-large")
     if not large.limit(1).count():
@@ -238,26 +238,37 @@ def _apart(held: DataFrame, labels: DataFrame | None, sure: DataFrame, firsts: D
     often = written(grams.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1"), "omh-often")
     ordered = grams.join(often, "gram").groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("g"))
     # those met once stand before all others
-    spare = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("g"))
-    head = ordered.withColumn("spare", spare).filter("spare > 0").select("node", "comp", "n", F.explode(F.expr("slice(g, 1, spare)")).alias("g"))
-    head = written(_mixed(head.select("node", "comp", "n", F.col("g.gram").alias("gram")), ["gram"]), "omh-heads")
+    alone, most = F.col("n") - F.size("g"), F.col("n") + 1
+    ordered = ordered.withColumns({"alone": alone, "stop": most - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int"), "near": most - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - 1e-9).cast("int")})
+    head = ordered.filter("stop > alone").select("node", "comp", "n", "alone", "near", F.posexplode(F.expr("slice(g, 1, stop - alone)")).alias("i", "g"))
+    head = head.select("node", "comp", "n", F.col("g.gram").alias("gram"), (F.col("alone") + F.col("i")).alias("pos"), (F.col("alone") + F.col("i") < F.col("near")).alias("near"))
+    head = written(_mixed(head, ["gram"], "max(near)"), "omh-heads")
     return pairs.unionByName(_met(head, ["gram"], least)).distinct()
 
 
-def _mixed(own: DataFrame, by: list[str]) -> DataFrame:
-    """The rows (``by``, node, n, comp) of groups that hold several components, with the group's
+def _mixed(own: DataFrame, by: list[str], also: str = "true") -> DataFrame:
+    """The rows of groups that hold several components (and fulfil ``also``), with the group's
     number of ``texts`` and ``main``, its largest component."""
-    parts = own.groupBy(*by, "comp").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy(*by).agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("texts"))
-    return own.join(mixed.filter("parts > 1").drop("parts"), by).select(*by, "node", "n", "comp", "main", "texts")
+    parts = own.groupBy(*by, "comp").agg(F.count("*").alias("m"), F.max(F.col("near") if "near" in own.columns else F.lit(True)).alias("near"))
+    mixed = parts.groupBy(*by).agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("texts"), F.expr(also).alias("also"))
+    mixed = mixed.filter("parts > 1 AND also").drop("parts", "also")
+    return own.join(mixed, by).select(*by, *[c for c in own.columns if c not in by], "main", "texts")
 
 
 def _met(own: DataFrame, by: list[str], least: float) -> DataFrame:
-    """Pairs (x, y) in which every text outside its group's largest component meets the texts of all
-    others, less those whose numbers of shingles rule out a similarity of ``least``."""
-    out = own.filter("comp != main").select(*by, F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-    may = (F.col("ac") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("node"))) & (F.least("an", "n") >= F.lit(least) * F.greatest("an", "n"))
-    return out.join(own, by).filter(may).select(F.least("a", "node").alias("x"), F.greatest("a", "node").alias("y"))
+    """Pairs (x, y) in which every text outside its group's largest component meets the texts of all others.
+
+    Left out are those whose numbers of shingles ``n``, or the place ``pos`` of the shared one in their
+    orders, rule out a similarity of ``least``: the shingles from there on are all that they can still
+    share. The text with fewer shingles must have it among its first (``near``).
+    """
+    side = [F.col(c).alias(f"_{c}") for c in ("node", "n", "comp", "pos", "near")]
+    out = own.filter("comp != main").select(*by, *side)
+    once = (F.col("_comp") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("_node") < F.col("node")))
+    enough = F.least(F.col("_n") - F.col("_pos"), F.col("n") - F.col("pos")) >= F.lit(least / (1 + least)) * (F.col("_n") + F.col("n")) - 1e-6
+    fewer = out.filter("_near").join(own, by).filter(once & enough & (F.col("_n") <= F.col("n")))
+    more = out.join(own.filter("near"), by).filter(once & enough & (F.col("n") < F.col("_n")))
+    return fewer.unionByName(more).select(F.least("_node", "node").alias("x"), F.greatest("_node", "node").alias("y"))
 
 
 def _texts(needed: DataFrame, sure: DataFrame, firsts: DataFrame) -> DataFrame:
