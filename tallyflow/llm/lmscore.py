@@ -7,163 +7,195 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import partitions
-from .textscan import Powers, mix, rolling, slices, word_bounds, word_hashes
+from .scratch import sweep, written
+from .textscan import Powers, mix, slices, string_buffers, word_bounds, word_hashes
 
-BLOCK = 16  # cells of a block, as a power of two
+CHUNK = 1 << 23  # bytes of text that are counted and scored together
+SENT = "part int, _chunk long, keys binary, n_target binary, n_all binary"
 
 
-def _pairs(hashes: np.ndarray, row: np.ndarray, words: np.ndarray, powers: Powers, bits: int) -> np.ndarray:
-    """Cell of each word after its predecessor in the row (a fixed mark before the first)."""
-    cells = np.zeros(len(hashes), np.uint64)
-    if len(hashes) > 1:
-        cells[1:] = rolling(hashes, 2, powers, 40)
-    first = words[:-1][np.diff(words) > 0]
-    cells[first] = mix(hashes[first], 47)
-    return (cells >> np.uint64(64 - bits)).astype(np.int64)
+def _chunked(docs: DataFrame) -> DataFrame:
+    """Add _chunk, a number shared by rows of about CHUNK bytes (64 for a row besides its text)."""
+    at = docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begin = size + np.concatenate([[0], np.cumsum(np.diff(string_buffers(batch.column(at))[0]) + 64)])
+            size = int(begin[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + begin[:-1] // CHUNK, pa.int64())], [*batch.schema.names, "_chunk"])
 
-class Scan:
-    """Word cells and pair cells of slices; words outside the vocabulary become one word."""
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_chunk", T.LongType())]))
 
-    def __init__(self, bits: int, vocabulary: np.ndarray | None = None):
-        self.bits, self.vocabulary, self.powers = bits, vocabulary, Powers()
 
-    def words(self, part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the rows' words in order, and how many each row has."""
+    powers = Powers()
+    hashes, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for part in slices(column):
         starts, ends, words = word_bounds(part)
-        hashes = word_hashes(part, starts, ends, self.powers)
-        cells = (mix(hashes, 41) >> np.uint64(64 - self.bits)).astype(np.int64)
-        if self.vocabulary is not None:
-            out = ~self.vocabulary[cells]
-            hashes[out], cells[out] = 0, 0
-        return hashes, cells, words
+        hashes.append(word_hashes(part, starts, ends, powers))
+        n.append(np.diff(words))
+    return np.concatenate(hashes), np.concatenate(n)
 
-    def pairs(self, part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        hashes, cells, words = self.words(part)
-        row = np.repeat(np.arange(part.rows), np.diff(words))
-        return cells, _pairs(hashes, row, words, self.powers, self.bits), words
 
+def _pairs(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words have a predecessor in their row, and the hash of each such word with it."""
+    inner = np.ones(len(hashes), bool)
+    inner[(np.cumsum(n) - n)[n > 0]] = False
+    at = np.flatnonzero(inner)
+    return inner, mix(mix(hashes[at - 1], 41) + hashes[at], 40)
 
-def _counts(docs: DataFrame, target: str, bits: int, vocabulary, flush: int = 4_000_000) -> np.ndarray:
-    """Counts of cells over all documents: rows target and all; of words, or of pairs under a vocabulary.
 
-    Each task sends sorted cells with their counts, block by block, whenever it has seen
-    ``flush`` words, so its memory is bounded and what is gathered follows the input. Blocks are
-    summed where they meet; the driver gets one array of 2**bits cells.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    names = ["block", "cells", "n_all", "n_target"]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = Scan(bits, shared.value)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            cells = np.concatenate([c for c, _ in held])
-            mine = np.concatenate([t for _, t in held])
-            both, back = np.unique(cells, return_inverse=True)
-            n_all, n_target = np.bincount(back, minlength=len(both)), np.bincount(back, mine, minlength=len(both))
-            edge = np.flatnonzero(np.diff(both >> BLOCK, prepend=-1)) if len(both) else np.zeros(0, int)
-            rows = [(int(both[a] >> BLOCK), (both[a:b] & 0xFFFF).astype("<u2").tobytes(), n_all[a:b].astype("<u4").tobytes(), n_target[a:b].astype("<u4").tobytes()) for a, b in zip(edge, np.append(edge[1:], len(both)), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([zlib.compress(r[k], 1) for r in rows], pa.binary()) for k in (1, 2, 3)]], names)
+def _sent(chunk: int, keys: np.ndarray, mark: np.ndarray, bits: int) -> dict[str, list]:
+    """A chunk's distinct keys in order with their counts, one row for each value of the leading bits."""
+    both, back = np.unique(keys, return_inverse=True)
+    n_target, n_all = (np.bincount(back, w, len(both)).astype("<u4") for w in (mark, None))
+    part = (both >> np.uint64(64 - bits)).astype(np.int64)
+    edge = np.flatnonzero(np.diff(part, prepend=-1))
+    spans = list(zip(edge, np.append(edge[1:], len(both)), strict=True)) if len(edge) else []
+    return {
+        "part": [int(part[a]) for a, _ in spans], "_chunk": [chunk] * len(spans), "keys": [both[a:b].astype("<u8").tobytes() for a, b in spans],
+        "n_target": [zlib.compress(n_target[a:b].tobytes(), 1) for a, b in spans], "n_all": [zlib.compress(n_all[a:b].tobytes(), 1) for a, b in spans],
+    }
 
-        for batch in batches:
-            mark = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-            for part in slices(batch.column(0)):
-                if shared.value is None:
-                    _, cells, words = scan.words(part)
-                else:
-                    _, cells, words = scan.pairs(part)
-                held.append((cells, np.repeat(mark[part.first : part.first + part.rows], np.diff(words))))
-                size += len(cells)
-                if size >= flush:
-                    yield out()
-                    held, size = [], 0
-        if size:
-            yield out()
+
+def _totals(sent: DataFrame, least: int = 0) -> DataFrame:
+    """Answers to what chunks sent: the whole table's counts (target, all) of the same keys in the
+    same order. Where ``least`` is set, chunk -1 holds each part's sums: the keys found that often in
+    target rows, their counts (target, all), and all keys' counts."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        names = ["_chunk", "part", "n"]
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        now = -1
+
+        def out() -> Iterator[pa.RecordBatch]:
+            both, back = np.unique(np.concatenate([k for _, k, _ in held]), return_inverse=True)
+            n = np.concatenate([c for _, _, c in held], 1)
+            total = np.stack([np.bincount(back, x, len(both)) for x in n]).astype("<i8")
+            at = 0
+            for chunk, keys, _ in held:
+                answer = total[:, back[at : at + len(keys)]]
+                at += len(keys)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([now], pa.int32()), pa.array([zlib.compress(answer.tobytes(), 1)], pa.binary())], names)
+            if least:
+                known = total[:, total[0] >= least]
+                sums = np.array([known.shape[1], *known.sum(1), *total.sum(1)], "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([now], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names)
+
         for batch in batches:
-            for block, cells, n_all, n_target in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                own = sums.setdefault(block, np.zeros((2, 1 << BLOCK), np.int64))
-                at = np.frombuffer(zlib.decompress(cells), "<u2")
-                own[0, at] += np.frombuffer(zlib.decompress(n_target), "<u4")
-                own[1, at] += np.frombuffer(zlib.decompress(n_all), "<u4")
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "n"])
-
-    sent = docs.select("text", F.col(target)).mapInArrow(count, "block int, cells binary, n_all binary, n_target binary")
-    met = sent.repartition(min(partitions(docs.sparkSession), 1 << max(0, bits - BLOCK)), "block").mapInArrow(merge, "block int, n binary")
-    total = np.zeros((2, 1 << bits), np.int64)
-    for r in met.toLocalIterator():
-        total[:, r["block"] << BLOCK : (r["block"] + 1) << BLOCK] = np.frombuffer(zlib.decompress(r["n"]), np.int64).reshape(2, -1)
-    return total
-
-
-def _own(cells: np.ndarray, row: np.ndarray, bits: int) -> np.ndarray:
-    """How often each cell occurs in its own row."""
-    _, back, n = np.unique(cells + (row << bits), return_inverse=True, return_counts=True)
+            for i in range(batch.num_rows):
+                part, chunk, keys, n_target, n_all = (c[i].as_py() for c in batch.columns)
+                if part != now and held:
+                    yield from out()
+                    held = []
+                now = part
+                held.append((chunk, np.frombuffer(keys, "<u8"), np.stack([np.frombuffer(zlib.decompress(x), "<u4") for x in (n_target, n_all)])))
+        if held:
+            yield from out()
+
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "_chunk long, part int, n binary")
+
+
+def _answer(rows: pa.Table) -> np.ndarray:
+    """The counts (target, all) of a chunk's distinct keys in order."""
+    found = sorted(zip(rows["part"].to_pylist(), rows["n"].to_pylist(), strict=True))
+    return np.concatenate([np.zeros((2, 0), np.int64), *[np.frombuffer(zlib.decompress(n), "<i8").reshape(2, -1) for _, n in found]], 1)
+
+
+def _own(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How often each key (small numbers) occurs in its own row."""
+    _, back, n = np.unique(keys + row * (int(keys.max(initial=0)) + 1), return_inverse=True, return_counts=True)
     return n[back].astype(float)
 
 
-def score(docs: DataFrame, target: Column, bits: int = 22, least: int = 2, share: float = 0.7, add: float = 0.1) -> DataFrame:
+def score(docs: DataFrame, target: Column, bits: int | None = None, least: int = 2, share: float = 0.7, add: float = 0.1) -> DataFrame:
     """Add n_tokens, target_loss, background_loss and loss_diff (nats a token) to every row.
 
     The target model counts the rows where ``target`` holds (null: not), the background model all
     rows; both over the whole table, with one vocabulary (the words found at least ``least``
     times in target rows; all others are one word), one order and one smoothing: ``share`` of the
     pair's relative frequency, the rest of the word's, with ``add`` added to each count. A row's
-    own words are taken out of the counts that score it. Counts stand in 2**bits hashed cells. A low loss_diff means closer to the target. Rows without words
-    have 0 tokens and null losses; columns of these names are replaced; an empty table gives none.
+    own words are taken out of the counts that score it. A low loss_diff means closer to the target.
+    Rows without words have 0 tokens and null losses; columns of these names are replaced; an empty
+    table gives none.
+
+    Words and pairs are counted by their full 64-bit hashes. Chunks of rows send their distinct keys,
+    dealt by the leading bits, to where they are summed, and get the sums back in the same order; no
+    table of all words or pairs is held anywhere. There are 2**bits parts; unset, as many as the text
+    needs for a part to hold a few chunks' worth.
     """
     names = ["n_tokens", "target_loss", "background_loss", "loss_diff"]
-    plain = docs.drop(*names, "_target")
-    marked = plain.select("text", F.coalesce(target, F.lit(False)).alias("_target"))
-    words = _counts(marked, "_target", bits, None)
-    vocabulary = words[0] >= least
-    size = int(vocabulary.sum()) + 1
-    single = np.where(vocabulary, words, 0)
-    single[:, 0] += words.sum(1) - single.sum(1)  # the unknown word's cell
-    pairs = _counts(marked, "_target", bits, vocabulary)
-    total = single.sum(1)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, single.astype(np.float32), pairs.astype(np.float32), total.astype(float)))  # 2**bits cells
-    at = plain.columns.index("text")
+    plain = docs.drop(*names, "_target", "_chunk")
     kinds = T.StructType([*plain.schema, T.StructField("n_tokens", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names[1:]]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, single, pairs, total = shared.value
-        scan = Scan(bits, vocabulary)
-        for batch in batches:
-            mark = np.asarray(batch.column(-1).to_numpy(zero_copy_only=False), float)
-            batch = batch.select(range(batch.num_columns - 1))
-            for part in slices(batch.column(at)):
-                cells, pair, words = scan.pairs(part)
-                n = np.diff(words)
-                row = np.repeat(np.arange(part.rows), n)
-                before = np.zeros(len(cells), np.int64)
-                before[1:] = cells[:-1]
-                first = words[:-1][n > 0]
-                inner = np.ones(len(cells), bool)
-                inner[first] = False
-                own_word, own_pair = _own(cells, row, bits), _own(pair, row, bits)
-                own_before = np.zeros(len(cells))
-                own_before[1:] = own_word[:-1]
-                loss = []
-                for k, mine in ((0, mark[part.first : part.first + part.rows][row]), (1, 1.0)):
-                    alone = (single[k, cells] - mine * own_word + add) / (total[k] - mine * n[row] + add * size)
-                    after = np.minimum((pairs[k, pair] - mine * own_pair) / np.maximum(single[k, before] - mine * own_before, 1), 1.0)
-                    p = np.where(inner, share * np.maximum(after, 0) + (1 - share) * alone, alone)  # a first word has no predecessor
-                    run_ = np.zeros(len(cells) + 1)
-                    np.cumsum(-np.log(p), out=run_[1:])
-                    loss.append((run_[words[1:]] - run_[words[:-1]]) / np.maximum(n, 1))
-                empty = n == 0
-                own = batch.slice(part.first, part.rows)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n.astype(np.int64)), *[pa.array(x, mask=empty) for x in (loss[0], loss[1], loss[0] - loss[1])]], [*own.schema.names, *names])
-
-    return plain.withColumn("_target", F.coalesce(target, F.lit(False))).mapInArrow(run, kinds)
+    chunks = written(_chunked(plain.withColumn("_target", F.coalesce(target, F.lit(False)))), "lm_chunks")
+    if bits is None:
+        size = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = max(4, (size // (4 * CHUNK)).bit_length())
+    texts = chunks.select("_chunk", "text", "_target")
+
+    def words(key: tuple, rows: pa.Table) -> pa.Table:
+        hashes, n = _words(rows["text"])
+        return pa.table(_sent(key[0].as_py(), hashes, np.repeat(_marks(rows), n), bits), kind)
+
+    def pairs(key: tuple, rows: pa.Table, counted: pa.Table) -> pa.Table:
+        hashes, n = _words(rows["text"])
+        both, back = np.unique(hashes, return_inverse=True)
+        if len(both):
+            both[_answer(counted)[0] < least] = 0
+        inner, keys = _pairs(both[back], n)
+        return pa.table(_sent(key[0].as_py(), keys, np.repeat(_marks(rows), n)[inner], bits), kind)
+
+    kind = pa.schema([("part", pa.int32()), ("_chunk", pa.int64()), ("keys", pa.binary()), ("n_target", pa.binary()), ("n_all", pa.binary())])
+    counted = written(_totals(texts.groupBy("_chunk").applyInArrow(words, SENT), least), "lm_words")
+    sums = sum((np.frombuffer(r.n, "<i8") for r in counted.filter("_chunk = -1").select("n").collect()), np.zeros(5, np.int64))
+    vocabulary, known, total = int(sums[0]) + 1, sums[1:3], sums[3:].astype(float)
+    sweep(docs.sparkSession)  # a plan's shuffle files outlive its own write's sweep
+    single = counted.filter("_chunk >= 0")
+    paired = written(_totals(texts.groupBy("_chunk").cogroup(single.groupBy("_chunk")).applyInArrow(pairs, SENT)), "lm_pairs")
+
+    def run(_: tuple, rows: pa.Table, found: pa.Table) -> pa.Table:
+        mark = _marks(rows)
+        hashes, n = _words(rows["text"])
+        row = np.repeat(np.arange(len(n)), n)
+        both, back = np.unique(hashes, return_inverse=True)
+        of = _answer(found.filter(pa.compute.equal(found["kind"], 0)))
+        often = of[0] >= least
+        cells = (np.cumsum(often) * often)[back]  # 0: the unknown word
+        words = np.concatenate([(total - known)[:, None], of[:, often]], 1)
+        both[~often] = 0
+        inner, keys = _pairs(both[back], n)
+        _, pair = np.unique(keys, return_inverse=True)
+        after = _answer(found.filter(pa.compute.equal(found["kind"], 1)))
+        own_word, own_pair = _own(cells, row), _own(pair, row[inner])
+        at = np.flatnonzero(inner) - 1
+        begin = np.concatenate([[0], np.cumsum(n)])
+        loss = []
+        for k, mine in ((0, mark[row]), (1, np.ones(len(row)))):
+            p = (words[k, cells] - mine * own_word + add) / (total[k] - mine * n[row] + add * vocabulary)
+            seen = words[k, cells[at]] - mine[at] * own_word[at]
+            p[inner] = share * (after[k, pair] - mine[inner] * own_pair) / np.maximum(seen, 1) + (1 - share) * p[inner]  # a first word has no predecessor
+            run_ = np.concatenate([[0], np.cumsum(-np.log(p))])
+            loss.append((run_[begin[1:]] - run_[begin[:-1]]) / np.maximum(n, 1))
+        out = rows.drop_columns(["_target", "_chunk"])
+        for name, x in zip(names, (n, loss[0], loss[1], loss[0] - loss[1]), strict=True):
+            out = out.append_column(name, pa.array(x, mask=None if name == "n_tokens" else n == 0))
+        return out
+
+    paired.limit(1).count()
+    sweep(docs.sparkSession)
+    found = single.withColumn("kind", F.lit(0)).unionByName(paired.withColumn("kind", F.lit(1)))
+    return chunks.groupBy("_chunk").cogroup(found.groupBy("_chunk")).applyInArrow(run, kinds)
+
+
+def _marks(rows: pa.Table) -> np.ndarray:
+    return rows["_target"].to_numpy().astype(float)

@@ -32,9 +32,14 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     del df, writer
+    sweep(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Collect garbage in both processes; Spark then deletes the shuffle files of plans no longer held."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
 
 
 def forget(*tables: DataFrame) -> None:

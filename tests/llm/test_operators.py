@@ -223,6 +223,37 @@ def test_language_model(docs, empty, rows):
     assert lmscore.score(empty, F.lit(True), bits=16).count() == 0
 
 
+@pytest.mark.parametrize("bits", [None, 16])
+def test_lm_score_counts_every_pair_apart(docs, rows, bits):
+    """The same losses as with counts of the words themselves, however many parts there are."""
+    single, pairs = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    lines = [words(r[1]) for r in rows]
+    mine = [[r[0] is not None and r[0] < 5, True] for r in rows]
+    found = collections.Counter(w for m, ws in zip(mine, lines, strict=True) if m[0] for w in ws)
+    lines = [[w if found[w] >= 2 else None for w in ws] for ws in lines]
+    size = sum(n >= 2 for n in found.values()) + 1
+    for m, ws in zip(mine, lines, strict=True):
+        for k in (0, 1):
+            if m[k]:
+                single[k].update(ws)
+                pairs[k].update(itertools.pairwise(ws))
+    total = [sum(c.values()) for c in single]
+    want = collections.defaultdict(list)
+    for r, m, ws in zip(rows, mine, lines, strict=True):
+        for k in (0, 1):
+            own, own_pairs = (collections.Counter(ws), collections.Counter(itertools.pairwise(ws))) if m[k] else (collections.Counter(), collections.Counter())
+            loss = 0.0
+            for i, w in enumerate(ws):
+                p = (single[k][w] - own[w] + 0.1) / (total[k] - sum(own.values()) + 0.1 * size)
+                if i:
+                    p = 0.7 * (pairs[k][ws[i - 1], w] - own_pairs[ws[i - 1], w]) / max(single[k][ws[i - 1]] - own[ws[i - 1]], 1) + 0.3 * p
+                loss -= np.log(p)
+            want[r[0], r[1], k].append(loss / max(len(ws), 1))
+    for r in lmscore.score(docs, F.col("doc_id") < 5, bits=bits).collect():
+        if r.n_tokens:
+            assert abs(r.target_loss - want[r.doc_id, r.text, 0][0]) < 1e-9 and abs(r.background_loss - want[r.doc_id, r.text, 1][0]) < 1e-9
+
+
 def test_near_duplicates(docs, rows, empty):
     got = neardup.near_duplicates(docs).collect()
     assert len(got) == len(rows)
