@@ -82,3 +82,21 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_new_vectors_join_the_nearest_of_all_members(spark, tmp_path):
+    from math import cos, radians, sin
+
+    from tallyflow.operators.payees import cl2_incremental, joined_clusters
+
+    turns = {0: 0, 2: 70, 1: 140, 3: 220}  # 1 is near 2, no seed, and far from 0, the seed
+    rows = [(i, 5, [cos(radians(t)), sin(radians(t))]) for i, t in turns.items()]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {(r.group, r.id): r.seed for r in cl2_incremental(spark, str(tmp_path)).collect()} == {(5, 1): 0, (5, 3): 3}
+    rnd = np.random.default_rng(3)
+    old, new = (rnd.normal(size=(n, 3)) / 2 for n in (40, 30))
+    pool = spark.createDataFrame([(g, int(i % 7), old[i].tolist()) for i in range(40) for g in (1, 2)], "group long, seed long, vector array<double>")
+    seen = joined_clusters(pool, spark.createDataFrame([(1, i, new[i].tolist()) for i in range(30)], "group long, id long, vector array<double>"), 0.5, block=8)
+    top = (new @ old.T).max(1)
+    got = {r.id: r.seed for r in seen.collect()}
+    assert len(got) == 30 and all(got[i] == int((new[i] @ old.T).argmax() % 7) for i in range(30) if top[i] >= 0.5)
