@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import sweep, written
+from .scratch import written
 from .textscan import Powers, mix, slices, string_buffers, word_bounds, word_hashes
 
 CHUNK = 1 << 23  # bytes of text that are counted and scored together
@@ -42,7 +42,7 @@ def _words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     hashes, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for part in slices(column):
         starts, ends, words = word_bounds(part)
-        hashes.append(word_hashes(part, starts, ends, powers))
+        hashes.append(word_hashes(part, starts, ends))
         n.append(np.diff(words))
     return np.concatenate(hashes), np.concatenate(n)
 
@@ -159,7 +159,6 @@ def score(docs: DataFrame, target: Column, bits: int | None = None, least: int =
     counted = written(_totals(texts.groupBy("_chunk").applyInArrow(words, SENT), least), "lm_words")
     sums = sum((np.frombuffer(r.n, "<i8") for r in counted.filter("_chunk = -1").select("n").collect()), np.zeros(5, np.int64))
     vocabulary, known, total = int(sums[0]) + 1, sums[1:3], sums[3:].astype(float)
-    sweep(docs.sparkSession)  # a plan's shuffle files outlive its own write's sweep
     single = counted.filter("_chunk >= 0")
     paired = written(_totals(texts.groupBy("_chunk").cogroup(single.groupBy("_chunk")).applyInArrow(pairs, SENT)), "lm_pairs")
 
@@ -191,8 +190,6 @@ def score(docs: DataFrame, target: Column, bits: int | None = None, least: int =
             out = out.append_column(name, pa.array(x, mask=None if name == "n_tokens" else n == 0))
         return out
 
-    paired.limit(1).count()
-    sweep(docs.sparkSession)
     found = single.withColumn("kind", F.lit(0)).unionByName(paired.withColumn("kind", F.lit(1)))
     return chunks.groupBy("_chunk").cogroup(found.groupBy("_chunk")).applyInArrow(run, kinds)
 

@@ -47,7 +47,7 @@ class Counter:
     def scan(self, part: Slice) -> tuple[dict[str, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
         data, off, powers = part.data, part.off, self.powers
         starts, ends, words = word_bounds(part)
-        hashes = word_hashes(part, starts, ends, powers)
+        hashes = word_hashes(part, starts, ends)
         row = np.repeat(np.arange(part.rows), np.diff(words)).astype(np.uint64)
         out = {"n_words": np.diff(words)}
         out["word_chars"] = per_row(~SPACE[data] & ((data & 0xC0) != 0x80), off)
@@ -63,7 +63,7 @@ class Counter:
         solid = np.zeros(len(data) + 1, np.int64)
         np.cumsum(~SPACE[data], out=solid[1:])
         full = solid[stop] > solid[first]
-        line = mix(word_hashes(part, first[full], stop[full], powers) + line_row[full].astype(np.uint64), 9)
+        line = mix(word_hashes(part, first[full], stop[full]) + line_row[full].astype(np.uint64), 9)
         fresh = np.zeros(len(line), bool)
         fresh[np.unique(line, return_index=True)[1]] = True
         out["n_dup_lines"] = np.bincount(line_row[full][~fresh], minlength=part.rows)

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .scratch import forget, written
+from .scratch import forget, free, text_id, written
 from .sketch import Anchors, repeated_cells
 from .textscan import Powers, rolling, slices, word_bounds, word_hashes
 
@@ -21,7 +22,7 @@ def word_windows(width: int, gram: int) -> Callable[[], Callable]:
         def read(column: pa.Array) -> Iterator[Anchors]:
             for part in slices(column):
                 starts, ends, words = word_bounds(part)
-                yield Anchors(word_hashes(part, starts, ends, powers), words, width, gram, powers)
+                yield Anchors(word_hashes(part, starts, ends), words, width, gram, powers)
 
         return read
 
@@ -45,11 +46,14 @@ def remove_repeated_windows(docs: DataFrame, width: int = 35, bits: int = 27) ->
 
     Rows of equal text are one class: with two rows or more all its windows are repeated, so one
     row speaks for it, with weight 2. The sketch (2**bits cells a row, a fixed size) marks
-    windows that may be repeated; those, by 128-bit hash, are counted exactly and joined back.
+    windows that may be repeated; those are counted exactly and joined back by two hashes of 64 bits
+    each, made of two unrelated hashes of every word.
     """
     gram = max(1, width - 15)
-    plain = docs.drop("n_words", "n_removed", "kept", "_node", "_n", "_first", "_all", "_at").withColumn("_node", F.xxhash64("text"))
-    sure = plain.filter(F.col("text").isNotNull())
+    plain = docs.drop("n_words", "n_removed", "kept")
+    id_, at_, all_ = free(plain, "_id", "_at", "_all")
+    plain = plain.withColumn(id_, text_id("text"))
+    sure = plain.filter(F.col("text").isNotNull()).select(F.col(id_).alias("_node"), "doc_id", "text")
     copies = written(sure.groupBy("_node").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first")).filter("_n > 1"), "window-copies")
     scan = word_windows(width, gram)
     maps = repeated_cells(sure.select("text"), scan, bits)
@@ -59,20 +63,21 @@ def remove_repeated_windows(docs: DataFrame, width: int = 35, bits: int = 27) ->
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, maps = Powers(), shared.value
         for batch in batches:
-            node = batch.column(0).to_numpy()
+            node = batch.column(0)
             weight = np.where(np.asarray(batch.column(2).is_null()), 1, 2).astype(np.int32)
             for part in slices(batch.column(1)):
                 starts, ends, words = word_bounds(part)
-                hashes = word_hashes(part, starts, ends, powers)
+                hashes = word_hashes(part, starts, ends)
+                other = word_hashes(part, starts, ends, 1)
                 found = Anchors(hashes, words, width, gram, powers)
                 hot = np.repeat(found.hot(bits, maps), np.diff(np.append(found.first, len(found.starts))))
                 at = found.starts[hot]
                 if len(at):
                     row = np.searchsorted(words, at, "right") - 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rolling(hashes, width, powers, s)[at].view(np.int64)) for s in (70, 80)] + [pa.array(node[part.first + row]), pa.array((at - words[row]).astype(np.int32)), pa.array(weight[part.first + row])], ["a", "b", "_node", "at", "w"])
+                        [pa.array(rolling(x, width, powers, s)[at].view(np.int64)) for x, s in ((hashes, 70), (other, 80))] + [node.take(pa.array(part.first + row)), pa.array((at - words[row]).astype(np.int32)), pa.array(weight[part.first + row])], ["a", "b", "_node", "at", "w"])
 
-    held = written(spoken.select("_node", "text", "_n").mapInArrow(windows, "a long, b long, _node long, at int, w int"), "windows")
+    held = written(spoken.select("_node", "text", "_n").mapInArrow(windows, "a long, b long, _node binary, at int, w int"), "windows")
     twice = written(held.groupBy("a", "b").agg(F.sum("w").alias("n")).filter("n > 1").select("a", "b"), "windows-twice")
 
     def repeated() -> DataFrame:
@@ -82,9 +87,10 @@ def remove_repeated_windows(docs: DataFrame, width: int = 35, bits: int = 27) ->
 
     spans = written(repeated(), "window-spans")
     forget(held, twice)
-    text, names = docs.columns.index("text") if "text" in docs.columns else 0, ["n_words", "n_removed", "kept"]
-    tagged = plain.join(spans, "_node", "left").select(*[c for c in plain.columns if c != "_node"], "_at", "_all")
-    text = tagged.columns.index("text")
+    names = ["n_words", "n_removed", "kept"]
+    mine = [c for c in plain.columns if c != id_]
+    tagged = plain.join(spans.select(F.col("_node").alias(id_), F.col("_at").alias(at_), F.col("_all").alias(all_)), id_, "left").select(*mine, at_, all_)
+    text = mine.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,9 +112,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = 35, bits: int = 27) ->
                 own = batch.slice(part.first, part.rows)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n.astype(np.int64)), pa.array((gone[words[1:]] - gone[words[:-1]]).astype(np.int64)), pa.array(kept, pa.string())], [*own.schema.names, *names])
 
-    from pyspark.sql import types as T
-
-    kinds = T.StructType([*[f for f in tagged.schema if f.name not in ("_at", "_all")], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    kinds = T.StructType([*tagged.schema[:-2], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return tagged.mapInArrow(cut, kinds)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import forget, partitions, written
+from .scratch import forget, free, partitions, text_id, written
 from .sketch import Anchors, repeated_cells
 from .textscan import Powers, rolling, slices
 
@@ -217,9 +217,11 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
     whose hash is met twice. A segment is named by its anchor and a hash, 128 bits, afterwards.
     """
     gram = max(1, width - 26)
-    plain = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_node", "_d", "_n", "_first", "_at", "_all")
-    plain = plain.withColumns({"_node": F.xxhash64("text"), "_d": F.coalesce(F.col("doc_id"), F.lit(LAST))})
-    sure = plain.filter(F.col("text").isNotNull()).select("_node", "_d", "text")
+    plain = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
+    id_, at_, all_, first_ = free(plain, "_id", "_at", "_all", "_first")
+    plain = plain.withColumn(id_, text_id("text"))
+    owner = F.coalesce(F.col("doc_id"), F.lit(LAST))
+    sure = plain.filter(F.col("text").isNotNull()).select(F.col(id_).alias("_node"), owner.alias("_d"), "text")
     copies = written(sure.groupBy("_node").agg(F.count("*").alias("_n"), F.min("_d").alias("_first")).filter("_n > 1").select("_node", "_first"), "byte-copies")
     maps = repeated_cells(sure.select("text"), byte_windows(width, gram), bits)
     shared = docs.sparkSession.sparkContext.broadcast(maps)
@@ -228,7 +230,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, maps = Powers(), shared.value
         for batch in batches:
-            node, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            node, d = batch.column(0), batch.column(1).to_numpy()
             for part in slices(batch.column(2)):
                 found = Anchors(part.data.astype(np.uint64), part.off, width, gram, powers)
                 hot = found.hot(bits, maps)
@@ -238,9 +240,9 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
                     row = np.searchsorted(part.off, lo, "right") - 1
                     body = part.data.tobytes()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(found.keys[hot].view(np.int64)), pa.array([body[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()), pa.array(node[part.first + row]), pa.array(d[part.first + row]), pa.array((lo - part.off[row]).astype(np.int32))], ["anchor", "seg", "_node", "_d", "at"])
+                        [pa.array(found.keys[hot].view(np.int64)), pa.array([body[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()), node.take(pa.array(part.first + row)), pa.array(d[part.first + row]), pa.array((lo - part.off[row]).astype(np.int32))], ["anchor", "seg", "_node", "_d", "at"])
 
-    held = written(spoken.select("_node", "_d", "text").mapInArrow(segments, "anchor long, seg binary, _node long, _d long, at int"), "byte-segments")
+    held = written(spoken.select("_node", "_d", "text").mapInArrow(segments, "anchor long, seg binary, _node binary, _d long, at int"), "byte-segments")
     distinct = written(held.groupBy("anchor", "seg").agg(F.min("_d").alias("least"), F.max("_d").alias("most")), "byte-distinct")
 
     def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +283,10 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
 
     spans = written(removed(), "byte-spans")
     forget(held, owned)
-    tagged = plain.join(spans, "_node", "left").withColumn("_all", F.coalesce(F.col("_first") < F.col("_d"), F.lit(False))).select(*[c for c in plain.columns if c not in ("_node", "_d")], "_at", "_all")
-    text = tagged.columns.index("text")
+    mine = [c for c in plain.columns if c != id_]
+    spans = spans.select(F.col("_node").alias(id_), F.col("_at").alias(at_), F.col("_first").alias(first_))
+    tagged = plain.join(spans, id_, "left").withColumn(all_, F.coalesce(F.col(first_) < owner, F.lit(False))).select(*mine, at_, all_)
+    text = mine.index("text")
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,5 +310,5 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
                 own = batch.slice(part.first, part.rows)
                 yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.binary())], [*own.schema.names, *names])
 
-    kinds = T.StructType([*[f for f in tagged.schema if f.name not in ("_at", "_all")], *[T.StructField(n, T.LongType()) for n in names[:3]], T.StructField("kept", T.BinaryType())])
+    kinds = T.StructType([*tagged.schema[:-2], *[T.StructField(n, T.LongType()) for n in names[:3]], T.StructField("kept", T.BinaryType())])
     return tagged.mapInArrow(cut, kinds)

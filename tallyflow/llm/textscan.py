@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
@@ -75,6 +76,10 @@ def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[Slice]:
         first = last
 
 
+#: Runs of more bytes are hashed one by one.
+LONG = 64
+#: Masks of the first n bytes of eight, by n.
+FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -98,12 +103,29 @@ def word_bounds(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.searchsorted(starts, part.off)
 
 
-def word_hashes(part: Slice, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """64 bits for each word, a polynomial of its bytes."""
-    up, down = powers.to(len(part.data) + 1)
-    run = np.zeros(len(part.data) + 1, np.uint64)
-    np.cumsum((part.data.astype(np.uint64) + np.uint64(1)) * up[: len(part.data)], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(part: Slice, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64 bits for each run of bytes; distinct salts give unrelated hashes.
+
+    Eight bytes at a time are mixed into the hash before the next come, so no two runs meet for
+    reasons of form, as they do in a polynomial modulo 2**64. Runs over ``LONG`` bytes go one by one.
+    """
+    size = ends - starts
+    data = np.concatenate([part.data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(part.data) + 1, "<u8", data, strides=(1,))
+    out = mix(size.astype(np.uint64), salt + 101)
+    at, live = starts, np.flatnonzero(size <= LONG)
+    while len(live):
+        left = np.minimum(ends[live] - at[live], 8)
+        block = eight[at[live]] & FIRST[left]
+        out[live] = mix(out[live] ^ mix(block, salt + 103)) * np.uint64(0xA0761D6478BD642F)
+        live = live[left == 8]
+        at = at + 8
+        live = live[at[live] < ends[live]]
+    body = None
+    for i in np.flatnonzero(size > LONG).tolist():
+        body = memoryview(part.data) if body is None else body
+        out[i] = xxhash.xxh3_64_intdigest(body[starts[i] : ends[i]], salt)
+    return mix(out, salt + 107)
 
 
 def rolling(values: np.ndarray, width: int, powers: Powers, salt: int = 0) -> np.ndarray:
