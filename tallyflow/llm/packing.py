@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import partitions, written
+from .textscan import slices
 
 BLANKS = re.compile(r"[\t\n\x0b\x0c\r]")
-#: Latin letters, then marks that never join them in a token.
-LETTERS_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,*&%$#:;!?()|-]*)")
+MARKS = ".,*&%$#:;!?()|-"
 
 
 class ChunkTokenizer:
@@ -39,17 +39,29 @@ class ChunkTokenizer:
         import tokenizers
 
         self.tokenizer, self.keep = tokenizers.Tokenizer.from_file(path), keep
-        held = tokenizers.__dict__.setdefault("_tallyflow_known", {})
-        self.known, self.parts = held.setdefault(path, ({"": b""}, {"": b""}))
         to_bytes = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelled = {k: to_bytes.pre_tokenize_str(chr(k))[0][0] for k in [*range(33, 127), *range(0xC0, 0x250)]}
-        # the shortcuts hold for lower-casing byte-level vocabularies that drop white space
-        probe = "Abc,  déf\nGhi!! x"
-        self.apart = self._whole(probe) == b"".join(self._part(x) for x in ("abc", ",", "déf", "ghi", "!!", "x"))
+        held = tokenizers.__dict__.setdefault("_tallyflow_known", {})
+        if path not in held:
+            # the shortcuts hold for lower-casing byte-level vocabularies that drop white space
+            probe = "Abc,  def\nGhi!! x"
+            apart = self._whole(probe) == b"".join(self._part(x) for x in ("abc", ",", "def", "ghi", "!!", "x"))
+            letters = "".join(c for c in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x250)]) if self._plain(c))
+            held[path] = {"": b""}, {"": b""}, apart, re.compile(f"([{letters}]+)([{re.escape(MARKS)}]*)") if letters else None
+        self.known, self.parts, self.apart, self.letters_marks = held[path]
+        self.apart = self.apart and self.letters_marks is not None
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _plain(self, c: str) -> bool:
+        """Whether a letter goes by its lower case alone: by itself, within a word and before a mark."""
+        low = c.lower()
+        return c.isalpha() and all(ord(x) in self.spelled for x in low) and all(
+            self._whole(before + c + after + mark) == self._part((before + c + after).lower()) + (self._part(mark) if mark else b"")
+            for before, after, mark in (("", "", ""), ("a", "", ""), ("", "a", ""), ("ab", "cd", ""), ("", "", "."), ("a", "", "(!"))
+        )
+
     def _part(self, part: str) -> bytes:
         """A token's ids without the steps before the merges: it is normal and one piece already."""
         return np.asarray([t.id for t in self.tokenizer.model.tokenize(part.translate(self.spelled))], "<u4").tobytes()
@@ -65,7 +77,7 @@ class ChunkTokenizer:
                 held.clear()
                 held[""] = b""
         for c in {c for chunks in split for c in chunks if c not in known}:
-            m = LETTERS_MARKS.fullmatch(c)
+            m = self.letters_marks.fullmatch(c)
             if m:
                 letters, marks = m[1].lower(), m[2]
                 for x in (letters, marks):
@@ -86,8 +98,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, eos: int, with_ids: b
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = ChunkTokenizer(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for few in slices(batch.column(1)):
+                part = batch.slice(few.first, few.rows)
                 out: list[list] = [[] for _ in schema]
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), tok.encode(texts), strict=True):
@@ -143,13 +155,53 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tup
     return [(items, n) for groups in open_.values() for items, n in groups]
 
 
-def fillings(count: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first, at most ``width``.
+def dominated(count: np.ndarray, fill: tuple[int, ...], waste: int) -> bool:
+    """Whether a remaining piece still fits in the filling's waste, one of its pieces can give way
+    to a longer remaining one within the waste, or two can give way to one."""
+    free = count.copy()
+    for t in fill:
+        free[t] -= 1
+    if free[1 : waste + 1].any() or any(free[t + 1 : t + waste + 1].any() for t in set(fill)):
+        return True
+    return any(free[a + b : a + b + waste + 1].any() for i, a in enumerate(fill) for b in fill[i + 1 :])
+
+
+def all_fillings(count: np.ndarray, room: int, most: int) -> Iterator[tuple[int, ...]]:
+    """Every undominated filling of ``room`` that wastes at most ``most``, one at a time: pieces are
+    taken in falling order, the longest first."""
+    sizes = np.flatnonzero(count[: room + 1])[::-1].tolist()
+    if not sizes:
+        if room <= most:
+            yield ()
+        return
+    if sizes[0] == room:  # dominates every other
+        yield (room,)
+        return
+    fill: list[int] = []  # indexes into sizes
+    used = [0] * len(sizes)
+    space, i = room, 0
+    while True:
+        while i < len(sizes) and (sizes[i] > space or used[i] >= count[sizes[i]]):
+            i += 1
+        if i < len(sizes):
+            fill.append(i)
+            used[i] += 1
+            space -= sizes[i]
+            continue
+        own = tuple(sizes[j] for j in fill)
+        if space <= most and not dominated(count, own, space):
+            yield own
+        if not fill:
+            return
+        i = fill.pop()
+        used[i] -= 1
+        space += sizes[i]
+        i += 1
 
-    A filling is dominated when a remaining piece still fits in its waste, when one of its
-    pieces can give way to a longer remaining one within the waste, or when two can give
-    way to one. A single piece that fills the room exactly dominates every other filling.
-    """
+
+def fillings(count: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
+    """The most promising undominated fillings of ``room``, least waste first, at most ``width``:
+    completions by best pairs around several first pieces."""
     here = np.flatnonzero(count[: room + 1])
     if not len(here):
         return [()]
@@ -197,28 +249,19 @@ def fillings(count: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
             space -= sum(more)
         found.add(tuple(sorted(fill, reverse=True)))
 
-    def dominated(fill: tuple[int, ...]) -> bool:
-        free = count.copy()
-        for t in fill:
-            free[t] -= 1
-        waste = room - sum(fill)
-        if free[1 : waste + 1].any():
-            return True
-        if any(free[t + 1 : t + waste + 1].any() for t in set(fill)):
-            return True
-        return any(free[a + b : a + b + waste + 1].any() for i, a in enumerate(fill) for b in fill[i + 1 :])
-
-    kept = [f for f in found if not dominated(f)] or [max(found, key=sum)]
+    kept = [f for f in found if not dominated(count, f, room - sum(f))] or [max(found, key=sum)]
     return sorted(kept, key=lambda f: (room - sum(f), len(f), tuple(-x for x in f)))[:width]
 
 
-def plan(counts: dict[int, int], capacity: int, nodes: int = 6000, width: int = 4) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], capacity: int, nodes: int | None = None, width: int = 4) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths with their repeat counts; together they use every piece once.
 
-    Depth-first bin completion: each node completes a bin around the largest remaining
-    piece, as often as the counts allow. A branch ends when its waste exceeds what the best
-    packing so far leaves to gain. The first incumbent is best-fit decreasing. ``nodes``
-    bounds the search; beyond it the best packing found stands.
+    Depth-first bin completion: each node completes a bin around the largest remaining piece, as
+    often as the counts allow. A branch ends when its waste exceeds what the best packing so far
+    leaves to gain. The first incumbent is best-fit decreasing. A first search tries the ``width``
+    most promising fillings of each node; if that ends without reaching the lower bound, a second
+    one enumerates all undominated fillings. ``nodes`` (unset: 6000 and 8 for each length)
+    bounds the two together; beyond it the best packing found stands.
     """
     counts = {int(k): int(n) for k, n in counts.items() if n}
     if not counts:
@@ -231,6 +274,16 @@ def plan(counts: dict[int, int], capacity: int, nodes: int = 6000, width: int =
     count = np.zeros(capacity + 1, np.int64)
     for k, n in counts.items():
         count[k] = n
+    left = nodes if nodes is not None else 6000 + 8 * len(counts)
+    for wide in (False, True):
+        if fewest <= floor or left <= 0:
+            break
+        best, fewest, left = _search(count.copy(), capacity, total, floor, best, fewest, left, width, wide)
+    return best
+
+
+def _search(count: np.ndarray, capacity: int, total: int, floor: int, best: list, fewest: int, nodes: int, width: int, wide: bool) -> tuple[list, int, int]:
+    """A better packing than ``best``, if there is one within ``nodes``; and the nodes left."""
     path: list[tuple[tuple[int, ...], int]] = []
     stack: list[list] = []  # of levels: fillings still to try, the piece, whether one is in place
     waste = bins = 0
@@ -238,13 +291,12 @@ def plan(counts: dict[int, int], capacity: int, nodes: int = 6000, width: int =
 
     def level() -> list:
         top = int(np.flatnonzero(count)[-1])
-        count[top] -= 1
-        tries = fillings(count, capacity - top, width)
-        count[top] += 1
-        return [tries[::-1], top, False]
+        rest = count.copy()
+        rest[top] -= 1
+        tries = all_fillings(rest, capacity - top, max(0, spare - waste)) if wide else iter(fillings(rest, capacity - top, width))
+        return [tries, top, False]
 
-    if fewest > floor:
-        stack.append(level())
+    stack.append(level())
     while stack and nodes:
         now = stack[-1]
         if now[2]:  # undo
@@ -254,20 +306,21 @@ def plan(counts: dict[int, int], capacity: int, nodes: int = 6000, width: int =
             waste -= n * (capacity - sum(items))
             bins -= n
             now[2] = False
-        if not now[0]:
+        fill = next(now[0], None)
+        if fill is None:
             stack.pop()
             continue
-        items = (now[1], *now[0].pop())
+        nodes -= 1
+        items = (now[1], *fill)
         need: dict[int, int] = {}
         for x in items:
             need[x] = need.get(x, 0) + 1
-        n = min(int(count[x]) // k for x, k in need.items())
+        n = 1 if wide else min(int(count[x]) // k for x, k in need.items())
         lost = capacity - sum(items)
         if waste + n * lost > spare:
             n = 1 if waste + lost <= spare else 0
         if not n:
             continue
-        nodes -= 1
         for x in items:
             count[x] -= n
         waste, bins, now[2] = waste + n * lost, bins + n, True
@@ -280,7 +333,7 @@ def plan(counts: dict[int, int], capacity: int, nodes: int = 6000, width: int =
                     break
         else:
             stack.append(level())
-    return best
+    return best, fewest, nodes
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, eos: int = 1, with_ids: bool = False) -> DataFrame:
