@@ -8,7 +8,6 @@ ridge regression in the space they span gives a score for each language.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +16,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textscan import slices
+
 CELLS = 1 << 16
-LETTER = re.compile(r"[^\W\d_]")
 ORDERS = (1, 2, 3)
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def gram_cells(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """For each order the cells of all n-grams of the joined texts, and the texts' places in them."""
     codes = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
@@ -37,14 +41,21 @@ def gram_cells(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     return out, off
 
 
-def presence(texts: list[str], into: np.ndarray) -> np.ndarray:
-    """Rows of 0 and 1: which cells each text's n-grams hold."""
+def presence(texts: list[str], into: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """Rows of 0 and 1: which cells each text's n-grams hold. Texts go in parts of at most ``most``
+    characters, each with the last ones of the part before it."""
     rows = into[: len(texts)]
     rows.fill(0)
-    cells, off = gram_cells(texts)
-    for i in range(len(texts)):
-        for n, own in zip(ORDERS, cells, strict=True):
-            rows[i, own[off[i] : max(off[i], off[i + 1] - n + 1)]] = 1
+    parts = [(i, t[at : at + most + ORDERS[-1] - 1]) for i, t in enumerate(texts) for at in range(0, max(1, len(t)), most)]
+    while parts:
+        size, n = 0, 0
+        while n < len(parts) and (not n or size + len(parts[n][1]) <= most):
+            size, n = size + len(parts[n][1]), n + 1
+        cells, off = gram_cells([t for _, t in parts[:n]])
+        for j, (i, _) in enumerate(parts[:n]):
+            for k, own in zip(ORDERS, cells, strict=True):
+                rows[i, own[off[j] : max(off[j], off[j + 1] - k + 1)]] = 1
+        parts = parts[n:]
     return rows
 
 
@@ -94,20 +105,21 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 300, longest: int = 20_000) -> KernelModel | None:
-    """Fit on at most ``per_language`` labelled texts of at most ``longest`` characters for each
-    language, those of least hash, none of them held out. None without labelled texts."""
-    able = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).withColumn("_h", F.xxhash64("doc_id"))
+def fit(docs: DataFrame, per_language: int = 300) -> KernelModel | None:
+    """Fit on the labelled texts of at most ``per_language`` hashes of doc_id for each language, the
+    least ones, none of them held out; of repeated ids the least text counts. None without
+    labelled texts."""
+    able = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("_h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    cut = able.select("lang", "_h").withColumn("_r", rank).filter(F.col("_r") <= per_language).groupBy("lang").agg(F.max("_h").alias("_cut"))
+    cut = able.select("lang", "_h").distinct().withColumn("_r", rank).filter(F.col("_r") <= per_language).groupBy("lang").agg(F.max("_h").alias("_cut"))
     cuts = {r["lang"]: r["_cut"] for r in cut.collect()}  # one row for each language
     if not cuts:
         return None
     chosen = F.lit(False)
     for lang, most in cuts.items():
         chosen |= (F.col("lang") == lang) & (F.col("_h") <= most)
-    rows = able.filter(chosen & F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "lang", "text").collect()
-    rows = sorted((r for r in rows if LETTER.search(r["text"])), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    rows = able.filter(chosen & F.col("text").isNotNull()).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    rows = sorted((r for r in rows if has_letter(r["text"])), key=lambda r: (r["doc_id"], r["lang"]))
     return KernelModel.fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
 
@@ -128,9 +140,10 @@ def identify(docs: DataFrame, per_language: int = 300, model: KernelModel | None
         room = np.zeros((32, CELLS), np.float32)
         for batch in batches:
             names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            for first in range(0, batch.num_rows if known else 0, 32):
-                texts = batch.column(at).slice(first, 32).to_pylist()
-                own = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+            blocks = [(first, min(32, part.first + part.rows - first)) for part in slices(batch.column(at)) for first in range(part.first, part.first + part.rows, 32)] if known else []
+            for first, n in blocks:
+                texts = batch.column(at).slice(first, n).to_pylist()
+                own = [i for i, t in enumerate(texts) if has_letter(t)]
                 if own:
                     best, share = known.predict([texts[i] for i in own], room)
                     for i, b, s in zip(own, best, share, strict=True):
