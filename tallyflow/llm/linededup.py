@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .scratch import fingerprint, written
+from .scratch import fingerprint, forget, free, written
+from .textscan import slices
 
 #: The blanks stripped from a line's ends.
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def line_key(line):
+def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANK)), UPPER, LOWER)
 
 
-def _hashed(line):
+def _hashed(line: Column) -> Column:
+    """128 bits of a line's key, as text (distinct values of an array of text are found by hash);
+    null for an empty key."""
     key = line_key(line)
-    return F.when(F.length(key) >= 1, F.struct(F.xxhash64(F.lit(3), key).alias("a"), F.xxhash64(key, F.lit(5)).alias("b")))
+    return F.when(F.length(key) >= 1, F.md5(key.cast("binary")))
+
+
+def _kept(text: bytes, drop: set[bytes]) -> tuple[bytes, int, int]:
+    """The text without the lines whose keys' hashes are in ``drop``, its lines, and those dropped."""
+    lines = text.split(b"\n")
+    stay = [x for x in lines if not (key := x.strip(BLANK.encode()).translate(FOLD)) or hashlib.md5(key).digest() not in drop]
+    return b"\n".join(stay), len(lines), len(lines) - len(stay)
 
 
 class LineRuns:
-    """Runs of (a, b, n): a line's hash and the documents that hold it, sorted by hash.
+    """Runs of (key, n): a line's hash and the documents that hold it, sorted by hash.
 
     A run enters level 0. When a level holds ``fanout`` runs they are merged into one run of the
     next level, so a key is rewritten once a level. A batch is merge-anti-joined with the
@@ -37,14 +54,14 @@ class LineRuns:
         return [run for level in self.levels for run in level]
 
     def _run(self, keys: DataFrame) -> DataFrame:
-        return written(keys.groupBy("a", "b").agg(F.sum("n").alias("n")).sortWithinPartitions("a", "b"), "line-run")
+        return written(keys.groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key"), "line-run")
 
     def add(self, batch: DataFrame) -> None:
-        """``batch``: (a, b), one row for each document and distinct key."""
-        keys = batch.groupBy("a", "b").agg(F.count("*").alias("n"))
+        """``batch``: (key), one row for each document and distinct key."""
+        keys = batch.groupBy("key").agg(F.count("*").alias("n"))
         for run in self.runs():
-            done = run.filter(F.col("n") >= self.settled).select("a", "b")
-            keys = keys.join(done.hint("merge"), ["a", "b"], "left_anti")
+            done = run.filter(F.col("n") >= self.settled).select("key")
+            keys = keys.join(done.hint("merge"), "key", "left_anti")
         self.levels[0].append(self._run(keys))
         for k, level in enumerate(self.levels):
             if len(level) >= self.fanout:
@@ -54,6 +71,7 @@ class LineRuns:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k + 1].append(self._run(merged))
+                forget(*level)
                 self.levels[k] = []
 
     def frequent(self) -> DataFrame:
@@ -62,7 +80,7 @@ class LineRuns:
         merged = runs[0]
         for other in runs[1:]:
             merged = merged.unionByName(other)
-        return merged.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= self.settled).select("a", "b")
+        return merged.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= self.settled).select("key")
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4) -> DataFrame:
@@ -73,20 +91,47 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4) -
     also when its doc_id is null or repeated. Null and empty texts are one empty line, and
     become the empty string. Lines with an empty key always stay. An empty table gives none.
     """
-    plain = docs.drop("n_lines", "n_dropped", "line_hit", "_u", "_v", "_drop")
-    u, v = fingerprint(F.col("doc_id").cast("string"), "text")
-    marked = plain.withColumns({"_u": u, "_v": v})
+    names = ["n_lines", "n_dropped", "line_hit"]
+    plain = docs.drop(*names)
+    u, v, drop = free(plain, "_u", "_v", "_drop")
+    one, two = fingerprint(F.col("doc_id").cast("string"), "text")
+    marked = plain.withColumns({u: one, v: two})
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    keys = F.filter(F.array_distinct(F.transform(lines, _hashed)), lambda x: x.isNotNull())
-    held = marked.select("_u", "_v", F.explode(keys).alias("k")).select("_u", "_v", "k.a", "k.b")
-    held = written(held.withColumn("batch", F.pmod("_u", F.lit(batches))), "line-keys")
+    keys = F.array_distinct(F.transform(lines, _hashed))
+    held = marked.select(F.col(u).alias("u"), F.col(v).alias("v"), F.explode(keys).alias("key")).filter("key IS NOT NULL")
+    held = written(held.select("u", "v", F.unhex("key").alias("key"), F.pmod("u", F.lit(batches)).alias("batch")), "line-keys", partition_by="batch")
     store = LineRuns(min_docs)
     for k in range(batches):
-        store.add(held.filter(F.col("batch") == k).select("a", "b"))
+        store.add(held.filter(F.col("batch") == k).select("key"))
     frequent = written(store.frequent(), "line-frequent")
-    hits = held.select("_u", "_v", "a", "b").join(frequent, ["a", "b"])
-    gone = written(hits.groupBy("_u", "_v").agg(F.collect_set(F.struct("a", "b")).alias("_drop")), "line-hits")
-    all_ = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.filter(all_, lambda x: ~F.coalesce(F.array_contains("_drop", _hashed(x)), F.lit(False)))
-    out = marked.join(gone, ["_u", "_v"], "left").withColumn("_kept", F.when(F.col("_drop").isNull(), all_).otherwise(kept))
-    return out.withColumns({"n_lines": F.size(all_).cast("long"), "n_dropped": (F.size(all_) - F.size("_kept")).cast("long"), "text": F.array_join("_kept", "\n")}).withColumn("line_hit", F.col("n_dropped") > 0).drop("_u", "_v", "_drop", "_kept")
+    forget(*store.runs())
+    hits = held.select("u", "v", "key").join(frequent, "key")
+    gone = written(hits.groupBy("u", "v").agg(F.collect_set("key").alias("drop")), "line-hits")
+    forget(held, frequent)
+    gone = gone.select(F.col("u").alias(u), F.col("v").alias(v), F.col("drop").alias(drop))
+    tagged = marked.join(gone, [u, v], "left").select(*plain.columns, drop)
+    text = plain.columns.index("text")
+    kinds = T.StructType([*tagged.schema[:-1], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drops = batch.column(batch.num_columns - 1)
+            for part in slices(batch.column(text)):
+                body = part.data.tobytes()
+                breaks = np.concatenate([[0], np.cumsum(part.data == 10)])
+                n = breaks[part.off[1:]] - breaks[part.off[:-1]] + 1
+                gone = np.zeros(part.rows, np.int64)
+                kept = []
+                for i, (lo, hi) in enumerate(zip(part.off[:-1].tolist(), part.off[1:].tolist(), strict=True)):
+                    own = drops[part.first + i]
+                    if own.is_valid:
+                        stay, _, gone[i] = _kept(body[lo:hi], set(own.as_py()))
+                        kept.append(stay.decode())
+                    else:
+                        kept.append(body[lo:hi].decode())
+                own = batch.slice(part.first, part.rows)
+                columns = [*own.columns[:-1], pa.array(n.astype(np.int64)), pa.array(gone)]
+                columns[text] = pa.array(kept, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, kinds.names)
+
+    return tagged.mapInArrow(cut, kinds).withColumn("line_hit", F.col("n_dropped") > 0)
