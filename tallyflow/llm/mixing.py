@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import fingerprint, partitions, written
+from .scratch import fingerprint, free, written
 
+#: Parts into which a group of documents of one source and size is dealt; a fixed number, so that
+#: copies don't depend on the session.
+PARTS = 4096
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
 
 
@@ -87,32 +90,33 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
     texts have size 0 and no copies; a null source is a source, the last; repeated rows are
     documents; an empty table gives none.
     """
-    spark = docs.sparkSession
     names = ("size", "source_size", "target", "rate", "copies")
-    u, v = fingerprint(F.col("doc_id").cast("string"), "text")
-    sized = docs.drop(*names, "_u", "_v", "_b").withColumn("size", n_words(F.col("text"))).withColumns({"_u": u, "_v": v})
-    sized = sized.withColumn("_b", F.pmod("_u", F.lit(4 * partitions(spark))))
-    parts = written(sized.groupBy("source", "size", "_b").agg(F.count("*").alias("n")), "mix-sizes")
+    plain = docs.drop(*names)
+    u, v, part, own, s, z, c, ahead, run = free(plain, "_u", "_v", "_part", "_own", "_s", "_z", "_c", "_ahead", "_run")
+    one, two = fingerprint(F.col("doc_id").cast("string"), "text")
+    sized = plain.withColumn("size", n_words(F.col("text"))).withColumns({u: one, v: two}).withColumn(part, F.pmod(u, F.lit(PARTS)))
+    parts = written(sized.groupBy("source", "size", F.col(part).alias("part")).agg(F.count("*").alias("n")), "mix-sizes")
     sizes = written(parts.groupBy("source", "size").agg(F.sum("n").alias("n")), "mix-histogram")
     state = balance(sizes, targets(sizes, list(weights), most), most)
     tilt = F.col("lam") * F.col("size") / F.col("mean")
     rate = F.when(F.col("size") == 0, F.lit(0.0)).when(F.col("lam").isNull(), F.lit(most)).otherwise(F.least(F.lit(most), F.exp(tilt))).cast("decimal(20,12)")
     goal = state.withColumnRenamed("source", "s")
     rated = sizes.join(goal, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", rate)
-    run = F.sum((F.col("n") * F.col("rate")).cast("decimal(38,12)")).over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
-    rated = rated.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "source_size", "target", "rate", F.coalesce(run, F.lit(0).cast("decimal(38,12)")).alias("_run"))
-    ahead = F.sum("n").over(Window.partitionBy("source", "size").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    places = parts.withColumn("_ahead", F.coalesce(ahead, F.lit(0)))
-    places = places.join(rated, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
-    places = written(places.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_b").alias("_c"), "_ahead", "source_size", "target", "rate", "_run"), "mix-places")
-    own = F.row_number().over(Window.partitionBy("source", "size", "_b").orderBy("_u", "_v"))
-    out = sized.withColumn("_own", own).join(places, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_b") == F.col("_c")))
-    upto = lambda k: F.floor(F.col("_run") + (F.col("_ahead") + k) * F.col("rate") + F.lit(0.5).cast("decimal(2,1)"))
-    out = out.withColumn("copies", (upto(F.col("_own")) - upto(F.col("_own") - 1)).cast("long"))
-    return out.withColumn("rate", F.col("rate").cast("double")).drop("_u", "_v", "_b", "_s", "_z", "_c", "_ahead", "_run", "_own")
+    before = F.sum((F.col("n") * F.col("rate")).cast("decimal(38,12)")).over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
+    rated = rated.select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "rate", F.coalesce(before, F.lit(0).cast("decimal(38,12)")).alias("run"))
+    sooner = F.sum("n").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    places = parts.withColumn("ahead", F.coalesce(sooner, F.lit(0)))
+    places = places.join(rated, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
+    places = written(places.select(F.col("source").alias(s), F.col("size").alias(z), F.col("part").alias(c), F.col("ahead").alias(ahead), "source_size", "target", "rate", F.col("run").alias(run)), "mix-places")
+    rank = F.row_number().over(Window.partitionBy("source", "size", part).orderBy(u, v))
+    out = sized.withColumn(own, rank).join(places, F.col("source").eqNullSafe(F.col(s)) & (F.col("size") == F.col(z)) & (F.col(part) == F.col(c)))
+    upto = lambda k: F.floor(F.col(run) + (F.col(ahead) + k) * F.col("rate") + F.lit(0.5).cast("decimal(2,1)"))
+    out = out.withColumn("copies", (upto(F.col(own)) - upto(F.col(own) - 1)).cast("long"))
+    return out.withColumn("rate", F.col("rate").cast("double")).drop(u, v, part, s, z, c, ahead, run, own)
 
 
 def copied(mixed: DataFrame) -> DataFrame:
     """One row for each copy that a mix takes, without the mix's own columns."""
-    rows = mixed.filter(F.col("copies") > 0).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return rows.drop("_k", "size", "source_size", "target", "rate", "copies")
+    (k,) = free(mixed, "_k")
+    rows = mixed.filter(F.col("copies") > 0).withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.drop(k, "size", "source_size", "target", "rate", "copies")
