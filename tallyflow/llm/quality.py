@@ -163,14 +163,14 @@ class QualityModel:
         return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, longest: int = 20_000) -> QualityModel | None:
-    """Fit on at most about ``rows`` labelled texts (those of least hash) of at most ``longest``
-    characters. None unless both labels are there."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> QualityModel | None:
+    """Fit on at most ``rows`` labelled texts, those of the doc_ids of least hash; of a repeated
+    doc_id the least text counts. None unless both labels are there."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q"), F.max("quality").alias("_p"))
     known = known.filter(F.col("_q") == F.col("_p")).withColumn("_h", F.xxhash64("doc_id"))
     known = known.orderBy("_h", "doc_id").limit(rows).select("doc_id", "_q")
-    found = docs.filter(F.col("text").isNotNull() & (F.length("text") <= longest)).join(F.broadcast(known), "doc_id").select("doc_id", "_q", "text")
-    out = sorted(found.limit(2 * rows).collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
+    found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").groupBy("doc_id", "_q").agg(F.min("text").alias("text"))
+    out = sorted(found.collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     return QualityModel.fit([r["text"] for r in out], [r["_q"] for r in out]) if len({r["_q"] for r in out}) == 2 else None
 
 
