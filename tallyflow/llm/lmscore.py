@@ -13,15 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import written
+from .scratch import free, written
 from .textscan import Powers, mix, slices, string_buffers, word_bounds, word_hashes
 
 CHUNK = 1 << 23  # bytes of text that are counted and scored together
 SENT = "part int, _chunk long, keys binary, n_target binary, n_all binary"
 
 
-def _chunked(docs: DataFrame) -> DataFrame:
-    """Add _chunk, a number shared by rows of about CHUNK bytes (64 for a row besides its text)."""
+def _chunked(docs: DataFrame, name: str) -> DataFrame:
+    """Add column ``name``, a number shared by rows of about CHUNK bytes (64 for a row besides its text)."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,9 +31,9 @@ def _chunked(docs: DataFrame) -> DataFrame:
                 continue
             begin = size + np.concatenate([[0], np.cumsum(np.diff(string_buffers(batch.column(at))[0]) + 64)])
             size = int(begin[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + begin[:-1] // CHUNK, pa.int64())], [*batch.schema.names, "_chunk"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + begin[:-1] // CHUNK, pa.int64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_chunk", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.LongType())]))
 
 
 def _words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,13 +135,14 @@ def score(docs: DataFrame, target: Column, bits: int | None = None, least: int =
     needs for a part to hold a few chunks' worth.
     """
     names = ["n_tokens", "target_loss", "background_loss", "loss_diff"]
-    plain = docs.drop(*names, "_target", "_chunk")
+    plain = docs.drop(*names)
+    mark_, chunk_ = free(plain, "_target", "_chunk")
     kinds = T.StructType([*plain.schema, T.StructField("n_tokens", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names[1:]]])
-    chunks = written(_chunked(plain.withColumn("_target", F.coalesce(target, F.lit(False)))), "lm_chunks")
+    chunks = written(_chunked(plain.withColumn(mark_, F.coalesce(target, F.lit(False))), chunk_), "lm_chunks")
     if bits is None:
         size = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = max(4, (size // (4 * CHUNK)).bit_length())
-    texts = chunks.select("_chunk", "text", "_target")
+    texts = chunks.select(F.col(chunk_).alias("_chunk"), "text", F.col(mark_).alias("_target"))
 
     def words(key: tuple, rows: pa.Table) -> pa.Table:
         hashes, n = _words(rows["text"])
@@ -163,7 +164,7 @@ def score(docs: DataFrame, target: Column, bits: int | None = None, least: int =
     paired = written(_totals(texts.groupBy("_chunk").cogroup(single.groupBy("_chunk")).applyInArrow(pairs, SENT)), "lm_pairs")
 
     def run(_: tuple, rows: pa.Table, found: pa.Table) -> pa.Table:
-        mark = _marks(rows)
+        mark = rows[mark_].to_numpy().astype(float)
         hashes, n = _words(rows["text"])
         row = np.repeat(np.arange(len(n)), n)
         both, back = np.unique(hashes, return_inverse=True)
@@ -185,13 +186,13 @@ def score(docs: DataFrame, target: Column, bits: int | None = None, least: int =
             p[inner] = share * (after[k, pair] - mine[inner] * own_pair) / np.maximum(seen, 1) + (1 - share) * p[inner]  # a first word has no predecessor
             run_ = np.concatenate([[0], np.cumsum(-np.log(p))])
             loss.append((run_[begin[1:]] - run_[begin[:-1]]) / np.maximum(n, 1))
-        out = rows.drop_columns(["_target", "_chunk"])
+        out = rows.drop_columns([mark_, chunk_])
         for name, x in zip(names, (n, loss[0], loss[1], loss[0] - loss[1]), strict=True):
             out = out.append_column(name, pa.array(x, mask=None if name == "n_tokens" else n == 0))
         return out
 
     found = single.withColumn("kind", F.lit(0)).unionByName(paired.withColumn("kind", F.lit(1)))
-    return chunks.groupBy("_chunk").cogroup(found.groupBy("_chunk")).applyInArrow(run, kinds)
+    return chunks.groupBy(chunk_).cogroup(found.groupBy("_chunk")).applyInArrow(run, kinds)
 
 
 def _marks(rows: pa.Table) -> np.ndarray:
