@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
-from .textscan import Powers, mix, rolling, slices, word_bounds, word_hashes
+from .scratch import fingerprint, forget, free, written
+from .sketch import levels
+from .textscan import Powers, Slice, mix, rolling, slices, word_bounds, word_hashes
 
 
 def shingles(hashes: np.ndarray, k: int, powers: Powers) -> np.ndarray:
@@ -18,6 +20,13 @@ def shingles(hashes: np.ndarray, k: int, powers: Powers) -> np.ndarray:
     return rolling(hashes, min(k, len(hashes)), powers, 5 + len(hashes) if 0 < len(hashes) < k else 0) if len(hashes) else hashes
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """512 bits of a set of hashes, each bit the parity of the members that fall on it. Two sets'
+    bits differ in at most as many places as the sets themselves."""
+    n = np.bincount((grams >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(n.astype(np.uint8)).view("<i8")
+
+
 def order_sketch(grams: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
     """One key for each seed: the ``size`` k-mers of least hash, k-mers labelled by their
     occurrence in the text, kept in text order."""
@@ -103,212 +112,257 @@ def components(links: DataFrame) -> DataFrame:
         low = state.join(near, state["node"] == near["x"]).select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
         low = written(low, "link-labels")
         jump = low.join(low.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp")
-        state = written(jump.select("node", F.least("comp", "next").alias("comp"), (F.least("comp", "next") != F.col("old")).alias("moved")), "link-labels")
+        new = written(jump.select("node", F.least("comp", "next").alias("comp"), (F.least("comp", "next") != F.col("old")).alias("moved")), "link-labels")
+        forget(state, low)
+        state = new
         if not state.filter("moved").limit(1).count():
+            forget(edges)
             return state.select("node", "comp")
-        state = state.select("node", "comp")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 12, size: int = 3, rounds: int = 1, whole: int = 50) -> DataFrame:
-    """Add class_id and n_links to every row, replacing columns of these names.
+def _apart_bits(a: str, b: str) -> Column:
+    """In how many places two texts' parities differ."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, 8)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+
+
+def _may_be(least: float, n: str, m: str, a: str, b: str) -> Column:
+    """Whether sets of n and m shingles with parities a and b may have a Jaccard similarity of
+    ``least``: it allows their sets to differ in (n + m) * (1 - least) / (1 + least) members."""
+    x, y = F.col(n), F.col(m)
+    return (F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-6) & (_apart_bits(a, b) <= (x + y) * F.lit((1 - least) / (1 + least)) + 1e-6)
+
+
+class Texts:
+    """The distinct texts of a table, numbered, with their sketches.
+
+    ``table``: node, the text's fingerprint (f, g), first (its least doc_id), n (its shingles), sig
+    (their parity) and keys (its bands); ``words``: texts of the nodes that share a band.
+    """
+
+    def __init__(self, sure: DataFrame, f: str, g: str, k: int, bands: int, size: int):
+        self.k, self.rows = k, sure.select(F.col(f).alias("f"), F.col(g).alias("g"), "doc_id", "text")
+        seeds = mix(np.arange(1, bands + 1, dtype=np.uint64), 95)
+
+        def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch.column(3)):
+                    powers = Powers()
+                    starts, ends, words = word_bounds(part)
+                    hashes = word_hashes(part, starts, ends)
+                    grams = rolling(hashes, k, powers)
+                    keys, counts, sigs = [], np.zeros(part.rows, np.int32), np.zeros((part.rows, 8), np.int64)
+                    for i, (lo, hi) in enumerate(zip(words[:-1], words[1:], strict=True)):
+                        if hi > lo:
+                            own = grams[lo : hi - k + 1] if hi - lo >= k else shingles(hashes[lo:hi], k, powers)
+                            keys.append(order_sketch(own, seeds, size))
+                            own = np.unique(own)
+                            counts[i], sigs[i] = len(own), parity(own)
+                    flat = pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64))
+                    off = np.concatenate([[0], np.cumsum((counts > 0) * bands)]).astype(np.int32)
+                    own = batch.slice(part.first, part.rows)
+                    yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(counts), pa.FixedSizeListArray.from_arrays(pa.array(sigs.ravel()), 8).cast(pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(off), flat)], ["f", "g", "doc_id", "n", "sig", "keys"])
+
+        drawn = self.rows.mapInArrow(sketch, f"f long, g long, doc_id {sure.schema['doc_id'].dataType.simpleString()}, n int, sig array<long>, keys array<long>")
+        one = drawn.groupBy("f", "g").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "sig", "keys")])
+        self.table = written(one.withColumn("node", F.monotonically_increasing_id()), "omh-texts")
+        self.slim = self.table.select("node", "n", "sig")
+        self.words: DataFrame | None = None
+
+    def bands(self) -> DataFrame:
+        return self.table.select("node", F.posexplode("keys").alias("band", "key"))
+
+    def fetch(self, nodes: DataFrame) -> None:
+        """Write the texts of ``nodes``; one row speaks for its copies."""
+        chosen = self.table.join(nodes, "node").select("node", "f", "g", "first")
+        found = self.rows.join(chosen, ["f", "g"]).filter(F.col("doc_id").eqNullSafe(F.col("first")))
+        self.words = written(found.groupBy("node").agg(F.first("text").alias("text")), "omh-words")
+
+    def near(self, pairs: DataFrame, least: float) -> DataFrame:
+        """The distinct pairs (x, y) that sizes and parities allow to be similar."""
+        x = self.slim.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx"))
+        y = self.slim.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("sig").alias("sy"))
+        return pairs.distinct().join(x, "x").join(y, "y").filter(_may_be(least, "nx", "ny", "sx", "sy")).select("x", "y")
+
+    def similar(self, pairs: DataFrame, least: float) -> DataFrame:
+        """The pairs of texts (x, y) that are similar."""
+        k = self.k
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            powers = Powers()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 200):
+                    part = batch.slice(at, 200)
+                    words = []
+                    for column in (2, 3):
+                        own = []
+                        for piece in slices(part.column(column)):
+                            starts, ends, off = word_bounds(piece)
+                            hashes = word_hashes(piece, starts, ends)
+                            own += [hashes[lo:hi] for lo, hi in zip(off[:-1], off[1:], strict=True)]
+                        words.append(own)
+                    good = [similar(x, y, k, least, powers) for x, y in zip(*words, strict=True)]
+                    yield part.select([0, 1]).filter(pa.array(good))
+
+        both = pairs.join(self.words.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
+        both = both.join(self.words.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x")
+        return both.select("x", "y", "tx", "ty").mapInArrow(check, "x long, y long")
+
+
+def _classes(sure: DataFrame, f: str, g: str, k: int, least: float, bands: int, size: int, whole: int) -> DataFrame:
+    """(f, g, class_id, first, chosen) of each distinct text; one text of each class is chosen."""
+    texts = Texts(sure, f, g, k, bands, size)
+    full = written(texts.bands().groupBy("band", "key").agg(F.count("*").alias("many")).filter("many > 1"), "omh-buckets")
+    held = written(texts.bands().join(full, ["band", "key"]), "omh-members")
+    forget(full)
+    # the leader of a bucket stands in the middle: its own keys are those that most others have
+    weight = held.groupBy("node").agg(F.sum("many").alias("weight"))
+    lead = held.select("band", "key", "node").join(weight, "node").groupBy("band", "key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    lead = written(lead, "omh-leaders")
+    texts.fetch(held.select("node").distinct())
+    pairs = held.select("band", "key", "node").join(lead, ["band", "key"]).filter("node != leader")
+    pairs = written(texts.near(pairs.select(F.least("leader", "node").alias("x"), F.greatest("leader", "node").alias("y")), least), "omh-pairs")
+    links = written(texts.similar(pairs, least), "omh-links")
+    labels = components(links) if links.limit(1).count() else None
+    more = _apart(held, labels, texts, least, whole)
+    more = written(texts.near(more, least).join(pairs, ["x", "y"], "left_anti"), "omh-pairs")
+    if more.limit(1).count():
+        found = written(texts.similar(more, least), "omh-links")
+        links = links.unionByName(found)
+        labels = components(links) if links.limit(1).count() else None
+    each = texts.table.select("node", "f", "g", "first")
+    if labels is None:
+        return each.select("f", "g", F.col("first").alias("class_id"), "first", F.lit(True).alias("chosen"))
+    named = each.join(labels, "node")
+    head = named.groupBy("comp").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("head"))
+    named = named.join(written(head, "omh-heads-of"), "comp").select("node", F.col("head.first").alias("class_id"), F.col("head.node").alias("chosen"))
+    each = each.join(named, "node", "left")
+    own = F.col("chosen").isNull()
+    return written(each.select("f", "g", F.when(own, F.col("first")).otherwise(F.col("class_id")).alias("class_id"), "first", (own | (F.col("chosen") == F.col("node"))).alias("chosen")), "omh-each")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 12, size: int = 3, whole: int = 50) -> DataFrame:
+    """Add class_id to every row, replacing a column of this name.
 
     Two texts are linked if the Jaccard similarity of their sets of k-word shingles and their
     word edit similarity are both at least ``least``; classes are the connected components, with
     rows of equal text together. class_id is the least doc_id of the class (null if it has none).
-    n_links counts the verified links of the row's text. Texts without words are alike only if
-    equal; null texts are alike to none, and have their own doc_id as class_id. A text of fewer
-    than k words is one shingle. Repeated rows are copies. An empty table gives none.
+    Texts without words are alike only if equal; null texts are alike to none, and have their own
+    doc_id as class_id. A text of fewer than k words is one shingle. Repeated rows are copies. An
+    empty table gives none.
 
     Candidates agree on a band: an order MinHash of ``size`` k-mers. In each bucket all members
-    meet one leader; in further rounds a member still outside its component leads and meets all
-    those outside its own. So a round costs a bucket as many pairs as it has members. Buckets still
-    in several components after ``rounds`` are then settled (``_apart``): one of at most ``whole``
-    texts is compared whole, the texts of larger ones by their rarest shingles, which loses
-    no link. At similarity 0.8 a pair shares no bucket at all with a
-    probability of about (1 - 0.8**size)**bands, 0.0002.
+    meet one leader, the member whose bands are the commonest: in a group of near copies that is
+    the text they all stem from, or the one closest to it. Two members near enough to the middle to
+    be similar on that account alone are both similar to it. Buckets still in several components
+    are then settled (``_apart``): one of at most ``whole`` texts is compared whole, the texts of
+    larger ones by their rarest shingles, which loses no link. Pairs whose numbers of shingles or
+    whose parities rule out the similarity are never looked at. At similarity 0.8 a pair shares
+    no bucket at all with a probability of about (1 - 0.8**size)**bands, 0.0002.
     """
-    plain = docs.drop("class_id", "n_links", "_node").withColumn("_node", F.xxhash64("text"))
-    sure = plain.filter(F.col("text").isNotNull())
-    seeds = mix(np.arange(1, bands + 1, dtype=np.uint64), 95)
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in batches:
-            for part in slices(batch.column(1)):
-                starts, ends, words = word_bounds(part)
-                hashes = word_hashes(part, starts, ends, powers)
-                grams = rolling(hashes, k, powers)
-                rows, keys, counts = [], [], []
-                for i, (lo, hi) in enumerate(zip(words[:-1], words[1:], strict=True)):
-                    if hi > lo:
-                        rows.append(part.first + i)
-                        own = grams[lo : hi - k + 1] if hi - lo >= k else shingles(hashes[lo:hi], k, powers)
-                        keys.append(order_sketch(own, seeds, size))
-                        counts.append(len(np.unique(own)))
-                if rows:
-                    flat = pa.array(np.concatenate(keys).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * bands), flat), pa.array(counts, pa.int32())], ["node", "keys", "n"])
-
-    # one text speaks for its copies
-    drawn = sure.select("_node", "text").mapInArrow(sketch, "node long, keys array<long>, n int").groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n"))
-    held = written(drawn.select("node", "n", F.posexplode("keys").alias("band", "key")), "omh-bands")
-    firsts = written(sure.groupBy("_node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "omh-texts")
-    links = pairs = labels = None
-    open_ = held
-    for _ in range(rounds):
-        # each bucket's leader: a member still open, another one from band to band
-        lead = F.min_by("node", F.xxhash64("node", "band")).alias("leader")
-        if labels is None:
-            buckets = open_.groupBy("band", "key").agg(lead, F.count("*").alias("n")).filter("n > 1").select("band", "key", "leader", F.col("leader").alias("led"))
-        else:
-            buckets = open_.groupBy("band", "key").agg(lead).join(labels.select(F.col("node").alias("l"), "comp"), F.col("leader") == F.col("l"), "left")
-            buckets = buckets.select("band", "key", "leader", F.coalesce("comp", "leader").alias("led"))
-        buckets = written(buckets, "omh-buckets")
-        members = held.join(buckets, ["band", "key"])
-        if labels is not None:
-            members = members.join(labels, "node", "left").filter(F.coalesce("comp", "node") != F.col("led"))
-        members = members.filter(F.col("node") != F.col("leader"))
-        new = members.select(F.least("leader", "node").alias("x"), F.greatest("leader", "node").alias("y")).distinct()
-        if pairs is not None:
-            new = new.join(pairs, ["x", "y"], "left_anti")
-        new = written(new, "omh-pairs")
-        if not new.limit(1).count():
-            break
-        pairs = new if pairs is None else pairs.unionByName(new)
-        good = written(_verified(new, sure, firsts, k, least), "omh-links")
-        links = good if links is None else links.unionByName(good)
-        labels = components(links)
-        # open stay those outside the component of their bucket's leader
-        led = buckets.select("band", "key", "leader").join(labels.select(F.col("node").alias("leader"), "comp"), "leader", "left")
-        led = written(led.select("band", "key", F.coalesce("comp", "leader").alias("led")), "omh-led")
-        open_ = open_.join(led, ["band", "key"]).join(labels, "node", "left").filter(F.coalesce("comp", "node") != F.col("led"))
-        open_ = written(open_.select("node", "band", "key"), "omh-open")
-    new = _apart(held, labels, sure, firsts, k, least, whole)
-    new = written(new if pairs is None else new.join(pairs, ["x", "y"], "left_anti"), "omh-pairs")
-    if new.limit(1).count():
-        good = written(_verified(new, sure, firsts, k, least), "omh-links")
-        links = good if links is None else links.unionByName(good)
-        labels = components(links)
-    if links is None:
-        each = firsts.select("_node", F.col("first").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    else:
-        degree = links.select("x").unionByName(links.select(F.col("y").alias("x"))).groupBy("x").agg(F.count("*").alias("n_links"))
-        in_class = labels.join(firsts, labels["node"] == firsts["_node"]).select("node", "comp", "first")
-        least_id = in_class.groupBy("comp").agg(F.min("first").alias("class_id"))
-        named = written(least_id, "omh-classes")
-        named = in_class.select("node", "comp").join(named, "comp").join(degree, F.col("node") == degree["x"])
-        each = firsts.join(named.select("node", "class_id", "n_links"), firsts["_node"] == F.col("node"), "left")
-        each = each.select("_node", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    each = written(each, "omh-each")
-    out = plain.join(each, "_node", "left").withColumns({"class_id": F.when(F.col("text").isNull(), F.col("doc_id")).otherwise(F.col("class_id")), "n_links": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_links")).cast("long")})
-    return out.select(*[c for c in plain.columns if c != "_node"], "class_id", "n_links")
-
-
-def _apart(held: DataFrame, labels: DataFrame | None, sure: DataFrame, firsts: DataFrame, k: int, least: float, whole: int) -> DataFrame:
+    plain = docs.drop("class_id")
+    f, g, f2, g2, none = free(plain, "_f", "_g", "_f2", "_g2", "_none")
+    u, v = fingerprint("text")
+    plain = plain.withColumns({f: u, g: v, none: F.col("text").isNull()})
+    each = _classes(plain.filter(F.col("text").isNotNull()), f, g, k, least, bands, size, whole)
+    each = each.select(F.col("f").alias(f2), F.col("g").alias(g2), "class_id")
+    out = plain.join(each, (plain[f] == each[f2]) & (plain[g] == each[g2]), "left")
+    return out.withColumn("class_id", F.when(F.col(none), F.col("doc_id")).otherwise(F.col("class_id"))).drop(f, g, f2, g2, none)
+
+
+def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 12, size: int = 3, whole: int = 50) -> DataFrame:
+    """One row of each class of ``near_duplicates``, the one of the least doc_id (one of them, if
+    that is repeated); null texts all stay. No column is added."""
+    f, g, f2, g2, first = free(docs, "_f", "_g", "_f2", "_g2", "_first")
+    u, v = fingerprint("text")
+    sure = docs.filter(F.col("text").isNotNull()).withColumns({f: u, g: v})
+    each = _classes(sure, f, g, k, least, bands, size, whole).filter("chosen")
+    each = each.select(F.col("f").alias(f2), F.col("g").alias(g2), F.col("first").alias(first))
+    kept = sure.join(each, (sure[f] == each[f2]) & (sure[g] == each[g2]) & F.col("doc_id").eqNullSafe(F.col(first)), "left_semi")
+    return kept.dropDuplicates([f, g]).drop(f, g).unionByName(docs.filter(F.col("text").isNull()))
+
+
+def _apart(held: DataFrame, labels: DataFrame | None, texts: Texts, least: float, whole: int) -> DataFrame:
     """Pairs of texts (x, y) in different components that share a bucket and may be similar.
 
     A bucket of at most ``whole`` texts is compared whole. The texts of larger ones are dealt
     anew, by shingles: in one order of all shingles, the rarest first, two texts that are similar
     share one among the first n - ceil(least * n) + 1 of each. What made the bucket large, a passage
-    common to many texts, comes last in that order.
+    common to many texts, comes last in that order. How rare a shingle is says a count of the cell it
+    falls on (at most 2**25 cells): any order serves that is the same for all texts.
     """
+    own = held.select("band", "key", "node")
     if labels is None:
-        own = held.withColumn("comp", F.col("node"))
+        own = own.withColumn("comp", F.col("node"))
     else:
-        own = held.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    own = written(_mixed(own, ["band", "key"]).withColumns({"pos": F.lit(0), "near": F.lit(True)}), "omh-mixed")
-    pairs = _met(own.filter(F.col("texts") <= whole), ["band", "key"], least)
-    large = written(own.filter(F.col("texts") > whole).groupBy("node").agg(F.first("comp").alias("comp")), "omh-large")
-    if not large.limit(1).count():
-        return pairs.distinct()
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        own = own.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    own = own.withColumns({"pos": F.lit(0), "near": F.lit(True)})
+    own = written(_mixed(written(own, "omh-own"), ["band", "key"]), "omh-mixed")
+    few = own.filter(F.col("texts") <= whole).join(texts.slim, "node")
+    pairs = _met(few, ["band", "key"], least)
+    large = written(own.filter(F.col("texts") > whole).groupBy("node").agg(F.first("comp").alias("comp")).join(texts.slim.select("node", "n"), "node"), "omh-large")
+    total = large.agg(F.sum("n")).first()[0]
+    if not total:
+        return pairs
+    k = texts.k
+    bits = min(25, max(16, (8 * total).bit_length()))
+
+    def sets(column: pa.Array) -> Iterator[tuple[Slice, list[np.ndarray]]]:
+        for part in slices(column):
+            powers = Powers()
+            starts, ends, words = word_bounds(part)
+            hashes = word_hashes(part, starts, ends)
+            yield part, [np.unique(shingles(hashes[lo:hi], k, powers)) for lo, hi in zip(words[:-1], words[1:], strict=True)]
+
+    def read() -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
+        return lambda batch: (np.concatenate(own) for _, own in sets(batch.column(2)))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = shared.value
         for batch in batches:
-            for part in slices(batch.column(2)):
-                starts, ends, words = word_bounds(part)
-                hashes = word_hashes(part, starts, ends, powers)
-                sets = [np.unique(shingles(hashes[lo:hi], k, powers)) for lo, hi in zip(words[:-1], words[1:], strict=True)]
-                sizes = np.array([len(x) for x in sets])
-                rows = pa.array(np.repeat(np.arange(part.first, part.first + part.rows), sizes))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64))], ["node", "comp", "n", "gram"])
-
-    texts = _texts(large.select("node"), sure, firsts).join(large, "node").select("node", "comp", "text")
-    grams = written(texts.mapInArrow(draw, "node long, comp long, n int, gram long"), "omh-grams")
-    often = written(grams.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1"), "omh-often")
-    ordered = grams.join(often, "gram").groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("g"))
-    # those met once stand before all others
-    alone, most = F.col("n") - F.size("g"), F.col("n") + 1
-    ordered = ordered.withColumns({"alone": alone, "stop": most - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int"), "near": most - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - 1e-9).cast("int")})
-    head = ordered.filter("stop > alone").select("node", "comp", "n", "alone", "near", F.posexplode(F.expr("slice(g, 1, stop - alone)")).alias("i", "g"))
-    head = head.select("node", "comp", "n", F.col("g.gram").alias("gram"), (F.col("alone") + F.col("i")).alias("pos"), (F.col("alone") + F.col("i") < F.col("near")).alias("near"))
-    head = written(_mixed(head, ["gram"], "max(near)"), "omh-heads")
-    return pairs.unionByName(_met(head, ["gram"], least)).distinct()
+            for part, own in sets(batch.column(2)):
+                rows, grams, places, near = [], [], [], []
+                for i, s in enumerate(own):
+                    n = len(s)
+                    stop, fore = (n + 1 - math.ceil(x * n - 1e-9) for x in (least, 2 * least / (1 + least)))
+                    t = times[(s >> np.uint64(64 - bits)).astype(np.int64)]
+                    order = np.lexsort((s, t))[:stop]
+                    order = order[t[order] > 1]  # those met once stand first, and meet nothing
+                    rows.append(np.full(len(order), part.first + i))
+                    grams.append(s[order])
+                    places.append(np.arange(stop - len(order), stop))
+                    near.append(places[-1] < fore)
+                row, gram, place, first = (np.concatenate(x) for x in (rows, grams, places, near))
+                row = pa.array(row.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(gram.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(first.astype(bool))], ["node", "comp", "gram", "pos", "near"])
+
+    found = texts.words.join(large, "node").select("node", "comp", "text")
+    shared = held.sparkSession.sparkContext.broadcast(levels(found, read, bits))
+    head = written(found.mapInArrow(heads, "node long, comp long, gram long, pos int, near boolean"), "omh-heads")
+    met = written(_mixed(head, ["gram"], "max(near)"), "omh-met").join(texts.slim, "node")
+    return pairs.unionByName(_met(met, ["gram"], least))
 
 
 def _mixed(own: DataFrame, by: list[str], also: str = "true") -> DataFrame:
     """The rows of groups that hold several components (and fulfil ``also``), with the group's
     number of ``texts`` and ``main``, its largest component."""
-    parts = own.groupBy(*by, "comp").agg(F.count("*").alias("m"), F.max(F.col("near") if "near" in own.columns else F.lit(True)).alias("near"))
+    parts = own.groupBy(*by, "comp").agg(F.count("*").alias("m"), F.max("near").alias("near"))
     mixed = parts.groupBy(*by).agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("texts"), F.expr(also).alias("also"))
-    mixed = mixed.filter("parts > 1 AND also").drop("parts", "also")
+    mixed = written(mixed.filter("parts > 1 AND also").drop("parts", "also"), "omh-groups")
     return own.join(mixed, by).select(*by, *[c for c in own.columns if c not in by], "main", "texts")
 
 
 def _met(own: DataFrame, by: list[str], least: float) -> DataFrame:
     """Pairs (x, y) in which every text outside its group's largest component meets the texts of all others.
 
-    Left out are those whose numbers of shingles ``n``, or the place ``pos`` of the shared one in their
-    orders, rule out a similarity of ``least``: the shingles from there on are all that they can still
-    share. The text with fewer shingles must have it among its first (``near``).
+    Left out are those whose numbers of shingles ``n``, whose parities ``sig`` or the place ``pos`` of the
+    shared one in their orders rule out a similarity of ``least``: the shingles from there on are all that
+    they can still share. The text with fewer shingles must have it among its first (``near``).
     """
-    side = [F.col(c).alias(f"_{c}") for c in ("node", "n", "comp", "pos", "near")]
+    side = [F.col(c).alias(f"_{c}") for c in ("node", "n", "sig", "comp", "pos", "near")]
     out = own.filter("comp != main").select(*by, *side)
     once = (F.col("_comp") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("_node") < F.col("node")))
     enough = F.least(F.col("_n") - F.col("_pos"), F.col("n") - F.col("pos")) >= F.lit(least / (1 + least)) * (F.col("_n") + F.col("n")) - 1e-6
-    fewer = out.filter("_near").join(own, by).filter(once & enough & (F.col("_n") <= F.col("n")))
-    more = out.join(own.filter("near"), by).filter(once & enough & (F.col("n") < F.col("_n")))
+    may = once & enough & _may_be(least, "_n", "n", "_sig", "sig")
+    fewer = out.filter("_near").join(own, by).filter(may & (F.col("_n") <= F.col("n")))
+    more = out.join(own.filter("near"), by).filter(may & (F.col("n") < F.col("_n")))
     return fewer.unionByName(more).select(F.least("_node", "node").alias("x"), F.greatest("_node", "node").alias("y"))
-
-
-def _texts(needed: DataFrame, sure: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(node, text) of the needed nodes, from the first row of each."""
-    chosen = firsts.join(needed, firsts["_node"] == F.col("node")).select("node", "first")
-    texts = sure.select(F.col("_node").alias("n2"), "doc_id", "text").join(chosen, (F.col("n2") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    return texts.groupBy("node").agg(F.first("text").alias("text"))
-
-
-def _verified(pairs: DataFrame, sure: DataFrame, firsts: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs of texts (x, y) that are similar."""
-    needed = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    texts = written(_texts(needed, sure, firsts), "omh-needed")
-    both = pairs.join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
-    both = both.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                words = []
-                for column in (2, 3):
-                    own = []
-                    for piece in slices(part.column(column)):
-                        starts, ends, off = word_bounds(piece)
-                        hashes = word_hashes(piece, starts, ends, powers)
-                        own += [hashes[lo:hi] for lo, hi in zip(off[:-1], off[1:], strict=True)]
-                    words.append(own)
-                good = [similar(x, y, k, least, powers) for x, y in zip(*words, strict=True)]
-                yield part.select([0, 1]).filter(pa.array(good))
-
-    return both.select("x", "y", "tx", "ty").mapInArrow(check, "x long, y long")
-
-
-def one_of_each(classed: DataFrame) -> DataFrame:
-    """One row of each class: the one whose doc_id is the class_id (one of them, if repeated);
-    null texts all stay. The added columns go."""
-    alone = classed.filter(F.col("text").isNull())
-    named = classed.filter(F.col("text").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    with_id = named.filter(F.col("class_id").isNotNull()).dropDuplicates(["class_id"])
-    without = named.filter(F.col("class_id").isNull()).dropDuplicates(["text"])
-    return with_id.unionByName(without).unionByName(alone).drop("class_id", "n_links")

@@ -99,3 +99,55 @@ def repeated_cells(texts: DataFrame, scan: Callable[[], Callable[[pa.Array], Ite
         k = (r["block"] & ((1 << 20) - 1)) * size
         maps[r["block"] >> 20, k : k + size] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return maps
+
+
+def levels(batches_of: DataFrame, read: Callable[[], Callable[[pa.RecordBatch], Iterator[np.ndarray]]], bits: int, flush: int = 2_000_000) -> np.ndarray:
+    """How often each of 2**bits cells is met by the hashes that ``read`` draws from all batches:
+    0 never, 1 once, else 2 and more, growing with the logarithm of the count.
+
+    Tasks send distinct cells with their counts, in blocks; a block is summed where it meets, and
+    comes back as a byte a cell: 2**bits bytes for the driver and each worker, whatever the input.
+    """
+    width = min(BLOCK, bits)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = read()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            cell, n = np.unique((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            edge = np.flatnonzero(np.diff(cell >> width, prepend=-1))
+            spans = list(zip(edge, np.append(edge[1:], len(cell)), strict=True))
+            return pa.RecordBatch.from_arrays([
+                pa.array([int(cell[a] >> width) for a, _ in spans], pa.int32()),
+                pa.array([(cell[a:b] & ((1 << width) - 1)).astype("<u4").tobytes() for a, b in spans], pa.binary()),
+                pa.array([n[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
+            ], ["block", "cells", "n"])
+
+        for batch in batches:
+            for keys in draw(batch):
+                held.append(keys)
+                size += len(keys)
+                if size >= flush:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, cells, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own = sums.setdefault(block, np.zeros(1 << width, np.int64))
+                own[np.frombuffer(cells, "<u4")] += np.frombuffer(n, "<u4")
+        if sums:
+            level = [np.where(x > 1, 2 + 4 * np.log2(np.maximum(x, 2)) - 4, x).astype(np.uint8) for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in level], pa.binary())], ["block", "level"])
+
+    sent = batches_of.mapInArrow(send, "block int, cells binary, n binary")
+    met = sent.repartition(partitions(batches_of.sparkSession), "block").mapInArrow(merge, "block int, level binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for r in met.toLocalIterator():
+        out[r["block"] << width : (r["block"] + 1) << width] = np.frombuffer(zlib.decompress(r["level"]), np.uint8)
+    return out

@@ -97,6 +97,31 @@ def test_plans_use_each_piece_once_and_are_best(seed):
     assert sum(n for _, n in plan) == next(b for b in itertools.count(-(-sum(sizes) // 20)) if fits(b))
 
 
+def test_every_letter_below_u0250_has_its_ids():
+    """Alone, within a word, before marks and beside the letters around it."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    texts = [x for c in map(chr, range(0x21, 0x250)) for x in (c, f"ab{c}cd", f"{c}., x", f"Q{c}(", f"{c}{c.upper()}{c.lower()} {c}li", f"{c}\u0301")]
+    own = packing.ChunkTokenizer(tokenizer_path()).encode(texts)
+    for t, ids in zip(texts, own, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_all_undominated_fillings_are_enumerated(seed):
+    rnd = random.Random(seed)
+    count = np.zeros(31, np.int64)
+    for _ in range(7):
+        count[rnd.randrange(2, 16)] += 1
+    pieces = [i for i in range(31) for _ in range(count[i])]
+    room = 24
+    every = {tuple(sorted(c, reverse=True)) for n in range(len(pieces) + 1) for c in itertools.combinations(pieces, n) if sum(c) <= room}
+    want = {c for c in every if not packing.dominated(count, c, room - sum(c))}
+    got = list(packing.all_fillings(count, room, room))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_language(spark, docs, empty):
     rnd = random.Random(2)
     bag = {"en": "the and of with that this have from".split(), "de": "der und mit nicht auf ist ein zu".split()}
@@ -106,6 +131,11 @@ def test_language(spark, docs, empty):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     odd = {r.text: r.lang_pred for r in langid.identify(docs).collect()}
     assert odd[None] == odd[""] == odd["12 34 !!"] == "und"
+    signs = spark.createDataFrame([(i, x, "en") for i, x in enumerate(["½ ²", "① Ⅷ", "三", "a½", "x" * 700_000, "_ 4"])], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in langid.identify(signs).orderBy("doc_id").collect()] == ["und", "und", "en", "en", "en", "und"]
+    one, two = np.zeros((1, langid.CELLS)), np.zeros((1, langid.CELLS))
+    long = " ".join(rnd.choice(bag["en"]) + str(i) for i in range(400))
+    assert (langid.presence([long], one) == langid.presence([long], two, most=17)).all()
     assert langid.identify(empty).count() == 0
 
 
@@ -121,6 +151,15 @@ def test_top_k(spark):
         best = sorted(((-int(q[i] @ q[j]), j) for j in range(90) if j != i))[:4]
         assert [got[i, k + 1] for k in range(4)] == [(j, -s) for s, j in best]
     assert len(got) == 36
+    far = spark.createDataFrame([(0, [10000.0, 1.0]), (1, [9000.0, 0.0]), (2, [8500.0, 3.0]), (50, [9999.0, 2.0])], "vec_id long, embedding array<double>")
+    for factor in (1.0, 1000.0):
+        large = far.select("vec_id", F.transform("embedding", lambda x: x * factor).alias("embedding"))
+        m = {r.vec_id: [int(256 * x) for x in r.embedding] for r in large.collect()}
+        want = sorted(((-sum(x * y for x, y in zip(m[0], m[j], strict=True)), j) for j in (1, 2, 50)))
+        got = topk.top_k(large, F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == [(j, -s) for s, j in want] and [r.vec_id for r in got] == [50, 1, 2]
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(far.select("vec_id", F.transform("embedding", lambda x: x * 1e15).alias("embedding")), F.col("vec_id") == 0).collect()
     assert topk.top_k(df.filter("vec_id = 300"), F.lit(True)).count() == 0
 
 
@@ -141,6 +180,9 @@ def test_lines(docs, rows, empty):
     lines = [(r[1] or "").split("\n") for r in rows]
     seen = collections.Counter(k for x in lines for k in {key(y) for y in x} if k)
     want = collections.Counter((r[0], len(x), sum(seen[key(y)] >= 10 for y in x), "\n".join(y for y in x if seen[key(y)] < 10)) for r, x in zip(rows, lines, strict=True))
+    one = "\n".join(f"line {i}" for i in range(150_000))
+    long = linededup.drop_frequent_lines(docs.select("doc_id", "text").limit(0).unionByName(docs.sparkSession.createDataFrame([(i, one) for i in range(2)], "doc_id long, text string")), 2).collect()
+    assert [(r.n_lines, r.n_dropped, r.text) for r in long] == [(150_000, 150_000, "")] * 2
     for batches in (1, 6):
         got = collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in linededup.drop_frequent_lines(docs, 10, batches).collect())
         assert got == want
@@ -254,6 +296,67 @@ def test_lm_score_counts_every_pair_apart(docs, rows, bits):
             assert abs(r.target_loss - want[r.doc_id, r.text, 0][0]) < 1e-9 and abs(r.background_loss - want[r.doc_id, r.text, 1][0]) < 1e-9
 
 
+def test_words_of_one_form_have_hashes_of_their_own():
+    """Thue-Morse words and their complements, which meet in any polynomial modulo 2**64."""
+    import pyarrow as pa
+
+    from tallyflow.llm import textscan
+
+    turn = str.maketrans("ab", "ba")
+    found = []
+    word = "a"
+    while len(word) <= 4096:
+        found += [word, word.translate(turn)]
+        word += word.translate(turn)
+    (part,) = textscan.slices(pa.array([" ".join(found)]))
+    starts, ends, _ = textscan.word_bounds(part)
+    assert len(set(textscan.word_hashes(part, starts, ends).tolist())) == len(set(found)) == len(found)
+
+
+def test_windows_with_words_of_one_form_stay(spark):
+    turn = str.maketrans("ab", "ba")
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(turn)
+    common = " ".join(f"w{i}" for i in range(34))
+    made = spark.createDataFrame([(0, f"{common} {word}"), (1, f"{common} {word.translate(turn)}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring.remove_repeated_windows(made, 35, 20).collect()] == [0, 0]
+
+
+def test_planted_near_copies_are_caught(spark):
+    """Recall on pairs whose similarity lies between 0.8 and 0.9, as measured on the texts."""
+    rnd = random.Random(11)
+    made, want = [], []
+    for i in range(400):
+        base = [f"t{rnd.randrange(20_000)}" for _ in range(rnd.randrange(60, 200))]
+        other = list(base)
+        for _ in range(rnd.randrange(1, 5)):
+            other[rnd.randrange(len(other))] = f"z{rnd.randrange(1000)}"
+        a, b = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (base, other))
+        share = len(a & b) / len(a | b)
+        if 0.8 <= share <= 0.9:
+            want.append(2 * i)
+        made += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert len(want) > 100 and np.mean([got[i] == got[i + 1] for i in want]) >= 0.98
+
+
+def test_clashing_columns_stay(spark, rows):
+    """Columns named like the operators' own helpers come back as they were."""
+    names = ["_s", "_run", "_n", "_d", "_k", "_u", "_kept", "_target", "_node", "_U", "_id", "_at", "_all", "_first", "_drop", "_part", "_own", "_f", "_g", "_chunk", "_ahead", "_none"]
+    names = [n for i, n in enumerate(names) if n.lower() not in [x.lower() for x in names[:i]]]
+    made = spark.createDataFrame([(*r[:5], *[f"{n}{i}" for n in names]) for i, r in enumerate(rows[:16])], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)).cache()
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    want = sorted(map(str, made.select(names).collect()))
+    for run in (
+        langid.identify, linededup.drop_frequent_lines, mixing.mix, neardup.near_duplicates, suffix.remove_repeated_bytes, substring.remove_repeated_windows,
+        lambda d: quality.assess(d, labels), lambda d: lmscore.score(d, F.col("doc_id") < 3),
+    ):
+        assert sorted(map(str, run(made).select(names).collect())) == want, run
+    for run in (lambda d: mixing.copied(mixing.mix(d)), neardup.one_of_each):
+        assert set(names) <= set(run(made).columns)
+
+
 def test_near_duplicates(docs, rows, empty):
     got = neardup.near_duplicates(docs).collect()
     assert len(got) == len(rows)
@@ -263,7 +366,7 @@ def test_near_duplicates(docs, rows, empty):
     sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in enumerate(texts()) for w in [words(t)] if w}
     for a, b in itertools.combinations(sorted(alone & set(sets)), 2):
         assert (by[a] == by[b]) == (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    one = neardup.one_of_each(neardup.near_duplicates(docs))
+    one = neardup.one_of_each(docs)
     assert one.columns == docs.columns and one.filter("doc_id <= 2").count() == 1
     assert neardup.near_duplicates(empty).count() == 0
 
@@ -300,7 +403,7 @@ def test_near_duplicates_that_share_a_passage(spark, whole):
         if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and edits(found[a], found[b]) <= 0.2 * max(len(found[a]), len(found[b])):
             a, b = top(a), top(b)
             least[max(a, b)] = min(a, b)
-    got = neardup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(found)], "doc_id long, text string"), rounds=1, whole=whole)
+    got = neardup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(found)], "doc_id long, text string"), whole=whole)
     assert {r.doc_id: r.class_id for r in got.collect()} == {i: top(i) for i in range(len(found))}
 
 
