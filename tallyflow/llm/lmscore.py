@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .scratch import free, written
 from .textscan import Powers, mix, slices, string_buffers, word_bounds, word_hashes
 
-CHUNK = 1 << 23  # bytes of text that are counted and scored together
+CHUNK = 1 << 24  # bytes of text that are counted and scored together
 SENT = "part int, _chunk long, keys binary, n_target binary, n_all binary"
 
 
