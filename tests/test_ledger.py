@@ -6,9 +6,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyflow.functions.text import jaro_winkler
+from tallyflow.functions.text import jaro, jaro_winkler
 from tallyflow.operators.goals import Fit, chance, needed
-from tallyflow.operators.payees import Matcher, group_names
+from tallyflow.operators.payees import Spellings, assigned, group_names
 from tallyflow.plans.catalog import names, oracle_sql, queries
 from tallyflow.plans.relations import TABLES, build
 from tallyflow.sources.sinks import scoped_replace, upserted
@@ -52,13 +52,32 @@ def test_dates_roll_and_years_turn(spark):
     assert got == {1: "2024-03-02", 2: "1951-02-01", 3: "2050-02-01", 4: "2024-04-01", 5: "2024-04-01", 6: "2024-04-01", 7: None}
 
 
-def test_name_similarity_and_merges():
-    for a, b, score in (("subhojit", "surojit", 0.8952), ("subhajit", "subhas", 0.8917), ("swapan", "swain", 0.8756)):
-        assert round(jaro_winkler(a, b), 4) == score
-    same = Matcher(["SENAPATI D", "DRIPTA SENAPATI", "SENAPATID", "RUNU SENAPATI", "RUMA SENAPATI", "Shivendra Kumar", "Basanta Kumar S"]).same
-    assert same("SENAPATI D", "DRIPTA SENAPATI") and same("SENAPATID", "SENAPATI D")
-    assert not same("RUNU SENAPATI", "RUMA SENAPATI") and not same("Shivendra Kumar", "Basanta Kumar S")
-    assert group_names(["Mr Dripta Senapati", "Dripta Senapati"], [1, 5]) == [("Dripta Senapati", "Dripta Senapati"), ("Dripta Senapati", "Mr Dripta Senapati")]
+def test_name_similarity_by_hand():
+    # five and six letters, four matched in order: (4/5 + 4/6 + 1) / 3; no common beginning
+    assert round(jaro("table", "stabled"[1:]), 6) == round((5 / 5 + 5 / 6 + 1) / 3, 6)
+    # one pair of six out of order: (1 + 1 + 5/6) / 3, and three equal letters at the front
+    assert round(jaro("sander", "sanedr"), 6) == round((1 + 1 + 5 / 6) / 3, 6)
+    assert round(jaro_winkler("sander", "sanedr"), 6) == round(17 / 18 + 3 * 0.1 / 18, 6)
+    assert jaro("abc", "xyz") == 0.0 and jaro_winkler("kettle", "kettle") == 1.0
+
+
+def test_names_are_cut_by_the_fewest_known_words():
+    known = Spellings(["Orla Quist", "Orlaq Uist", "Belinda Tov", "belindatov", "mrbelindatov"])
+    assert known.cut("orlaquist") == ("orlaq", "uist")  # two pieces either way: the longest first
+    assert known.cut("quistbel") == ("quist", "bel") and known.cut("quistb") == ("quist", "b") and known.cut("quistzzz") == ()
+    assert known.words("belindatov") == ("belindatov",)  # a spelling of its own is a word like others
+    assert Spellings(["Belinda Tov", "MrBelindaTov"]).words("MrBelindaTov") == ("belinda", "tov")  # without the title
+
+
+def test_names_match_by_assignment():
+    same = Spellings([]).same
+    assert same("Quist O", "Orla Quist") and same("Orla Quist", "Quist Orla") and same("Dr Orla Quist", "Orla Quist")
+    assert not same("Q O", "Orla Quist")  # no real word anchors, two initials
+    assert not same("Orla Quist", "Orla Brandt") and not same("Quist", "Orla Quist")  # a real word is left
+    assert same("Orla Quist T", "Orla Quist") and not same("O Q Tovmann", "Orla Quist Tovmann")
+    assert assigned(("tov", "orla"), ("orlando", "tov")) is False  # jaro-winkler 0.914 of a beginning is no anchor
+    assert group_names(["Ms Orla Quist", "Orla Quist", "Quist O", "Belinda Tov"], [1, 5, 2, 9]) == [
+        ("Belinda Tov", "Belinda Tov"), ("Orla Quist", "Orla Quist"), ("Orla Quist", "Quist O"), ("Orla Quist", "Ms Orla Quist")]
 
 
 def test_goal_paths():
@@ -87,12 +106,13 @@ def test_entry(spark):
 def test_new_vectors_join_the_nearest_of_all_members(spark, tmp_path):
     from math import cos, radians, sin
 
-    from tallyflow.operators.payees import cl2_incremental, joined_clusters
+    from tallyflow.operators.payees import cl2_incremental, clusters_of, joined_clusters
 
     turns = {0: 0, 2: 70, 1: 140, 3: 220}  # 1 is near 2, no seed, and far from 0, the seed
-    rows = [(i, 5, [cos(radians(t)), sin(radians(t))]) for i, t in turns.items()]
-    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert {(r.group, r.id): r.seed for r in cl2_incremental(spark, str(tmp_path)).collect()} == {(5, 1): 0, (5, 3): 3}
+    rows = spark.createDataFrame([(5, i, [cos(radians(t)), sin(radians(t))]) for i, t in turns.items()], "group long, id long, vector array<double>")
+    old = clusters_of(rows.filter("id % 2 = 0"), 0.3).join(rows, ["group", "id"])
+    assert {(r.group, r.id): r.seed for r in joined_clusters(old, rows.filter("id % 2 = 1"), 0.3).collect()} == {(5, 1): 0, (5, 3): 3}
+    assert cl2_incremental(spark, SF).select("group", "seed").distinct().count() > 5
     rnd = np.random.default_rng(3)
     old, new = (rnd.normal(size=(n, 3)) / 2 for n in (40, 30))
     pool = spark.createDataFrame([(g, int(i % 7), old[i].tolist()) for i in range(40) for g in (1, 2)], "group long, seed long, vector array<double>")
