@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..plans.relations import Spark, band, dbl, js_round, nearest_rank, r6, relation
-from ..sources.adapters import ESSENTIALS, INVESTMENT, SHOPPING, TRANSFER, names
+from ..sources.adapters import ESSENTIALS, INVESTMENT, TRANSFER, names
 
 
 def confidence(x: str, zero: float, full: float) -> str:
@@ -49,7 +49,7 @@ def shopping_facet(d: Spark) -> str:
     """AG16: total, the five largest payments, the months."""
     return f"""
 SELECT user_id, {dbl('sum(debit)')} AS total, count(*) AS n, {dbl('sum(CASE WHEN rn <= 5 THEN debit ELSE 0 END)')} AS top5 FROM (
-  SELECT user_id, debit, row_number() OVER (PARTITION BY user_id ORDER BY debit DESC, txn_id) AS rn FROM enriched WHERE debit > 0 AND category = '{SHOPPING}') AS r GROUP BY user_id"""
+  SELECT user_id, debit, row_number() OVER (PARTITION BY user_id ORDER BY debit DESC, txn_id) AS rn FROM shopping) AS r GROUP BY user_id"""
 
 
 @relation
@@ -57,14 +57,14 @@ def ag16_shopping(d: Spark) -> str:
     return f"""
 SELECT s.user_id, s.total, s.n, s.top5, t.month1, t.month2 FROM shopping_facet s JOIN (
   SELECT user_id, max(CASE WHEN rn = 1 THEN month END) AS month1, max(CASE WHEN rn = 2 THEN month END) AS month2 FROM (
-    SELECT user_id, month, row_number() OVER (PARTITION BY user_id ORDER BY spend DESC, month) AS rn FROM monthly_category WHERE category = '{SHOPPING}') AS m GROUP BY user_id) AS t ON s.user_id = t.user_id"""
+    SELECT user_id, month, row_number() OVER (PARTITION BY user_id ORDER BY sum(debit) DESC, month) AS rn FROM shopping GROUP BY user_id, month) AS m GROUP BY user_id) AS t ON s.user_id = t.user_id"""
 
 
 @relation
 def bh4_impulse(d: Spark) -> str:
     return f"""
 SELECT user_id, {r6('top5 / total')} AS share, CASE WHEN top5 / total >= 0.7e0 THEN 'High' ELSE 'Moderate' END AS badge, n AS evidence, {confidence(dbl('n'), 3, 20)} AS confidence
-FROM shopping_facet WHERE n >= 3 AND total > 0 AND top5 / total >= 0.015e0"""
+FROM shopping_facet WHERE n >= 3 AND total > 0 AND top5 / total >= 0.45e0"""
 
 
 @relation

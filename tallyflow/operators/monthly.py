@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..plans.relations import Spark, dbl, js_round, nearest_rank, r6, relation
+from ..plans.relations import Spark, dbl, js_round, mart, nearest_rank, r6, relation
 
 
 LABEL = "coalesce(merchant, payee, cluster_id)"
@@ -24,7 +24,7 @@ SELECT user_id, month, balance AS closing FROM (
   SELECT user_id, month, balance, row_number() OVER (PARTITION BY user_id, month ORDER BY ts DESC, txn_id DESC) AS rn FROM ledger_balance) AS b WHERE rn = 1"""
 
 
-@relation
+@mart()
 def month_totals(d: Spark) -> str:
     """AG2-AG4, AG7, AG8: one pass of conditional sums."""
     weeks = ",\n".join(f"sum(CASE WHEN week = {w} THEN debit ELSE 0 END) AS week{w}, count(CASE WHEN week = {w} AND debit > 0 THEN 1 END) AS week{w}_n" for w in (1, 2, 3, 4))
@@ -62,7 +62,7 @@ def ag04_refunds(d: Spark) -> str:
     return f"SELECT user_id, month, {dbl('refunds')} AS total_refunds, refund_n AS refund_count FROM month_totals"
 
 
-@relation
+@mart()
 def monthly_category(d: Spark) -> str:
     return """
 SELECT user_id, month, month_idx, category, sum(debit) AS spend, count(*) AS n FROM enriched WHERE debit > 0 GROUP BY user_id, month, month_idx, category"""
@@ -127,7 +127,7 @@ JOIN (SELECT DISTINCT user_id, category FROM monthly_category) AS c ON m.user_id
 LEFT JOIN monthly_category s ON s.user_id = m.user_id AND s.month_idx = m.month_idx AND s.category = c.category"""
 
 
-@relation
+@mart()
 def category_trend(d: Spark) -> str:
     """WN2-WN5 over the grid; the window of six rows includes the month itself."""
     return f"""

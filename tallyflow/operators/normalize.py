@@ -231,7 +231,7 @@ def jn2_inner_lookup(d: Spark) -> str:
 
 @relation
 def jn5_group_labels(d: Spark) -> str:
-    return f"SELECT g.user_id, g.cluster_id, coalesce(c.merchant, c.payee, g.cluster_id) AS label, {dbl('g.spend')} AS spend FROM (SELECT user_id, cluster_id, sum(debit) AS spend FROM exact GROUP BY user_id, cluster_id) AS g LEFT JOIN clusters c ON g.user_id = c.user_id AND g.cluster_id = c.cluster_id"
+    return f"SELECT g.user_id, g.cluster_id, coalesce(c.merchant, c.payee, g.cluster_id) AS label, {dbl('g.spend')} AS spend FROM (SELECT user_id, cluster_id, sum(debit) AS spend FROM ledger GROUP BY user_id, cluster_id) AS g LEFT JOIN clusters c ON g.user_id = c.user_id AND g.cluster_id = c.cluster_id"
 
 
 @relation

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..plans.relations import Spark, dbl, nearest_rank, r6, relation
-from ..sources.adapters import INVESTMENT, TRANSFER
+from ..plans.relations import Spark, dbl, mart, nearest_rank, r6, ranked, relation
+from ..sources.adapters import ESSENTIALS, INVESTMENT, SUBSCRIPTION, TRANSFER, names
 
 #: The words of a fee, penalty or interest charge, in any case and anywhere.
 FEES = (
@@ -16,7 +16,7 @@ FEES = (
 @relation
 def user_span(d: Spark) -> str:
     """AG15: months from first to last, and the last transaction."""
-    return "SELECT user_id, max(month_idx) - min(month_idx) AS span, max(month_idx) AS last_idx, max(ts) AS max_ts FROM exact GROUP BY user_id"
+    return "SELECT user_id, max(month_idx) - min(month_idx) AS span, max(month_idx) AS last_idx, max(ts) AS max_ts FROM ledger GROUP BY user_id"
 
 
 #: WN11: the mean gap between distinct months telescopes to their range.
@@ -28,7 +28,7 @@ def debit_candidates(d: Spark) -> str:
     """AG11: name and exact amount over three months or more (REC1, REC2)."""
     return """
 SELECT user_id, 'debit' AS type, merchant, payee, amount, min(category) AS category, count(*) AS months, min(month_idx) AS first_idx, max(month_idx) AS last_seen, max(last_ts) AS last_ts FROM (
-  SELECT user_id, merchant, CASE WHEN merchant IS NULL THEN payee END AS payee, debit AS amount, month_idx, min(category) AS category, max(ts) AS last_ts FROM exact
+  SELECT user_id, merchant, CASE WHEN merchant IS NULL THEN payee END AS payee, debit AS amount, month_idx, min(category) AS category, max(ts) AS last_ts FROM ledger
   WHERE debit > 0 AND (merchant IS NOT NULL OR payee IS NOT NULL) GROUP BY user_id, merchant, CASE WHEN merchant IS NULL THEN payee END, debit, month_idx) AS m
 GROUP BY user_id, merchant, payee, amount HAVING count(*) >= 3"""
 
@@ -38,7 +38,8 @@ def recurring_debit(d: Spark) -> str:
     """REC1, REC2, REC7, FN17, WN12."""
     return f"""
 SELECT user_id, type, merchant, payee, category, {dbl('amount')} AS amount, CAST(NULL AS DOUBLE) AS range_min, CAST(NULL AS DOUBLE) AS range_max, CAST(NULL AS STRING) AS credit_label, frequency, months,
-       CASE WHEN payee IS NOT NULL THEN 'obligation' WHEN category = '{INVESTMENT}' THEN 'obligation' WHEN category IN ('LARGE', 'PROMO') THEN 'cancellable' ELSE 'review' END AS cancellability,
+       CASE WHEN payee IS NOT NULL THEN 'obligation' WHEN category = '{SUBSCRIPTION}' THEN 'cancellable' WHEN category = '{INVESTMENT}' THEN 'pausable'
+            WHEN category IN ({names(ESSENTIALS)}) THEN 'essential' ELSE 'obligation' END AS cancellability,
        last_seen >= last_idx - 1 AS is_active, last_ts
 FROM (SELECT c.*, s.last_idx, s.span, {FREQUENCY.replace('gap', '(CAST(c.last_seen - c.first_idx AS DOUBLE) / (c.months - 1))').replace('span >=', 's.span >=')} AS frequency
       FROM debit_candidates c JOIN user_span s ON c.user_id = s.user_id) AS f WHERE frequency IS NOT NULL"""
@@ -50,7 +51,7 @@ def credit_months(d: Spark) -> str:
     return """
 SELECT user_id, merchant, CASE WHEN merchant IS NULL THEN payee END AS payee, CASE WHEN merchant IS NULL AND payee IS NULL THEN cluster_id END AS cluster_key,
        month_idx, sum(credit) AS total, max(ts) AS last_ts, min(category) AS category
-FROM exact WHERE credit > 500 GROUP BY user_id, merchant, CASE WHEN merchant IS NULL THEN payee END, CASE WHEN merchant IS NULL AND payee IS NULL THEN cluster_id END, month_idx"""
+FROM ledger WHERE credit > 500 GROUP BY user_id, merchant, CASE WHEN merchant IS NULL THEN payee END, CASE WHEN merchant IS NULL AND payee IS NULL THEN cluster_id END, month_idx"""
 
 
 @relation
@@ -77,7 +78,7 @@ FROM (SELECT c.*, s.last_idx, {FREQUENCY.replace('gap', '(CAST(c.last_seen - c.f
       FROM credit_candidates c JOIN user_span s ON c.user_id = s.user_id) AS f WHERE frequency IS NOT NULL"""
 
 
-@relation
+@mart()
 def recurring(d: Spark) -> str:
     """ST5: the five passes as one table."""
     return """
@@ -122,7 +123,7 @@ def rec6_gate(d: Spark) -> str:
     """JN3, REC6: patterns of the counterparties seen in the last two months, over full history."""
     return f"""
 SELECT user_id, type, merchant, payee, {r6('amount')} AS amount, months FROM recurring r WHERE EXISTS (
-  SELECT 1 FROM exact e JOIN user_span s ON e.user_id = s.user_id WHERE e.user_id = r.user_id AND e.month_idx >= s.last_idx - 1 AND coalesce(e.merchant, e.payee) = coalesce(r.merchant, r.payee))"""
+  SELECT 1 FROM ledger e JOIN user_span s ON e.user_id = s.user_id WHERE e.user_id = r.user_id AND e.month_idx >= s.last_idx - 1 AND coalesce(e.merchant, e.payee) = coalesce(r.merchant, r.payee))"""
 
 
 @relation
@@ -169,7 +170,7 @@ def jn12_occurrences(d: Spark) -> str:
     """A pattern's transactions: debits by name and exact amount, credits by name or cluster."""
     return f"""
 SELECT r.user_id, r.type, coalesce(r.merchant, r.payee, r.cluster_key) AS name, {r6('r.amount')} AS pattern_amount, count(*) AS occurrences, {dbl('sum(e.debit + e.credit)')} AS total
-FROM recurring r JOIN exact e ON e.user_id = r.user_id AND coalesce(r.merchant, r.payee, r.cluster_key) = coalesce(e.merchant, e.payee, e.cluster_id)
+FROM recurring r JOIN ledger e ON e.user_id = r.user_id AND coalesce(r.merchant, r.payee, r.cluster_key) = coalesce(e.merchant, e.payee, e.cluster_id)
  AND ((r.type = 'debit' AND e.debit > 0 AND {dbl('e.debit')} = r.amount) OR (r.type = 'credit' AND e.credit > 0))
 GROUP BY r.user_id, r.type, coalesce(r.merchant, r.payee, r.cluster_key), r.amount"""
 
@@ -189,15 +190,13 @@ def fl1_duplicates(d: Spark) -> str:
     return _first("unit DESC, dedupe_key", 40, f"""
 SELECT user_id, concat('duplicate_charge:', cluster_id, ':', CAST(CAST(debit AS DECIMAL(18,2)) AS STRING), ':', month) AS dedupe_key, 'duplicate_charge' AS kind, 'high' AS severity, month,
        min(txn_id) AS txn_id, cluster_id, min({LABEL_}) AS label, min(category) AS category, {dbl('debit')} * (count(*) - 1) AS amount, {dbl('debit')} AS unit, 1 AS detector
-FROM exact WHERE debit > 1000 AND cluster_id IS NOT NULL GROUP BY user_id, cluster_id, debit, month HAVING count(*) >= 2""")
+FROM ledger WHERE debit > 1000 AND cluster_id IS NOT NULL GROUP BY user_id, cluster_id, debit, month HAVING count(*) >= 2""")
 
 
 @relation
 def cluster_medians(d: Spark) -> str:
     """AG14: nearest-rank median of a cluster's debits, four or more."""
-    return f"""
-SELECT user_id, cluster_id, {dbl(nearest_rank('debit', 0.5))} AS med, max(n) AS n FROM (SELECT user_id, cluster_id, debit, row_number() OVER (PARTITION BY user_id, cluster_id ORDER BY debit) AS rn,
-  count(*) OVER (PARTITION BY user_id, cluster_id) AS n FROM ledger WHERE debit > 0) AS r GROUP BY user_id, cluster_id HAVING max(n) >= 4"""
+    return f"SELECT user_id, cluster_id, {dbl('x')} AS med, n FROM ({ranked('user_id, cluster_id', 'debit', 'ledger WHERE debit > 0', 0.5)}) AS q WHERE n >= 4"
 
 
 @relation
@@ -256,14 +255,13 @@ def fl7_opaque_transfers(d: Spark) -> str:
     return _first("amount DESC, dedupe_key", 25, f"""
 SELECT l.user_id, concat('large_opaque_transfer:', l.txn_id) AS dedupe_key, 'large_opaque_transfer' AS kind, 'medium' AS severity, l.month, l.txn_id, CAST(NULL AS STRING) AS cluster_id, {SPEND} AS label,
        l.category, {dbl('l.debit')} AS amount, 7 AS detector FROM ledger l JOIN (
-  SELECT user_id, {nearest_rank('debit', 0.95)} AS p95 FROM (SELECT user_id, debit, row_number() OVER (PARTITION BY user_id ORDER BY debit) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM ledger WHERE debit > 0) AS r
-  GROUP BY user_id HAVING max(n) >= 20) AS q ON l.user_id = q.user_id WHERE l.category = '{TRANSFER}' AND l.debit > q.p95""")
+  {ranked('user_id', 'debit', 'ledger WHERE debit > 0', 0.95)}) AS q ON l.user_id = q.user_id WHERE q.n >= 20 AND l.category = '{TRANSFER}' AND l.debit > q.x""")
 
 
 DETECTORS = ("fl1_duplicates", "fl2_outliers", "fl3_spike_contributors", "fl4_fees", "fl5_price_hikes", "fl6_balance_risk", "fl7_opaque_transfers")
 
 
-@relation
+@mart()
 def flags(d: Spark) -> str:
     """FL8, ST1, ST2: all detectors; of one key the last detector's row stays."""
     union = " UNION ALL ".join(f"SELECT {COLUMNS}, detector FROM {n}" for n in DETECTORS)
@@ -283,26 +281,24 @@ SELECT user_id, dedupe_key, severity, {r6('amount')} AS amount FROM flags
 ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, round(amount, 6) DESC, dedupe_key, user_id LIMIT 20 OFFSET 20"""
 
 
-def _tally(key: str, where: str = "TRUE", cut: str | None = None) -> str:
-    """AG23: of one payment's flags in a group the largest amount counts; flags without one all do."""
-    return f"""
-SELECT user_id, '{cut or key}' AS cut, {key} AS value, CAST(sum(n) AS BIGINT) AS n, {r6('sum(amount)')} AS amount FROM (
-  SELECT user_id, {key}, txn_id, count(*) AS n, max(greatest(amount, 0e0)) AS amount FROM flags WHERE txn_id IS NOT NULL AND {where} GROUP BY user_id, {key}, txn_id
-  UNION ALL SELECT user_id, {key}, txn_id, 1 AS n, greatest(amount, 0e0) AS amount FROM flags WHERE txn_id IS NULL AND {where}) AS t GROUP BY user_id, {key}"""
+#: AG23: of one payment's flags in a group the largest amount counts; flags without one all do.
+PAYMENT = "coalesce(txn_id, concat('-', dedupe_key))"
+AT_STAKE = "max(greatest(amount, 0e0)) AS amount, count(*) AS n, count(CASE WHEN severity = 'high' THEN 1 END) AS high"
 
 
 @relation
 def ag23_flag_tally(d: Spark) -> str:
-    return _tally("kind")
+    return f"""
+SELECT user_id, 'kind' AS cut, kind AS value, CAST(sum(n) AS BIGINT) AS n, {r6('sum(amount)')} AS amount FROM (
+  SELECT user_id, kind, {PAYMENT} AS payment, {AT_STAKE} FROM flags GROUP BY user_id, kind, {PAYMENT}) AS t GROUP BY user_id, kind"""
 
 
 @relation
 def exposure(d: Spark) -> str:
     """AG24."""
-    return """
+    return f"""
 SELECT user_id, sum(amount) AS exposure, sum(n) AS flags, sum(high) AS high FROM (
-  SELECT user_id, txn_id, max(greatest(amount, 0e0)) AS amount, count(*) AS n, count(CASE WHEN severity = 'high' THEN 1 END) AS high FROM flags WHERE txn_id IS NOT NULL GROUP BY user_id, txn_id
-  UNION ALL SELECT user_id, txn_id, greatest(amount, 0e0), 1, CASE WHEN severity = 'high' THEN 1 ELSE 0 END FROM flags WHERE txn_id IS NULL) AS t GROUP BY user_id"""
+  SELECT user_id, {PAYMENT} AS payment, {AT_STAKE} FROM flags GROUP BY user_id, {PAYMENT}) AS t GROUP BY user_id"""
 
 
 @relation
@@ -312,8 +308,15 @@ def ag24_exposure(d: Spark) -> str:
 
 @relation
 def ag25_faceted_cuts(d: Spark) -> str:
-    """Cuts under the filters severity = high and kind = merchant_outlier: each ignores its own."""
-    return " UNION ALL ".join([_tally("severity", "kind = 'merchant_outlier'"), _tally("kind", "severity = 'high'"), _tally("month", "kind = 'merchant_outlier' AND severity = 'high'"), _tally("category", "kind = 'merchant_outlier' AND severity = 'high'")])
+    """Cuts under the filters severity = high and kind = merchant_outlier: each ignores its own. One
+    pass over the flags, each in the cuts whose other filters it meets."""
+    cuts = d.unnest("array('severity', 'kind', 'month', 'category')" if d.name == "spark" else "['severity', 'kind', 'month', 'category']")
+    value = "CASE cut WHEN 'severity' THEN severity WHEN 'kind' THEN kind WHEN 'month' THEN month ELSE category END"
+    return f"""
+SELECT user_id, cut, value, CAST(sum(n) AS BIGINT) AS n, {r6('sum(amount)')} AS amount FROM (
+  SELECT user_id, cut, {value} AS value, {PAYMENT} AS payment, {AT_STAKE} FROM (SELECT *, {cuts} AS cut FROM flags) AS f
+  WHERE (cut = 'severity' OR severity = 'high') AND (cut = 'kind' OR kind = 'merchant_outlier') GROUP BY user_id, cut, {value}, {PAYMENT}) AS t
+GROUP BY user_id, cut, value"""
 
 
 @relation

@@ -8,10 +8,13 @@ results are checked against. Any relation can be replaced by a caller's DataFram
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import shared_folder
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -131,16 +134,85 @@ def statement(name: str, dialect: Spark, given: frozenset[str] = frozenset()) ->
 
 def build(spark: SparkSession, name: str, **given: DataFrame) -> DataFrame:
     """The relation as a DataFrame; ``given`` replaces base tables or relations by name."""
-    for n, df in given.items():
-        df.createOrReplaceTempView(n)
-    return spark.sql(statement(name, SPARK, frozenset(given)))
+    sql = statement(name, SPARK, frozenset(given))
+    views = {n: f"{n}_{uuid.uuid4().hex}" for n in given}
+    for n, view in views.items():
+        given[n].createOrReplaceTempView(view)
+        sql = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {view}", sql)
+    try:
+        return spark.sql(sql)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+
+
+#: Relations that are written once and read by all that name them.
+MARTS: dict[str, str | None] = {}
+_written: dict[tuple, DataFrame] = {}
+
+
+def mart(partition: str | None = None) -> Callable[[Callable[[Spark], str]], Callable[[Spark], str]]:
+    """Register the function's name as a relation that is kept as a table, laid out by ``partition``."""
+
+    def add(f: Callable[[Spark], str]) -> Callable[[Spark], str]:
+        MARTS[f.__name__] = partition
+        return relation(f)
+
+    return add
+
+
+def _below(name: str) -> list[str]:
+    """The marts that the relation reads, through relations that are none."""
+    found: dict[str, None] = {}
+    seen: set[str] = set()
+
+    def visit(n: str) -> None:
+        for other in _needs(RELATIONS[n](SPARK), n, frozenset()):
+            if other in MARTS:
+                found[other] = None
+            elif other not in seen:
+                seen.add(other)
+                visit(other)
+
+    visit(name)
+    return list(found)
+
+
+def _state(spark: SparkSession, sf_dir: str, tables: list[str]) -> tuple:
+    """What tells whether the tables' files are still those that a mart was made of."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{sf_dir}/{t}.parquet" for t in tables])
+    return tuple(sorted((r.path, r.length, str(r.modificationTime)) for r in files.select("path", "length", "modificationTime").collect()))
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, state: tuple) -> DataFrame:
+    """A mart, written below ``spark.checkpoint.dir`` when it is first read, and again after the
+    tables' files have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, state)
+    if key not in _written:
+        df = _read(spark, sf_dir, name, state)
+        place, by = shared_folder(spark, f"mart-{name}"), MARTS[name]
+        writer = df.hint("rebalance", by).write.partitionBy(by) if by else df.write
+        writer.parquet(place)
+        # partition columns would read back by the look of their values
+        _written[key] = spark.read.schema(df.schema).parquet(place).select(df.columns)
+    return _written[key]
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str, state: tuple | None = None) -> DataFrame:
+    marts = _below(name)
+    sql = statement(name, SPARK, frozenset(marts))
+    used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", sql)]
+    if marts and state is None:
+        state = _state(spark, sf_dir, [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", statement(name, SPARK))])
+    given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used} | {m: kept(spark, sf_dir, m, state) for m in marts}
+    return build(spark, name, **given)
 
 
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The relation over the tables of a folder, by way of the marts below it."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sql = statement(name, SPARK)
-        used = {t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", sql)}
-        return build(spark, name, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+        return _read(spark, sf_dir, name)
 
     return run
 
@@ -150,6 +222,14 @@ def nearest_rank(x: str, p: float | str, n: str = "n", rn: str = "rn") -> str:
     return f"max(CASE WHEN {rn} = least(CAST(floor({p} * {n}) AS BIGINT) + 1, {n}) THEN {x} END)"
 
 
+def ranked(keys: str, x: str, rows: str, p: float) -> str:
+    """(keys, x, n): the value at floor(p n) from 0 of each group's ``x`` in order. Equal values are
+    counted first, so that only distinct ones are put in order."""
+    before = "PARTITION BY {0} ORDER BY {1} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW".format(keys, x)
+    return f"""SELECT {keys}, min(CASE WHEN upto > least(CAST(floor({p} * n) AS BIGINT), n - 1) THEN {x} END) AS x, max(n) AS n FROM (
+  SELECT {keys}, {x}, sum(c) OVER ({before}) AS upto, sum(c) OVER (PARTITION BY {keys}) AS n FROM (SELECT {keys}, {x}, count(*) AS c FROM {rows} GROUP BY {keys}, {x}) AS h) AS u GROUP BY {keys}"""
+
+
 def js_round(x: str, digits: int = 0) -> str:
     """Halves go up, also below zero."""
     if not digits:
