@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import goals, insights, layout, monthly, normalize, payees, recurring  # noqa: F401  they register relations
 from ..sources import adapters  # noqa: F401
 from ..streaming import incremental
+from .oracles import independent
 from .relations import DUCK, RELATIONS, query, statement
 
 #: Relations that are results of their own, by the operator's identifier.
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: statement(n, DUCK) for n in names()} | incremental.ORACLES
+    return {n: statement(n, DUCK) for n in names()} | incremental.ORACLES | independent()
