@@ -83,7 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op5_line_dedup": OP5_SQL}
+    return {"op3_topk": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op8_suffix_dedup": OP8_SQL}
 
 
 OP3_SQL = """
@@ -105,3 +105,26 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS
        sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY r
 """
+
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS q FROM d),
+k AS (SELECT r, q, md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY q ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS h, count(*) OVER (PARTITION BY r ORDER BY q ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS n FROM x),
+s AS (SELECT h FROM k WHERE n = 35 GROUP BY h HAVING count(*) > 1),
+m AS (SELECT k.r, k.q, s.h IS NOT NULL AS again FROM k LEFT JOIN s ON k.h = s.h AND k.n = 35),
+c AS (SELECT r, q, bool_or(again) OVER (PARTITION BY r ORDER BY q ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m),
+t AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS g, string_agg(word, ' ' ORDER BY q) FILTER (NOT gone) AS kept FROM x JOIN c USING (r, q) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(g, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (r)
+"""
+
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS own, hex(coalesce(text, '')) AS hx, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+x AS (SELECT r, own, unnest(regexp_extract_all(hx, '..')) AS b, unnest(range(n)) AS q FROM d),
+k AS (SELECT r, own, q, md5(string_agg(b, '') OVER w) AS h, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY r ORDER BY q ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+s AS (SELECT h, min(own) AS first FROM k WHERE n = 50 GROUP BY h HAVING count(*) > 1),
+m AS (SELECT k.r, k.q, coalesce(s.first < k.own, false) AS again FROM k LEFT JOIN s ON k.h = s.h AND k.n = 50),
+c AS (SELECT r, q, bool_or(again) OVER (PARTITION BY r ORDER BY q ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
+e AS (SELECT r, q, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY q), false) AS opens FROM c),
+t AS (SELECT r, count(*) FILTER (gone) AS g, count(*) FILTER (opens) AS spans, string_agg(b, '' ORDER BY q) FILTER (NOT gone) AS kept FROM x JOIN e USING (r, q) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(g, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN t USING (r)
+"""
