@@ -20,6 +20,7 @@ from .textscan import slices
 
 CELLS = 1 << 16
 ORDERS = (1, 2, 3)
+PARTS = 64
 
 
 def has_letter(text: str | None) -> bool:
@@ -110,8 +111,12 @@ def fit(docs: DataFrame, per_language: int = 300) -> KernelModel | None:
     least ones, none of them held out; of repeated ids the least text counts. None without
     labelled texts."""
     able = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("_h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    cut = able.select("lang", "_h").distinct().withColumn("_r", rank).filter(F.col("_r") <= per_language).groupBy("lang").agg(F.max("_h").alias("_cut"))
+    # first among the hashes of a part, then among what the parts leave, so that no language is one task
+    least = able.select("lang", "_h", F.pmod("_h", F.lit(PARTS)).alias("_p")).distinct()
+    for by in (["lang", "_p"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("_h"))
+        least = least.withColumn("_r", rank).filter(F.col("_r") <= per_language)
+    cut = least.groupBy("lang").agg(F.max("_h").alias("_cut"))
     cuts = {r["lang"]: r["_cut"] for r in cut.collect()}  # one row for each language
     if not cuts:
         return None

@@ -304,7 +304,7 @@ def _apart(held: DataFrame, labels: DataFrame | None, texts: Texts, least: float
     if not total:
         return pairs
     k = texts.k
-    bits = min(25, max(16, (8 * total).bit_length()))
+    bits = min(25, max(16, (4 * total).bit_length()))
 
     def sets(column: pa.Array) -> Iterator[tuple[Slice, list[np.ndarray]]]:
         for part in slices(column):

@@ -34,7 +34,7 @@ class ChunkTokenizer:
     letters and of its marks. What is known stays for the worker's later tasks, up to ``keep``
     chunks and as many parts."""
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 

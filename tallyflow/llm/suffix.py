@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,7 +203,28 @@ def byte_windows(width: int, gram: int) -> Callable[[], Callable]:
     return scan
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shard: int = 1 << 18) -> DataFrame:
+def dealt_anew(anchor: int, seg: bytes, width: int, gram: int, powers: Powers) -> list[tuple[int, int, bytes]]:
+    """(key, first byte, bytes): parts of a segment that together hold all its windows, each under a
+    key that says more of the window than the anchor does.
+
+    A window's place relative to its anchor falls in one of a few ranges (0, 1, 2-3, 4-7, ...). All
+    windows of a range hold the same bytes left and right of the anchor, as many as its least and
+    greatest place allow: they make the key. Equal windows have one place, so one key.
+    """
+    here = np.flatnonzero(rolling(np.frombuffer(seg, np.uint8).astype(np.uint64), gram, powers, 50) == np.uint64(anchor & ((1 << 64) - 1)))
+    p = int(here[0])
+    out, lo = [], 0
+    while lo <= width - gram:
+        hi = min(max(lo, 2 * lo - 1), width - gram)
+        least, most = max(lo, p - (len(seg) - width)), min(hi, p)
+        if least <= most:
+            core = seg[p - lo : p + gram + width - gram - hi]
+            out.append((xxhash.xxh3_64_intdigest(core, lo + 1) - (1 << 63), p - most, seg[p - most : p - least + width]))
+        lo = hi + 1
+    return out
+
+
+def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shard: int = 1 << 18, crowd: int = 4096) -> DataFrame:
     """Drop every byte covered by a string of ``width`` bytes that also starts in a document with
     a smaller doc_id; strings are judged on the input and lie within one document.
 
@@ -214,7 +236,9 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
     lose all (from ``width`` bytes on). The sketch marks strings that may be repeated. Strings
     with one anchor stand side by side in segments of at most 2 * width bytes, so equal
     strings meet where their anchor's distinct segments do; there a suffix array groups those
-    whose hash is met twice. A segment is named by its anchor and a hash, 128 bits, afterwards.
+    whose hash is met twice. An anchor of more than ``crowd`` segments is split: its segments are cut
+    into parts by what stands left and right of the anchor (``dealt_anew``), which meet by that too. A
+    segment is named by its anchor and a hash, 128 bits, afterwards.
     """
     gram = max(1, width - 26)
     plain = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
@@ -268,12 +292,32 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
         if rows:
             yield out()
 
-    def placed() -> DataFrame:
-        found = distinct.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
-        return found.mapInArrow(owners, "anchor long, seg binary, lo long, hi long, owner long").select("anchor", F.xxhash64("seg").alias("h"), "lo", "hi", "owner")
+    def placed(found: DataFrame, name: str) -> DataFrame:
+        found = found.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
+        found = found.mapInArrow(owners, "anchor long, seg binary, lo long, hi long, owner long")
+        return written(found.select("anchor", F.xxhash64("seg").alias("h"), "lo", "hi", "owner"), name)
 
-    owned = written(placed(), "byte-owners")
-    forget(distinct)
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            rows = [(i, *part) for i, (anchor, seg) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)) for part in dealt_anew(anchor, seg, width, gram, powers)]
+            own = batch.take(pa.array([r[0] for r in rows], pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), own.column(3), own.column(4), *[pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(kinds)]], ["old", "h", "least", "most", "anchor", "shift", "seg"])
+
+    crowded = written(distinct.groupBy("anchor").count().filter(F.col("count") > crowd).select("anchor"), "byte-crowded")
+    if crowded.limit(1).count():
+        parts = distinct.join(crowded, "anchor").select("anchor", "seg", F.xxhash64("seg").alias("h"), "least", "most")
+        parts = written(parts.mapInArrow(split, "old long, h long, least long, most long, anchor long, shift long, seg binary"), "byte-parts")
+        alike = parts.groupBy("anchor", "seg").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+        known = placed(alike, "byte-part-owners").withColumnRenamed("h", "k")
+        known = parts.withColumn("k", F.xxhash64("seg")).join(known, ["anchor", "k"]).filter(F.col("owner") < F.col("most"))
+        known = known.select(F.col("old").alias("anchor"), "h", (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"), "owner")
+        owned = placed(distinct.join(crowded, "anchor", "left_anti"), "byte-owners").unionByName(known)
+    else:
+        owned = placed(distinct, "byte-owners")
+
+    forget(distinct, crowded)
 
     def removed() -> DataFrame:
         own = held.select("anchor", F.xxhash64("seg").alias("h"), "_node", "_d", "at")
@@ -282,7 +326,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
         return hits.groupBy("_node").agg(F.collect_list("_at").alias("_at")).join(copies, "_node", "full")
 
     spans = written(removed(), "byte-spans")
-    forget(held, owned)
+    forget(held)
     mine = [c for c in plain.columns if c != id_]
     spans = spans.select(F.col("_node").alias(id_), F.col("_at").alias(at_), F.col("_first").alias(first_))
     tagged = plain.join(spans, id_, "left").withColumn(all_, F.coalesce(F.col(first_) < owner, F.lit(False))).select(*mine, at_, all_)

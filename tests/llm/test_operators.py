@@ -234,9 +234,10 @@ def test_suffix_order():
     assert least_owner([b"abcabc", b"xabcx"], [4, 2], 3) == [[2, 4, 4, 2], [2, 2, 2]]
 
 
-def test_repeated_bytes(docs, rows, empty):
+@pytest.mark.parametrize("crowd", [4096, 0])
+def test_repeated_bytes(docs, rows, empty, crowd):
     last = 1 << 62
-    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.remove_repeated_bytes(docs, 50, 20).collect())
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.remove_repeated_bytes(docs, 50, 20, crowd=crowd).collect())
     first = {}
     for r in rows:
         b = (r[1] or "").encode()
@@ -255,6 +256,24 @@ def test_repeated_bytes(docs, rows, empty):
     assert suffix.remove_repeated_bytes(empty, 50, 20).count() == 0
 
 
+def test_a_crowded_anchor_is_split(spark):
+    """Many texts with one line between parts of their own, some of which repeat, against brute force."""
+    rnd = random.Random(3)
+    ends = ["".join(rnd.choice("abcdef ") for _ in range(40)) for _ in range(30)]
+    found = [rnd.choice(ends)[rnd.randrange(20):] + "the line that all of these texts hold" + rnd.choice(ends)[: rnd.randrange(40)] for _ in range(150)]
+    seen, want = {}, []
+    for i, t in enumerate(found):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 49):
+            if seen.setdefault(t[k : k + 50], i) < i:
+                gone[k : k + 50] = True
+        want.append("".join(c for c, g in zip(t, gone, strict=True) if not g))
+    made = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    for crowd in (4096, 3):
+        got = suffix.remove_repeated_bytes(made, 50, 20, crowd=crowd).orderBy("doc_id").collect()
+        assert [r.kept.decode() for r in got] == want
+
+
 def test_language_model(docs, empty, rows):
     got = lmscore.score(docs, F.col("doc_id") < 5, bits=16).collect()
     assert len(got) == len(rows)
