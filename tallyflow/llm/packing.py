@@ -31,10 +31,10 @@ class ChunkTokenizer:
     """Ids of whole texts. The vocabulary drops white space and no token spans it, so the ids
     of a text are those of its chunks between blanks. Letters and the marks after them are
     tokens of their own and case doesn't count, so a chunk's ids are those of its lower-cased
-    letters and of its marks. What is known stays for the worker's later tasks, up to ``keep``
-    chunks and as many parts."""
+    letters and of its marks. What is known stays for the worker's later tasks, up to about
+    2 * ``keep`` chunks and as many parts, those met last."""
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
@@ -47,9 +47,9 @@ class ChunkTokenizer:
             probe = "Abc,  def\nGhi!! x"
             apart = self._whole(probe) == b"".join(self._part(x) for x in ("abc", ",", "def", "ghi", "!!", "x"))
             letters = "".join(c for c in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x250)]) if self._plain(c))
-            held[path] = {"": b""}, {"": b""}, apart, re.compile(f"([{letters}]+)([{re.escape(MARKS)}]*)") if letters else None
-        self.known, self.parts, self.apart, self.letters_marks = held[path]
-        self.apart = self.apart and self.letters_marks is not None
+            pattern = re.compile(f"([{letters}]+)([{re.escape(MARKS)}]*)") if letters else None
+            held[path] = [[{"": b""}, {}], [{"": b""}, {}], apart and pattern is not None, pattern]
+        self.chunks, self.parts, self.apart, self.letters_marks = held[path]
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -71,21 +71,23 @@ class ChunkTokenizer:
         if not self.apart:
             return [self._whole(t) for t in texts]
         split = [BLANKS.sub(" ", t).split(" ") for t in texts]
-        known, parts = self.known, self.parts
-        for held in (known, parts):
-            if len(held) > self.keep:
-                held.clear()
-                held[""] = b""
+        for held in (self.chunks, self.parts):
+            if len(held[0]) > self.keep:  # what is met again comes back from the old ones
+                held[:] = {"": b""}, held[0]
+        (known, old), (parts, old_parts) = self.chunks, self.parts
         for c in {c for chunks in split for c in chunks if c not in known}:
-            m = self.letters_marks.fullmatch(c)
-            if m:
-                letters, marks = m[1].lower(), m[2]
-                for x in (letters, marks):
-                    if x not in parts:
-                        parts[x] = self._part(x)
-                known[c] = parts[letters] + parts[marks]
-            else:
-                known[c] = self._whole(c)
+            ids = old.get(c)
+            if ids is None:
+                m = self.letters_marks.fullmatch(c)
+                if m:
+                    letters, marks = m[1].lower(), m[2]
+                    for x in (letters, marks):
+                        if x not in parts:
+                            parts[x] = old_parts.get(x) or self._part(x)
+                    ids = parts[letters] + parts[marks]
+                else:
+                    ids = self._whole(c)
+            known[c] = ids
         return [b"".join([known[c] for c in chunks]) for chunks in split]
 
 
