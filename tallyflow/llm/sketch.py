@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .scratch import partitions
+from .scratch import forget, partitions, written
 from .textscan import Powers, mix, rolling, sliding_min
 
 DEPTH = 2
@@ -92,12 +92,13 @@ def repeated_cells(texts: DataFrame, scan: Callable[[], Callable[[pa.Array], Ite
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(np.packbits(x > 1).tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "bits"])
 
     sent = texts.mapInArrow(send, "block int, cells binary")
-    met = sent.repartition(partitions(texts.sparkSession), "block").mapInArrow(merge, "block int, bits binary")
+    met = written(sent.repartition(partitions(texts.sparkSession), "block").mapInArrow(merge, "block int, bits binary"), "sketch-bits")
     maps = np.zeros((DEPTH, (1 << bits) // 8), np.uint8)
     size = (1 << BLOCK) // 8
     for r in met.toLocalIterator():
         k = (r["block"] & ((1 << 20) - 1)) * size
         maps[r["block"] >> 20, k : k + size] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    forget(met)
     return maps
 
 
@@ -146,8 +147,9 @@ def levels(batches_of: DataFrame, read: Callable[[], Callable[[pa.RecordBatch],
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in level], pa.binary())], ["block", "level"])
 
     sent = batches_of.mapInArrow(send, "block int, cells binary, n binary")
-    met = sent.repartition(partitions(batches_of.sparkSession), "block").mapInArrow(merge, "block int, level binary")
+    met = written(sent.repartition(partitions(batches_of.sparkSession), "block").mapInArrow(merge, "block int, level binary"), "sketch-levels")
     out = np.zeros(1 << bits, np.uint8)
     for r in met.toLocalIterator():
         out[r["block"] << width : (r["block"] + 1) << width] = np.frombuffer(zlib.decompress(r["level"]), np.uint8)
+    forget(met)
     return out

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -252,9 +253,12 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
     spoken = sure.join(copies, "_node", "left").filter(F.col("_first").isNull() | (F.col("_d") == F.col("_first")))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments by the number of their row; each numbered row also comes with its text's name."""
         powers, maps = Powers(), shared.value
+        number = TaskContext.get().partitionId() << 33
+        names = ["anchor", "seg", "row", "_d", "at", "_node"]
         for batch in batches:
-            node, d = batch.column(0), batch.column(1).to_numpy()
+            d = batch.column(1).to_numpy()
             for part in slices(batch.column(2)):
                 found = Anchors(part.data.astype(np.uint64), part.off, width, gram, powers)
                 hot = found.hot(bits, maps)
@@ -263,11 +267,16 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
                 if len(lo):
                     row = np.searchsorted(part.off, lo, "right") - 1
                     body = part.data.tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(found.keys[hot].view(np.int64)), pa.array([body[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()), node.take(pa.array(part.first + row)), pa.array(d[part.first + row]), pa.array((lo - part.off[row]).astype(np.int32))], ["anchor", "seg", "_node", "_d", "at"])
+                    some = np.unique(row)
+                    none = pa.nulls(len(some), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, pa.nulls(len(some), pa.binary()), pa.array(number + part.first + some), none, pa.nulls(len(some), pa.int32()), batch.column(0).take(pa.array(part.first + some))], names)
+                    segs = pa.array([body[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(found.keys[hot].view(np.int64)), segs, pa.array(number + part.first + row), pa.array(d[part.first + row]), pa.array((lo - part.off[row]).astype(np.int32)), pa.nulls(len(row), pa.binary())], names)
+            number += batch.num_rows
 
-    held = written(spoken.select("_node", "_d", "text").mapInArrow(segments, "anchor long, seg binary, _node binary, _d long, at int"), "byte-segments")
-    distinct = written(held.groupBy("anchor", "seg").agg(F.min("_d").alias("least"), F.max("_d").alias("most")), "byte-distinct")
+    held = written(spoken.select("_node", "_d", "text").mapInArrow(segments, "anchor long, seg binary, row long, _d long, at int, _node binary"), "byte-segments")
+    found = held.filter("_node IS NULL")
+    distinct = written(found.groupBy("anchor", "seg").agg(F.min("_d").alias("least"), F.max("_d").alias("most")), "byte-distinct")
 
     def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor; anchors are sorted together up to ``shard`` bytes."""
@@ -320,10 +329,12 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
     forget(distinct, crowded)
 
     def removed() -> DataFrame:
-        own = held.select("anchor", F.xxhash64("seg").alias("h"), "_node", "_d", "at")
+        own = found.select("anchor", F.xxhash64("seg").alias("h"), "row", "_d", "at")
         hits = own.join(owned, ["anchor", "h"]).filter(F.col("owner") < F.col("_d"))
-        hits = hits.select("_node", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("_at"))
-        return hits.groupBy("_node").agg(F.collect_list("_at").alias("_at")).join(copies, "_node", "full")
+        hits = hits.select("row", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("_at"))
+        named = hits.groupBy("row").agg(F.collect_list("_at").alias("_at")).join(held.filter("_node IS NOT NULL").select("row", "_node"), "row")
+        # rows of one text and one doc_id speak alike
+        return named.groupBy("_node").agg(F.first("_at").alias("_at")).join(copies, "_node", "full")
 
     spans = written(removed(), "byte-spans")
     forget(held)
