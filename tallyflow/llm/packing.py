@@ -23,10 +23,16 @@ from pyspark.sql import types as T
 from .scratch import partitions, written
 from .textscan import slices
 
-BLANKS = re.compile(r"[\t\n\x0b\x0c\r]")
+BLANKS = "\t\n\x0b\x0c\r"
 MARKS = ".,*&%$#:;!?()|-"
 
 
+def _spaced(text: str) -> str:
+    for blank in BLANKS:
+        text = text.replace(blank, " ")
+    return text
+
+
 class ChunkTokenizer:
     """Ids of whole texts. The vocabulary drops white space and no token spans it, so the ids
     of a text are those of its chunks between blanks. Letters and the marks after them are
@@ -34,7 +40,7 @@ class ChunkTokenizer:
     letters and of its marks. What is known stays for the worker's later tasks, up to about
     2 * ``keep`` chunks and as many parts, those met last."""
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
@@ -70,12 +76,12 @@ class ChunkTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.apart:
             return [self._whole(t) for t in texts]
-        split = [BLANKS.sub(" ", t).split(" ") for t in texts]
+        split = [_spaced(t).split(" ") for t in texts]
         for held in (self.chunks, self.parts):
             if len(held[0]) > self.keep:  # what is met again comes back from the old ones
                 held[:] = {"": b""}, held[0]
         (known, old), (parts, old_parts) = self.chunks, self.parts
-        for c in {c for chunks in split for c in chunks if c not in known}:
+        for c in set().union(*split).difference(known):
             ids = old.get(c)
             if ids is None:
                 m = self.letters_marks.fullmatch(c)
@@ -88,17 +94,17 @@ class ChunkTokenizer:
                 else:
                     ids = self._whole(c)
             known[c] = ids
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, eos: int, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, eos: int, with_ids: bool = False, keep: int = 200_000) -> DataFrame:
     """Every document's ids, then ``eos``, cut at ``capacity``; null text counts as empty."""
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.list_(pa.int64()))] if with_ids else []))
     tail = np.asarray([eos], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = ChunkTokenizer(tokenizer)
+        tok = ChunkTokenizer(tokenizer, keep)
         for batch in batches:
             for few in slices(batch.column(1)):
                 part = batch.slice(few.first, few.rows)
@@ -338,15 +344,15 @@ def _search(count: np.ndarray, capacity: int, total: int, floor: int, best: list
     return best, fewest, nodes
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, eos: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, eos: int = 1, with_ids: bool = False, keep: int = 200_000) -> DataFrame:
     """Place every document's pieces in sequences of at most ``capacity`` ids, as few as found.
 
     Takes ``doc_id`` and ``text``; other columns are left out. Null text is empty (one id, the
-    end mark); a null doc_id stays null; repeated rows are packed each; an empty table gives no
+    end mark); ``keep`` bounds each worker's memory of chunks already split; a null doc_id stays null; repeated rows are packed each; an empty table gives no
     rows. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
     """
     spark = docs.sparkSession
-    cut = written(pieces(docs, tokenizer, capacity, eos, with_ids), "pieces")
+    cut = written(pieces(docs, tokenizer, capacity, eos, with_ids, keep), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     rows, first, sequence = [], dict.fromkeys(counts, 0), 0
     for items, n in plan(counts, capacity):
