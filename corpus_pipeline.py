@@ -37,8 +37,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 ids in their sequences."""
-    return packing.pack(docs, tokenizer_path(), capacity=4096, eos=1)
+    """Pieces of at most 4096 ids in their sequences; a small memory of chunks, as workers serve all stages."""
+    return packing.pack(docs, tokenizer_path(), capacity=4096, eos=1, keep=50_000)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("packing", packing_)]
