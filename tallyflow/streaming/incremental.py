@@ -18,20 +18,20 @@ def month_totals(ledger: DataFrame) -> DataFrame:
 def recompute(batch: DataFrame, ledger_path: str, mart_path: str) -> None:
     """SM2, SM3: append the batch, then recompute the months it touches and overwrite just those.
 
-    A replayed batch finds its rows by id and adds none, so at-least-once delivery is enough.
+    A replayed batch finds its rows by id and adds none, but recomputes its months all the same: a
+    run that ended between the two writes is made good by the next. So at-least-once delivery is enough.
     """
     spark = batch.sparkSession
-    own = batch.select("month").distinct()
+    own = batch.select("month").distinct().persist()
     if _there(spark, ledger_path):
         batch = batch.join(spark.read.schema("txn_id long, user_id long, amount decimal(18,2), month string").parquet(ledger_path).join(own, "month", "left_semi").select("txn_id"), "txn_id", "left_anti")
     batch = batch.persist()
-    months = batch.select("month").distinct().persist()
-    if months.count():
+    if own.count():
         batch.write.mode("append").partitionBy("month").parquet(ledger_path)
         # partition columns read back typed by their values; months stay text
         ledger = spark.read.option("inferSchema", "false").schema("txn_id long, user_id long, amount decimal(18,2), month string").parquet(ledger_path)
-        overwrite_months(month_totals(ledger.join(F.broadcast(months), "month", "left_semi")), mart_path, spark)
-    months.unpersist()
+        overwrite_months(month_totals(ledger.join(own, "month", "left_semi")), mart_path, spark)
+    own.unpersist()
     batch.unpersist()
 
 

@@ -120,3 +120,26 @@ def test_new_vectors_join_the_nearest_of_all_members(spark, tmp_path):
     top = (new @ old.T).max(1)
     got = {r.id: r.seed for r in seen.collect()}
     assert len(got) == 30 and all(got[i] == int((new[i] @ old.T).argmax() % 7) for i in range(30) if top[i] >= 0.5)
+
+
+def test_a_batch_replayed_after_a_crash_between_the_writes(spark, tmp_path):
+    from tallyflow.streaming.incremental import recompute
+
+    batch = spark.createDataFrame([(1, 7, "2024-01", 5), (2, 7, "2024-01", 6)], "txn_id long, user_id long, month string, x int").selectExpr("txn_id", "user_id", "CAST(x AS DECIMAL(18,2)) AS amount", "month")
+    ledger, mart = f"file://{tmp_path}/ledger", f"file://{tmp_path}/mart"
+    batch.write.mode("append").partitionBy("month").parquet(ledger)  # and then it stopped
+    for _ in range(2):
+        recompute(batch, ledger, mart)
+        assert [(r.user_id, float(r.total), r.n) for r in spark.read.parquet(mart).collect()] == [(7, 11.0, 2)]
+        assert spark.read.parquet(ledger).count() == 2
+
+
+def test_impulse_buying_and_cancellability_by_hand(spark):
+    rows = [(u, f"{u}-{i}", "2024-01", x) for u, xs in ((1, [50] * 5 + [10] * 30), (2, [45] * 5 + [25] * 11), (3, [70] * 5 + [50] * 3), (4, [9, 9])) for i, x in enumerate(xs)]
+    shopping = spark.createDataFrame(rows, "user_id int, txn_id string, month string, debit int").selectExpr("user_id", "txn_id", "month", "CAST(debit AS DECIMAL(18,2)) AS debit")
+    got = {r.user_id: (r.share, r.badge) for r in build(spark, "bh4_impulse", shopping=shopping).collect()}
+    assert got == {1: (round(250 / 550, 6), "Moderate"), 2: (0.45, "Moderate"), 3: (0.7, "High")}
+    kinds = {"LARGE": "cancellable", "ECONOMY": "pausable", "STANDARD": "essential", "SMALL": "essential", "PROMO": "obligation", "MEDIUM": "obligation"}
+    ledger = spark.createDataFrame([(1, m, c) for c in kinds for m in (1, 2, 3)], "user_id int, m int, category string").selectExpr(
+        "user_id", "make_date(2024, m, 1) AS ts", "24288 + m AS month_idx", "CAST(9 AS DECIMAL(18,2)) AS debit", "CAST(0 AS DECIMAL(18,2)) AS credit", "category AS merchant", "CAST(NULL AS STRING) AS payee", "category", "category AS cluster_id")
+    assert {r.merchant: r.cancellability for r in build(spark, "rec1_debit_merchant", ledger=ledger).collect()} == kinds
