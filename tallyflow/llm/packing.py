@@ -40,7 +40,7 @@ class ChunkTokenizer:
     letters and of its marks. What is known stays for the worker's later tasks, up to about
     2 * ``keep`` chunks and as many parts, those met last."""
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
@@ -97,7 +97,7 @@ class ChunkTokenizer:
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, eos: int, with_ids: bool = False, keep: int = 200_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, eos: int, with_ids: bool = False, keep: int = 350_000) -> DataFrame:
     """Every document's ids, then ``eos``, cut at ``capacity``; null text counts as empty."""
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.list_(pa.int64()))] if with_ids else []))
@@ -344,7 +344,7 @@ def _search(count: np.ndarray, capacity: int, total: int, floor: int, best: list
     return best, fewest, nodes
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, eos: int = 1, with_ids: bool = False, keep: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, eos: int = 1, with_ids: bool = False, keep: int = 350_000) -> DataFrame:
     """Place every document's pieces in sequences of at most ``capacity`` ids, as few as found.
 
     Takes ``doc_id`` and ``text``; other columns are left out. Null text is empty (one id, the
