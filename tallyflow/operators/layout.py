@@ -1,5 +1,11 @@
-"""Statement pages as lines with places: header, rows and columns. A PDF reader is pluggable; it
-gives (page, block, line_y, x, text), one row for each line of text."""
+"""Statement pages as lines with places: header, rows and columns.
+
+A reader (``sources/statements.py``) gives one row for each line of text: (statement, page, block,
+block_y, line, line_y, x, width, text). A block is a few lines that stand together, ``block_y`` its
+upper edge; ``block`` and ``line`` count in reading order. Everything of one page is one bounded
+array, so that the rules that go by what came before are higher-order functions, not Python.
+Lines without text or height take no part.
+"""
 
 from __future__ import annotations
 
@@ -8,56 +14,138 @@ from pyspark.sql import functions as F
 
 from .normalize import DATE
 
+#: Lines that make a block a table's row, units of height that count as one line, lines a header may wrap on.
+LEAST, NEAR, WRAPS = 5, 2.0, 3
+PAGE = ["statement", "page"]
+
+#: The fixture's statements and rows a page.
+STATEMENTS, ROWS = 500, 12
+
+
+def fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages of statements. Heights jitter, amounts start left of their headers, a header
+    wraps on a second line and stands on every third page; the others begin with a dated notice. Each
+    row also has a value date, and every fourth a second line of text."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("amount"), "o_orderstatus", (F.col("o_custkey") % STATEMENTS).alias("statement"))
+    nth = F.row_number().over(Window.partitionBy("statement").orderBy("day", "o_orderkey")) - 1
+    rows = orders.withColumn("nth", nth).select("*", (F.floor(F.col("nth") / ROWS) + 1).cast("int").alias("page"), (F.col("nth") % ROWS).cast("int").alias("r"))
+    date, top, wide = F.date_format("day", "dd/MM/yyyy"), 60.0 + 20.0 * F.col("r"), F.col("o_orderkey") % 4 == 0
+    in_row = [(10, 50, 0.0, date), (12, 50, 0.6, date), (80, 90, 1.2, F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))), (F.when(F.col("o_orderstatus") == "O", 390).otherwise(285), 50, 0.6, F.col("amount")),
+              (480, 50, 0.0, F.concat((F.col("o_orderkey") * 10).cast("string"), F.lit(".00"))), (80, 60, 8.0, F.when(wide, F.concat(F.lit("ref "), F.col("o_orderkey").cast("string"))))]
+    body = _placed(rows, F.col("r") + 2, top, [(x, w, top + y, t) for x, w, y, t in in_row])
+    pages = rows.select(*PAGE).distinct()
+    head = [(10, 30, 39.9, "Date"), (80, 90, 40.1, "Narration"), (300, 60, 41.2, "Withdrawal"), (400, 50, 40.0, "Deposit"), (500, 50, 39.5, "Balance"), (298, 40, 50.0, "Amount"), (402, 40, 50.3, "Amount")]
+    title = _placed(pages, F.lit(0), F.lit(5.0), [(10, 200, F.lit(5.0), F.lit("Statement of account"))])
+    header = _placed(pages.filter("page % 3 = 1"), F.lit(1), F.lit(38.0), [(x, w, F.lit(y), F.lit(t)) for x, w, y, t in head])
+    notice = _placed(pages.filter("page % 3 <> 1"), F.lit(1), F.lit(38.0), [(10, 200, F.lit(40.0), F.lit("01/01/2024 new rates apply"))])
+    return title.unionByName(header).unionByName(notice).unionByName(body)
+
+
+def _placed(rows: DataFrame, block: Column, top: Column, cells: list[tuple]) -> DataFrame:
+    def number(v: Column | float) -> Column:
+        return (v if isinstance(v, Column) else F.lit(v)).cast("double")
 
-def fixture(spark: SparkSession, pages: int = 40, rows: int = 12) -> DataFrame:
-    """Pages of a statement: a title, a header on the first page, then rows of five columns."""
-    base = spark.range(pages).select((F.col("id") + 1).cast("int").alias("page"))
-    heads = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(t).alias("text")) for x, t in ((10, "Date"), (80, "Narration"), (250, "Withdrawal"), (350, "Deposit"), (450, "Balance"))])
-    title = base.select("page", F.lit(0).alias("block"), F.lit(5.0).alias("line_y"), F.lit(10.0).alias("x"), F.lit("Statement of account").alias("text"))
-    header = base.filter("page = 1").select("page", F.lit(1).alias("block"), F.lit(40.0).alias("line_y"), F.explode(heads).alias("h")).select("page", "block", "line_y", F.col("h.x").cast("double").alias("x"), "h.text")
-    row = base.select("page", F.explode(F.sequence(F.lit(1), F.lit(rows))).alias("r"))
-    n = F.col("page") * 100 + F.col("r")
-    cells = F.array(
-        F.struct(F.lit(10).alias("x"), F.format_string("%02d/%02d/2024", F.col("r") + 10, F.col("page") % 12 + 1).alias("text")), F.struct(F.lit(80).alias("x"), F.concat(F.lit("Payment "), n.cast("string")).alias("text")),
-        F.struct(F.when(F.col("r") % 3 == 0, F.lit(350)).otherwise(F.lit(250)).alias("x"), F.concat(n.cast("string"), F.lit(".00")).alias("text")), F.struct(F.lit(450).alias("x"), F.concat((n * 10).cast("string"), F.lit(".00")).alias("text")))
-    body = row.select("page", (F.col("r") + 1).alias("block"), (F.col("r") * 12 + 50).cast("double").alias("line_y"), F.explode(cells).alias("c")).select("page", "block", "line_y", F.col("c.x").cast("double").alias("x"), "c.text")
-    more = row.filter("r % 4 = 0").select("page", (F.col("r") + 1).alias("block"), (F.col("r") * 12 + 56).cast("double").alias("line_y"), F.lit(80.0).alias("x"), F.lit("ref continued").alias("text"))
-    return title.unionByName(header).unionByName(body).unionByName(more)
+    lines = F.array(*[F.struct(F.lit(i).alias("line"), number(y).alias("line_y"), number(x).alias("x"), number(w).alias("width"), t.alias("text")) for i, (x, w, y, t) in enumerate(cells)])
+    return rows.select(*PAGE, block.cast("int").alias("block"), number(top).alias("block_y"), F.inline(lines)).filter(F.col("text").isNotNull())
 
 
 def is_date(x: Column) -> Column:
     return F.trim(x).rlike(DATE)
 
 
+def _blocks(lines: DataFrame) -> DataFrame:
+    """One row for each block, dealt by page so that nothing after it moves again."""
+    known = lines.filter(F.col("text").isNotNull() & F.col("line_y").isNotNull()).repartition(*PAGE)
+    return known.groupBy(*PAGE, "block").agg(F.min("block_y").alias("block_y"), F.sort_array(F.collect_list(F.struct("line", "line_y", "x", "width", "text"))).alias("ls"))
+
+
 def headers(lines: DataFrame) -> DataFrame:
-    """SRC2: lines within two units of height are one; a page's anchor is the one with most lines,
-    five at least, with a column named date."""
-    rows = lines.withColumn("band", F.floor(F.col("line_y") / 2))
-    bands = rows.groupBy("page", "band").agg(F.count("*").alias("n"), F.max(F.lower("text").rlike(r"\bdate\b")).alias("dated"), F.min("line_y").alias("header_y"), F.sort_array(F.collect_list(F.struct("x", "text"))).alias("columns"))
-    best = bands.filter((F.col("n") >= 5) & F.col("dated")).withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("n"), "band")))
-    return best.filter("place = 1").select("page", "header_y", "columns")
+    """SRC2: (statement, page, header_y, columns). In each block, lines within two units of the first
+    of them are one level. The fullest level (the first of equals) is a header if it has five lines
+    and the word date; a page's header is its first. Up to three levels below add their words to the
+    column that starts nearest."""
+
+    def level(y: Column) -> Column:
+        return F.get(F.filter("levels", lambda k: F.abs(k - y) <= NEAR), F.lit(0))
+
+    def joined(ks: Column, line: Column) -> Column:
+        return F.when(F.exists(ks, lambda k: F.abs(k - line["line_y"]) <= NEAR), ks).otherwise(F.concat(ks, F.array(line["line_y"])))
+
+    def nearest(x: Column) -> Column:
+        return F.array_min(F.transform("heads", lambda h, i: F.struct(F.abs(h["x"] - x).alias("off"), i.alias("i"))))["i"]
+
+    def titled(h: Column, i: Column) -> Column:
+        more = F.transform(F.filter("wrapped", lambda w: nearest(w["x"]) == i), lambda w: F.trim(w["text"]))
+        return F.struct(h["x"].alias("x"), i.alias("place"), (h["x"] + h["width"]).alias("end_x"), F.trim(F.concat_ws(" ", F.trim(h["text"]), F.concat_ws(" ", more))).alias("text"))
+
+    levels = _blocks(lines).withColumn("levels", F.aggregate("ls", F.array().cast("array<double>"), joined))
+    counts = F.transform("levels", lambda k, i: F.struct(F.size(F.filter("ls", lambda v: level(v["line_y"]) == k)).alias("n"), (-i).alias("first"), k.alias("y")))
+    anchored = levels.withColumn("anchor", F.array_max(counts)).filter(F.col("anchor.n") >= LEAST).withColumn("heads", F.filter("ls", lambda v: level(v["line_y"]) == F.col("anchor.y")))
+    dated = anchored.filter(F.exists("heads", lambda h: h["text"].rlike(r"(?i)\bdate\b")))
+    below = F.slice(F.array_sort(F.filter("levels", lambda k: k > F.col("anchor.y"))), 1, WRAPS)
+    wrapped = dated.withColumn("wrapped", F.flatten(F.transform(below, lambda k: F.filter("ls", lambda v: level(v["line_y"]) == k))))
+    found = wrapped.withColumn("columns", F.array_sort(F.transform("heads", titled)))
+    return found.groupBy(*PAGE).agg(F.min_by(F.struct("block_y", "columns"), "block").alias("h")).select(*PAGE, F.col("h.block_y").alias("header_y"), F.col("h.columns").alias("columns"))
+
+
+def unreadable(lines: DataFrame) -> DataFrame:
+    """Statements without a header on any page; they have no rows, and go to the vision reader."""
+    return lines.select("statement").distinct().join(headers(lines).select("statement").distinct(), "statement", "left_anti")
 
 
 def body(lines: DataFrame) -> DataFrame:
-    """SRC3, SRC4: lines below the page's header in reading order; a page without one starts at its
-    first date-looking line."""
-    first = lines.filter(is_date(F.col("text"))).groupBy("page").agg(F.min("line_y").alias("first_y"))
-    out = lines.join(headers(lines).select("page", "header_y"), "page", "left").join(first, "page", "left")
-    return out.filter(F.col("line_y") > F.coalesce("header_y", F.col("first_y") - 0.5, F.lit(-1.0))).select("page", "block", "line_y", "x", "text")
+    """SRC3: (statement, page, columns, ls), ``ls`` the lines of the blocks below the page's header.
+    A page without one begins at the first of three blocks in a row that have five lines each, else at
+    the first that has, and takes the columns of the last page before it that had a header. Pages
+    before any header go."""
+    blocks = _blocks(lines).withColumn("full", F.size("ls") >= LEAST)
+    pages = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("block", "block_y", "full", "ls"))).alias("bs")).join(headers(lines), PAGE, "left")
+
+    def full(i: Column) -> Column:
+        return F.coalesce(F.get("bs", i)["full"], F.lit(False))
+
+    in_run = F.filter("bs", lambda b, i: full(i) & full(i + 1) & full(i + 2))
+    start = F.coalesce(F.get(in_run, F.lit(0))["block"], F.get(F.filter("bs", lambda b: b["full"]), F.lit(0))["block"])
+    known = F.last("columns", ignorenulls=True).over(Window.partitionBy("statement").orderBy("page"))
+    begun = pages.withColumn("start", start).withColumn("columns", known).filter(F.col("columns").isNotNull())
+    kept = F.filter("bs", lambda b: F.when(F.col("header_y").isNotNull(), b["block_y"] > F.col("header_y")).otherwise(F.coalesce(b["block"] >= F.col("start"), F.lit(False))))
+    flat = F.flatten(F.transform(kept, lambda b: F.transform(b["ls"], lambda v: F.struct(v["line_y"].alias("line_y"), v["x"].alias("x"), b["block"].alias("block"), v["line"].alias("line"), v["text"].alias("text")))))
+    return begun.select(*PAGE, "columns", flat.alias("ls"))
+
+
+def reading_order(pages: DataFrame) -> DataFrame:
+    """SRC4: a page's lines from top to bottom; those less than two units below the first of them go
+    from left to right."""
+
+    def begun(ks: Column, y: Column) -> Column:
+        return F.when(y - F.element_at(ks, -1) < NEAR, ks).otherwise(F.concat(ks, F.array(y)))
+
+    ys = F.array_sort(F.transform("ls", lambda v: v["line_y"]))
+    tops = pages.filter(F.size("ls") > 0).withColumn("tops", F.aggregate(F.slice(ys, 2, F.size(ys)), F.slice(ys, 1, 1), begun))
+    placed = F.transform("ls", lambda v: F.struct(F.array_max(F.filter("tops", lambda t: t <= v["line_y"])).alias("top"), v["x"].alias("x"), v["line_y"].alias("line_y"), v["block"].alias("block"), v["line"].alias("line"), v["text"].alias("text")))
+    return tops.select(*PAGE, "columns", F.array_sort(placed).alias("ls"))
 
 
 def rows_of(lines: DataFrame) -> DataFrame:
-    """SRC5, SRC6: a date opens a row; a line belongs to the last column that starts at or before
-    it, by the page's header or the last one before it."""
-    order = Window.partitionBy("page").orderBy("line_y", "x", "text")
-    numbered = body(lines).withColumn("row_no", F.sum(is_date(F.col("text")).cast("int")).over(order)).filter("row_no > 0")
-    head = headers(lines).select(F.col("page").alias("from_page"), "columns")
-    spans = head.withColumn("until", F.coalesce(F.lead("from_page").over(Window.orderBy("from_page")), F.lit(1 << 30)))
-    at = numbered.join(F.broadcast(spans), (F.col("page") >= F.col("from_page")) & (F.col("page") < F.col("until")))
-    left = F.filter("columns", lambda c: c["x"] <= F.col("x") + 2)
-    named = at.withColumn("column", F.coalesce(F.try_element_at(left, F.lit(-1)), F.element_at("columns", 1))["text"])
-    cells = named.groupBy("page", "row_no", "column").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("line_y", "x", "text"))), lambda c: c["text"])).alias("value"))
-    return cells.groupBy("page", "row_no").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("column", "value")))).alias("cells"))
+    """SRC5, SRC6: (statement, page, row_no, cells). A date opens a row if it stands two units or more
+    from the date that opened the one before; what precedes the first goes. A line belongs to the first
+    column that ends right of where it starts, else to the leftmost; the leftmost holds one value, any
+    other moves to the next column."""
+    pages = reading_order(body(lines))
+    dates = F.filter(F.transform("ls", lambda v, i: F.struct(i.alias("i"), v["line_y"].alias("y"), is_date(v["text"]).alias("dated"))), lambda v: v["dated"])
+
+    def opened(os: Column, v: Column) -> Column:
+        return F.when(F.abs(v["y"] - F.element_at(os, -1)["y"]) < NEAR, os).otherwise(F.concat(os, F.array(v)))
+
+    opens = pages.withColumn("dates", dates).withColumn("opens", F.aggregate(F.slice("dates", 2, F.size("dates")), F.slice("dates", 1, 1), opened))
+    each = opens.select(*PAGE, "columns", "opens", F.posexplode("ls").alias("pos", "l")).withColumn("row_no", F.size(F.filter("opens", lambda o: o["i"] <= F.col("pos")))).filter("row_no > 0")
+    left = F.col("columns")[0]["text"]
+    found = F.coalesce(F.get(F.filter("columns", lambda c: c["end_x"] > F.col("l.x")), F.lit(0))["text"], left)
+    nth = F.row_number().over(Window.partitionBy(*PAGE, "row_no", "found").orderBy("pos"))
+    named = each.withColumn("found", found).withColumn("nth", nth).withColumn("column", F.when((F.col("found") == left) & (F.col("nth") > 1) & (F.size("columns") > 1), F.col("columns")[1]["text"]).otherwise(F.col("found")))
+    rows = named.groupBy(*PAGE, "row_no").agg(F.first("columns").alias("columns"), F.sort_array(F.collect_list(F.struct("pos", "column", F.col("l.text").alias("text")))).alias("ls"))
+    cells = F.transform(F.array_distinct(F.transform("columns", lambda c: c["text"])), lambda t: F.struct(t.alias("column"), F.concat_ws(" ", F.transform(F.filter("ls", lambda v: v["column"] == t), lambda v: v["text"])).alias("value")))
+    return rows.select(*PAGE, "row_no", F.map_from_entries(cells).alias("cells"))
 
 
 #: NRM1: canonical names of columns by the words their headers may hold; a pluggable stand-in.
@@ -71,15 +159,16 @@ def renamed(rows: DataFrame, synonyms: dict[str, str] | None = None) -> DataFram
         found = F.map_filter("cells", lambda k, _: F.lower(k).rlike(words))
         return F.try_element_at(F.map_values(found), F.lit(1))
 
-    return rows.select("page", "row_no", *[under(words).alias(name) for name, words in (synonyms or SYNONYMS).items()])
+    return rows.select(*PAGE, "row_no", *[under(words).alias(name) for name, words in (synonyms or SYNONYMS).items()])
 
 
 def src2_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headers(fixture(spark)).select("page", "header_y", F.concat_ws("|", F.col("columns.text")).alias("columns"))
+    return headers(fixture(spark, sf_dir)).select(*PAGE, "header_y", F.concat_ws("|", F.col("columns.text")).alias("columns"))
 
 
 def src5_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return renamed(rows_of(fixture(spark)))
+    """SRC1-SRC6 end to end: the orders, read back from the pages they were set on."""
+    return renamed(rows_of(fixture(spark, sf_dir)))
 
 
 def src7_image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,3 +179,17 @@ def src7_image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (src2_headers, src5_rows, src7_image_pages)}
+
+
+_ORDERS = f"""SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS day, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount, o_orderstatus = 'O' AS paid_in, o_custkey % {STATEMENTS} AS statement,
+       row_number() OVER (PARTITION BY o_custkey % {STATEMENTS} ORDER BY CAST(o_orderdate AS DATE), o_orderkey) - 1 AS nth FROM orders"""
+
+#: What the pages must read back as, from the orders alone.
+ORACLES = {
+    "src2_headers": f"""SELECT DISTINCT statement, CAST(nth // {ROWS} + 1 AS INTEGER) AS page, CAST(38 AS DOUBLE) AS header_y, 'Date|Narration|Withdrawal Amount|Deposit Amount|Balance' AS columns
+FROM ({_ORDERS}) AS o WHERE (nth // {ROWS}) % 3 = 0""",
+    "src5_rows": f"""SELECT statement, CAST(nth // {ROWS} + 1 AS INTEGER) AS page, CAST(nth % {ROWS} + 1 AS INTEGER) AS row_no, day AS date,
+       day || ' Order ' || o_orderkey || CASE WHEN o_orderkey % 4 = 0 THEN ' ref ' || o_orderkey ELSE '' END AS description,
+       CASE WHEN paid_in THEN '' ELSE amount END AS debit, CASE WHEN paid_in THEN amount ELSE '' END AS credit, (o_orderkey * 10) || '.00' AS balance FROM ({_ORDERS}) AS o""",
+    "src7_image_pages": "SELECT page_id, length(regexp_replace(html, '<[^>]*>|\\s', '', 'g')) < 50 AS is_image FROM pages",
+}

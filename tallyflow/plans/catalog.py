@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: statement(n, DUCK) for n in names()} | incremental.ORACLES | independent()
+    return {n: statement(n, DUCK) for n in names()} | incremental.ORACLES | layout.ORACLES | independent()
