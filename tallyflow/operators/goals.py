@@ -46,11 +46,15 @@ def chance(steps: np.ndarray, target: float) -> float:
     return float((np.cumsum(steps, axis=1).max(axis=1) >= target).mean())
 
 
+def least_shifts(steps: np.ndarray, target: float) -> np.ndarray:
+    """Of each path, by how much its every month must rise so that it once reaches the target."""
+    return ((target - np.cumsum(steps, axis=1)) / np.arange(1, steps.shape[1] + 1)).min(axis=1)
+
+
 def needed(fit: Fit, steps: np.ndarray, target: float, share: float) -> int:
     """GA6: the mean surplus at which ``share`` of the paths arrive. A shift of the mean moves a
     path's every month alike, so each path has its least shift, and the answer is their quantile."""
-    months = np.arange(1, steps.shape[1] + 1)
-    shift = ((target - np.cumsum(steps, axis=1)) / months).min(axis=1)
+    shift = least_shifts(steps, target)
     return int(np.floor(fit.centre + np.sort(shift)[max(0, int(np.ceil(share * len(shift))) - 1)] + 0.5))
 
 
@@ -100,6 +104,27 @@ def bands(goals: DataFrame, paths: int = 500, bins: int = 50) -> DataFrame:
     return goals.mapInPandas(run, "goal_id long, part string, k long, a double, b double, c double")
 
 
+def sensitivity(goals: DataFrame, points: int = 40, paths: int = 2000) -> DataFrame:
+    """GA6: the chance of arrival by mean surplus, at points from below today's (or what the target asks
+    for, less a deviation) to above the surplus that nine paths in ten arrive with."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for g in frame.itertuples(index=False):
+                if g.months <= 0 or len(g.net) < 6:
+                    continue
+                fit = Fit(np.asarray(g.net, float))
+                steps = fit.draw(np.random.default_rng(int(g.goal_id) & 0xFFFFFFFF), (max(paths, 3000), int(g.months)))
+                first = min(fit.centre - fit.std / 2, g.target / g.months - fit.std)
+                at = np.linspace(first, needed(fit, steps[:3000], g.target, 0.9) + 0.3 * fit.std, points)
+                least = np.sort(least_shifts(steps[:paths], g.target))
+                out += [(g.goal_id, k, float(np.floor(x + 0.5)), float(n / paths)) for k, (x, n) in enumerate(zip(at, np.searchsorted(least, at - fit.centre, "right"), strict=True))]
+            yield pd.DataFrame(out, columns=["goal_id", "k", "surplus", "probability"])
+
+    return goals.mapInPandas(run, "goal_id long, k long, surplus double, probability double")
+
+
 def goals_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two goals for each user: to save, and to spend less."""
     monthly = query("monthly")(spark, sf_dir)
@@ -117,6 +142,10 @@ def ga5_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands(goals_of(spark, sf_dir).filter("kind = 'accumulate'"))
 
 
+def ga6_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sensitivity(goals_of(spark, sf_dir).filter("kind = 'accumulate'"))
+
+
 def ga10_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GA10: rules that take a sentence as a goal; a pluggable stand-in for the model."""
     text = F.lower("text")
@@ -127,6 +156,6 @@ def ga10_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (ga_goals, ga5_bands, ga10_gate)}
+    return {f.__name__: f for f in (ga_goals, ga5_bands, ga6_sensitivity, ga10_gate)}
 
 

@@ -142,8 +142,7 @@ SELECT user_id, CASE WHEN gain > 0 THEN 'good' ELSE 'bad' END AS side, label, ki
     WHERE abs(recent - prior) >= 500 AND abs(recent - prior) / greatest(prior, recent, 1e0) >= 0.15e0) AS c WHERE gain <> 0) AS r WHERE rn = 1"""
 
 
-@relation
-def health_inputs(d: Spark) -> str:
+def _health_inputs(months: str) -> str:
     def med(x: str) -> str:
         return f"max(CASE WHEN rn_{x} = least(CAST(floor(0.5 * n) AS BIGINT) + 1, n) THEN {x} END)"
 
@@ -152,19 +151,28 @@ SELECT m.user_id, m.months, m.deficits, m.shortfall, m.med_income, m.med_expense
 FROM (SELECT user_id, count(*) AS months, count(CASE WHEN net < 0 THEN 1 END) AS deficits, avg(CASE WHEN net < 0 THEN -net END) AS shortfall, {med('income')} AS med_income, {med('expenses')} AS med_expenses, {med('rate')} AS med_rate,
              avg(net) AS mean_net, coalesce(stddev_samp(net), 0e0) AS std_net
       FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY income) AS rn_income, row_number() OVER (PARTITION BY user_id ORDER BY expenses) AS rn_expenses,
-                   row_number() OVER (PARTITION BY user_id ORDER BY rate) AS rn_rate FROM monthly) AS r GROUP BY user_id) AS m
+                   row_number() OVER (PARTITION BY user_id ORDER BY rate) AS rn_rate FROM {months}) AS r GROUP BY user_id) AS m
 LEFT JOIN exposure e ON m.user_id = e.user_id LEFT JOIN ag27_recurring_summary s ON m.user_id = s.user_id"""
 
 
 @relation
-def health_drivers(d: Spark) -> str:
-    """HS1-HS4."""
+def health_inputs(d: Spark) -> str:
+    return _health_inputs("monthly")
+
+
+def _health_drivers(inputs: str) -> str:
     cv = "CASE WHEN abs(mean_net) > 0 THEN std_net / abs(mean_net) END"
     return f"""
 SELECT user_id, {band('med_rate', 0, 30)} AS savings,
        0.6e0 * {band(f"{dbl('deficits')} / months", 0.5, 0)} + 0.4e0 * CASE WHEN {cv} IS NULL THEN 50e0 ELSE {band(cv, 2, 0.5)} END AS cash_flow,
        greatest(0e0, {band('CASE WHEN med_expenses > 0 THEN exposure / med_expenses ELSE 0e0 END', 1, 0)} - least(20, high * 4)) AS money_at_risk,
-       CASE WHEN med_income > 0 THEN {band('committed / CASE WHEN med_income > 0 THEN med_income ELSE 1e0 END', 0.6, 0.2)} ELSE 50e0 END AS committed_spending FROM health_inputs"""
+       CASE WHEN med_income > 0 THEN {band('committed / CASE WHEN med_income > 0 THEN med_income ELSE 1e0 END', 0.6, 0.2)} ELSE 50e0 END AS committed_spending FROM {inputs}"""
+
+
+@relation
+def health_drivers(d: Spark) -> str:
+    """HS1-HS4."""
+    return _health_drivers("health_inputs")
 
 
 @relation
@@ -183,14 +191,75 @@ SELECT user_id, score, CASE WHEN score >= 70 THEN 'low' WHEN score >= 45 THEN 'm
        {js_round('money_at_risk * 0.25e0')} AS risk_part, {js_round('committed_spending * 0.15e0')} AS committed_part FROM (SELECT *, {js_round(f'round({TOTAL}, 9)')} AS score FROM health_drivers) AS h"""
 
 
+@relation
+def planned_months(d: Spark) -> str:
+    """Every month as it would have been with the plan's bounded impact; users without a projection keep theirs."""
+    return """
+SELECT m.user_id, m.month, m.month_idx, m.income, m.expenses, m.net + coalesce(p.uplift, 0e0) AS net,
+       CASE WHEN coalesce(p.uplift, 0e0) > 0 AND m.income > 0 THEN (m.net + p.uplift) / m.income * 100 ELSE m.rate END AS rate
+FROM monthly m LEFT JOIN (SELECT user_id, greatest(CAST(with_plan - per_month AS DOUBLE), 0e0) AS uplift FROM plan) AS p ON p.user_id = m.user_id"""
+
+
+@relation
+def planned_inputs(d: Spark) -> str:
+    return _health_inputs("planned_months")
+
+
+@relation
+def planned_drivers(d: Spark) -> str:
+    return _health_drivers("planned_inputs")
+
+
+@relation
+def hs5_after_plan(d: Spark) -> str:
+    """The same score over the planned months, beside the score as it is."""
+    after = js_round(f"round({TOTAL}, 9)")
+    return f"""
+SELECT a.user_id, h.score, a.after, a.after - h.score AS gain, CASE WHEN a.after >= 70 THEN 'low' WHEN a.after >= 45 THEN 'medium' ELSE 'high' END AS risk_after
+FROM (SELECT user_id, {after} AS after FROM planned_drivers) AS a JOIN hs5_health h ON h.user_id = a.user_id"""
+
+
+@relation
+def months_before(d: Spark) -> str:
+    """What the report before this one knew: all months but the last."""
+    return "SELECT user_id, month, month_idx, income, expenses, net, rate FROM recent_months WHERE back > 1"
+
+
+@relation
+def inputs_before(d: Spark) -> str:
+    return _health_inputs("months_before")
+
+
+@relation
+def drivers_before(d: Spark) -> str:
+    return _health_drivers("inputs_before")
+
+
+#: The drivers' keys with their weights.
+WEIGHTS = {"savings": 0.3, "cash_flow": 0.3, "money_at_risk": 0.25, "committed_spending": 0.15}
+
+
+def _by_driver(rows: str) -> str:
+    return " UNION ALL ".join(f"SELECT user_id, '{k}' AS driver, {js_round(f'round({k} * {w}e0, 9)')} AS contribution FROM {rows}" for k, w in WEIGHTS.items())
+
+
+@relation
+def hs5_driver_trends(d: Spark) -> str:
+    """JN11: each driver's movement since the report before, matched by its key; null without one."""
+    return f"""
+SELECT n.user_id, n.driver, n.contribution, n.contribution - o.contribution AS trend
+FROM ({_by_driver('health_drivers')}) AS n LEFT JOIN ({_by_driver('drivers_before')}) AS o ON o.user_id = n.user_id AND o.driver = n.driver"""
+
+
 @relation
 def recommendations(d: Spark) -> str:
     """Stand-ins for the advisor's list: a tenth off each of a user's three largest categories, a
-    claim beyond any ceiling, and one without a category."""
+    claim beyond any ceiling, one without a category, and one that names a known payee."""
     return """
-SELECT user_id, concat('trim-', category) AS slug, category, CASE WHEN rn = 1 THEN 1e9 ELSE total / 10 / months END AS claimed FROM (
+SELECT user_id, concat('trim-', category) AS slug, category, CASE WHEN rn = 1 THEN 1e9 ELSE total / 10 / months END AS claimed, concat('Spend a tenth less on ', category) AS action FROM (
   SELECT user_id, category, CAST(sum(spend) AS DOUBLE) AS total, count(*) AS months, row_number() OVER (PARTITION BY user_id ORDER BY sum(spend) DESC, category) AS rn FROM monthly_category GROUP BY user_id, category) AS c WHERE rn <= 3
-UNION ALL SELECT DISTINCT user_id, 'move-idle-cash', CAST(NULL AS STRING), 750e0 FROM month_totals"""
+UNION ALL SELECT DISTINCT user_id, 'move-idle-cash', CAST(NULL AS STRING), 750e0, 'Move idle cash' FROM month_totals
+UNION ALL SELECT user_id, 'pay-less', min(category), 500e0, concat('Log transfers to ', min(payee), ' and send less') FROM recurring WHERE payee IS NOT NULL AND category IS NOT NULL GROUP BY user_id"""
 
 
 @relation
@@ -224,22 +293,40 @@ FROM (SELECT r.user_id, r.net, q.q3 > q.q1 AND r.net < q.q1 - 1.5e0 * (q.q3 - q.
 JOIN (SELECT user_id, coalesce(stddev_samp(net), 0e0) AS std, {js_round('CAST(sum(CAST(net AS DECIMAL(18,2))) AS DOUBLE)')} AS anchor, max(month_idx) AS last_idx FROM monthly GROUP BY user_id HAVING count(*) >= 3) AS s ON s.user_id = w.user_id GROUP BY w.user_id"""
 
 
+@relation
+def plan(d: Spark) -> str:
+    """Of users with three months or more: the baseline, and the baseline with all bounded impacts, rounded."""
+    return f"""
+SELECT b.user_id, b.per_month, b.std, b.anchor, b.last_idx, p.impact, {js_round('round(b.per_month + p.impact, 9)')} AS with_plan
+FROM baseline b JOIN (SELECT user_id, sum(impact) AS impact FROM bounded GROUP BY user_id) AS p ON p.user_id = b.user_id"""
+
+
 @relation
 def rp3_projection(d: Spark) -> str:
     """Twelve months of the baseline with its tenth and ninetieth percentiles, and of the plan."""
     return f"""
 SELECT user_id, k AS month_no, last_idx + k AS month_idx, anchor + per_month * k AS baseline_p50, {js_round('round(anchor + per_month * k - 1.2816e0 * std * sqrt(k), 4)')} AS baseline_p10,
-       {js_round('round(anchor + per_month * k + 1.2816e0 * std * sqrt(k), 4)')} AS baseline_p90, {js_round('round(anchor + (per_month + plan) * k, 4)')} AS plan_p50
-FROM (SELECT b.user_id, b.per_month, b.std, b.anchor, b.last_idx, p.plan, CAST(v.k AS INTEGER) AS k FROM baseline b JOIN (SELECT user_id, sum(impact) AS plan FROM bounded GROUP BY user_id) AS p ON p.user_id = b.user_id
-      CROSS JOIN (SELECT {d.count_up('1', '12')} AS k) AS v) AS g"""
+       {js_round('round(anchor + per_month * k + 1.2816e0 * std * sqrt(k), 4)')} AS baseline_p90, anchor + with_plan * k AS plan_p50
+FROM (SELECT p.*, CAST(v.k AS INTEGER) AS k FROM plan p CROSS JOIN (SELECT {d.count_up('1', '12')} AS k) AS v) AS g"""
+
+
+@relation
+def rp3_by_recommendation(d: Spark) -> str:
+    """Each recommendation's own twelve months, what it saves in a year, and the whole plan's gap by then."""
+    return f"""
+SELECT g.user_id, g.slug, g.k AS month_no, {js_round('round(g.anchor + (g.per_month + g.impact) * g.k, 4)')} AS p50, {js_round('round(g.impact, 6)')} AS impact, {js_round('round(g.impact * 12, 6)')} AS annual_impact, c.confidence, {js_round('round(g.total * 12, 4)')} AS gap_12m
+FROM (SELECT b.user_id, b.slug, b.impact, p.anchor, p.per_month, p.impact AS total, CAST(v.k AS INTEGER) AS k FROM bounded b JOIN plan p ON p.user_id = b.user_id CROSS JOIN (SELECT {d.count_up('1', '12')} AS k) AS v) AS g
+JOIN rp2_confidence c ON c.user_id = g.user_id AND c.slug = g.slug"""
 
 
 @relation
 def rv1_valid_recommendations(d: Spark) -> str:
-    """Only categories seen in the last six months that are not one-off events."""
-    return """
+    """Only categories seen in the last six months that are not one-off events, and no known payee named
+    (FN24: all of the name's words of three letters or more stand in the text). One without a category stays."""
+    return f"""
 SELECT r.user_id, r.slug FROM recommendations r WHERE r.category IS NULL OR (
   EXISTS (SELECT 1 FROM monthly_category c JOIN recent_months m ON m.user_id = c.user_id AND m.month_idx = c.month_idx WHERE m.back <= 6 AND c.user_id = r.user_id AND c.category = r.category)
+  AND NOT EXISTS (SELECT 1 FROM recurring p WHERE p.user_id = r.user_id AND p.payee IS NOT NULL AND {d.all_words('lower(p.payee)', 'lower(r.action)')})
   AND NOT EXISTS (SELECT 1 FROM financial_context x WHERE x.user_id = r.user_id AND x.category = r.category AND x.classification = 'event'))"""
 
 
@@ -252,6 +339,43 @@ FROM hs5_health h JOIN health_inputs i ON i.user_id = h.user_id LEFT JOIN (SELEC
 LEFT JOIN (SELECT user_id, plan_p50 FROM rp3_projection WHERE month_no = 12) AS p ON p.user_id = h.user_id"""
 
 
+@relation
+def ir1_chart(d: Spark) -> str:
+    """The report's monthly chart rows."""
+    return f"""
+SELECT m.user_id, m.month, m.income, m.expenses, m.net AS net_savings, {r6('m.rate')} AS savings_rate, c.closing_balance, t.total_refunds, t.refund_count
+FROM monthly m JOIN ag02_month_totals c ON c.user_id = m.user_id AND c.month = m.month JOIN ag04_refunds t ON t.user_id = m.user_id AND t.month = m.month"""
+
+
+@relation
+def ir2_depths(d: Spark) -> str:
+    """A report at each depth: the score always; the first recommendation or all; charts from the summary
+    on; forecasts in full only; and the plan that unlocks the next depth."""
+    return """
+SELECT r.user_id, x.depth, r.score, r.risk, r.tier, CASE x.level WHEN 1 THEN least(v.n, 1) ELSE v.n END AS recommendations, CASE WHEN x.level > 1 THEN CAST(r.months AS DOUBLE) END AS chart_months, CASE WHEN x.level = 3 THEN CAST(r.plan_12m AS DOUBLE) END AS plan_12m,
+       x.level < 3 AS redacted, CASE x.level WHEN 1 THEN 'glow' WHEN 2 THEN 'radiant' END AS unlocked_by
+FROM ir1_report r JOIN (SELECT user_id, count(*) AS n FROM rv1_valid_recommendations GROUP BY user_id) AS v ON v.user_id = r.user_id
+CROSS JOIN (SELECT * FROM (VALUES ('headline', 1), ('summary', 2), ('full', 3)) AS t(depth, level)) AS x"""
+
+
+@relation
+def plans(d: Spark) -> str:
+    """PL1's catalogue, fixed values: monthly price, price a month by the year, statements and goals
+    (null: any number), depth of reports."""
+    return """
+SELECT * FROM (VALUES ('first', 0, 0, 1, 0, 'headline'), ('glow', 499, 399, CAST(NULL AS INTEGER), 0, 'summary'), ('radiant', 999, 799, NULL, CAST(NULL AS INTEGER), 'full')) AS t(plan, monthly, annual, statements, goals, depth)"""
+
+
+@relation
+def pl1_entitlements(d: Spark) -> str:
+    """Each customer's plan by name; an unknown name reads as the free plan. May the next statement come in?"""
+    return """
+SELECT u.c_custkey, p.plan, p.monthly, p.depth, coalesce(u.used < p.statements, true) AS may_upload
+FROM (SELECT c.c_custkey, CASE WHEN k.plan IS NULL THEN 'first' ELSE k.plan END AS plan, coalesce(o.used, 0) AS used
+      FROM (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'glow' WHEN 'MACHINERY' THEN 'radiant' ELSE lower(c_mktsegment) END AS named FROM customer) AS c LEFT JOIN plans k ON k.plan = c.named
+      LEFT JOIN (SELECT o_custkey, count(*) AS used FROM orders GROUP BY o_custkey) AS o ON o.o_custkey = c.c_custkey) AS u JOIN plans p ON p.plan = u.plan"""
+
+
 @relation
 def ir2_headline(d: Spark) -> str:
     """FN25: the least depth of a report; forecasts and drivers are left out."""

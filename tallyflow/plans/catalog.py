@@ -14,7 +14,7 @@ from .oracles import independent
 from .relations import DUCK, RELATIONS, query, statement
 
 #: Relations that are results of their own, by the operator's identifier.
-RESULT = re.compile(r"^(ag|wn|ry|cd|rec|fl|so|st|jn|bh|cx|tr|hs|rp|rv|ir|nrm|fn|src)\d*_|^(order_categories|event_days)$")
+RESULT = re.compile(r"^(ag|wn|ry|cd|rec|fl|so|st|jn|bh|cx|tr|hs|rp|rv|ir|pl|nrm|fn|src)\d*_|^(order_categories|event_days)$")
 
 
 def names() -> list[str]:

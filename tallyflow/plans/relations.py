@@ -59,6 +59,11 @@ class Spark:
     def words(self, x: str) -> str:
         return f"split({x}, ' ')"
 
+    def all_words(self, name: str, text: str) -> str:
+        """Are all words of three letters or more of the name in the text, and is there one?"""
+        long = f"filter(split({name}, r'\\s+'), w -> length(w) >= 3)"
+        return f"(size({long}) > 0 AND forall({long}, w -> contains({text}, w)))"
+
 
 class Duck(Spark):
     name = "duckdb"
@@ -99,6 +104,10 @@ class Duck(Spark):
     def words(self, x: str) -> str:
         return f"string_split({x}, ' ')"
 
+    def all_words(self, name: str, text: str) -> str:
+        long = f"list_filter(regexp_split_to_array({name}, '\\s+'), lambda w: length(w) >= 3)"
+        return f"(len({long}) > 0 AND len(list_filter({long}, lambda w: NOT contains({text}, w))) = 0)"
+
 
 SPARK, DUCK = Spark(), Duck()
 RELATIONS: dict[str, Callable[[Spark], str]] = {}
@@ -116,6 +125,8 @@ def _needs(sql: str, own: str, given: frozenset[str]) -> list[str]:
 
 def statement(name: str, dialect: Spark, given: frozenset[str] = frozenset()) -> str:
     """The relation with all those below it as one WITH statement."""
+    if name not in RELATIONS:
+        from . import catalog  # noqa: F401  importing it registers all relations
     parts: dict[str, str] = {}
 
     def add(n: str) -> None:
@@ -199,6 +210,7 @@ def kept(spark: SparkSession, sf_dir: str, name: str, state: tuple) -> DataFrame
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, state: tuple | None = None) -> DataFrame:
+    statement(name, SPARK)
     marts = _below(name)
     sql = statement(name, SPARK, frozenset(marts))
     used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", sql)]
