@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from ..plans.relations import Spark, dbl, mart, nearest_rank, r6, ranked, relation
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.relations import DUCK, Spark, dbl, mart, nearest_rank, query, r6, ranked, relation, statement
 from ..sources.adapters import ESSENTIALS, INVESTMENT, SUBSCRIPTION, TRANSFER, names
 
 #: The words of a fee, penalty or interest charge, in any case and anywhere.
@@ -118,12 +121,23 @@ def rec5_credit_cluster(d: Spark) -> str:
     return _rec("type = 'credit' AND cluster_key IS NOT NULL")
 
 
+@mart()
+def affected_months(d: Spark) -> str:
+    """The months that new statements touched, an input of a run: here each user's last two."""
+    return "SELECT DISTINCT m.user_id, m.month FROM month_totals m JOIN user_span s ON m.user_id = s.user_id WHERE m.month_idx >= s.last_idx - 1"
+
+
+@relation
+def run_months(d: Spark) -> str:
+    return "SELECT user_id, month FROM affected_months"
+
+
 @relation
 def rec6_gate(d: Spark) -> str:
-    """JN3, REC6: patterns of the counterparties seen in the last two months, over full history."""
+    """JN3, REC6: patterns of the counterparties seen in the affected months, over full history."""
     return f"""
 SELECT user_id, type, merchant, payee, {r6('amount')} AS amount, months FROM recurring r WHERE EXISTS (
-  SELECT 1 FROM ledger e JOIN user_span s ON e.user_id = s.user_id WHERE e.user_id = r.user_id AND e.month_idx >= s.last_idx - 1 AND coalesce(e.merchant, e.payee) = coalesce(r.merchant, r.payee))"""
+  SELECT 1 FROM ledger e JOIN affected_months a ON e.user_id = a.user_id AND e.month = a.month WHERE e.user_id = r.user_id AND coalesce(e.merchant, e.payee) = coalesce(r.merchant, r.payee))"""
 
 
 @relation
@@ -180,6 +194,20 @@ SPEND = "coalesce(merchant, payee, description)"
 LABEL_ = "coalesce(merchant, payee, cluster_id)"
 
 
+#: Kinds of flags that are found over full history, whatever the months of a run.
+GLOBAL_KINDS = ("subscription_price_hike", "balance_risk")
+
+
+@relation
+def detector_months(d: Spark) -> str:
+    """The months a run of the detectors looks into (all but those of the global kinds): by default all."""
+    return "SELECT user_id, month FROM month_totals"
+
+
+def _looked_into(rows: str) -> str:
+    return f"EXISTS (SELECT 1 FROM detector_months s WHERE s.user_id = {rows}.user_id AND s.month = {rows}.month)"
+
+
 def _first(order: str, most: int, body: str) -> str:
     return f"SELECT {COLUMNS}, detector FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS rn FROM ({body}) AS b) AS t WHERE rn <= {most}"
 
@@ -190,7 +218,7 @@ def fl1_duplicates(d: Spark) -> str:
     return _first("unit DESC, dedupe_key", 40, f"""
 SELECT user_id, concat('duplicate_charge:', cluster_id, ':', CAST(CAST(debit AS DECIMAL(18,2)) AS STRING), ':', month) AS dedupe_key, 'duplicate_charge' AS kind, 'high' AS severity, month,
        min(txn_id) AS txn_id, cluster_id, min({LABEL_}) AS label, min(category) AS category, {dbl('debit')} * (count(*) - 1) AS amount, {dbl('debit')} AS unit, 1 AS detector
-FROM ledger WHERE debit > 1000 AND cluster_id IS NOT NULL GROUP BY user_id, cluster_id, debit, month HAVING count(*) >= 2""")
+FROM ledger l WHERE debit > 1000 AND cluster_id IS NOT NULL AND {_looked_into('l')} GROUP BY user_id, cluster_id, debit, month HAVING count(*) >= 2""")
 
 
 @relation
@@ -204,7 +232,7 @@ def fl2_outliers(d: Spark) -> str:
     return _first("amount DESC, dedupe_key", 40, f"""
 SELECT l.user_id, concat('merchant_outlier:', l.txn_id) AS dedupe_key, 'merchant_outlier' AS kind, CASE WHEN {dbl('l.debit')} / m.med >= 5 THEN 'high' ELSE 'medium' END AS severity, l.month,
        l.txn_id, l.cluster_id, {SPEND} AS label, coalesce(l.category, 'Other') AS category, {dbl('l.debit')} AS amount, 2 AS detector
-FROM ledger l JOIN cluster_medians m ON l.user_id = m.user_id AND l.cluster_id = m.cluster_id WHERE m.med > 0 AND {dbl('l.debit')} / m.med >= 3 AND l.debit >= 1000""")
+FROM ledger l JOIN cluster_medians m ON l.user_id = m.user_id AND l.cluster_id = m.cluster_id WHERE m.med > 0 AND {dbl('l.debit')} / m.med >= 3 AND l.debit >= 1000 AND {_looked_into('l')}""")
 
 
 @relation
@@ -214,7 +242,7 @@ def fl3_spike_contributors(d: Spark) -> str:
 SELECT {COLUMNS}, detector FROM (
   SELECT e.user_id, concat('category_spike_contributor:', e.txn_id) AS dedupe_key, 'category_spike_contributor' AS kind, 'medium' AS severity, e.month, e.txn_id, CAST(NULL AS STRING) AS cluster_id,
          coalesce(e.merchant, e.payee, 'unnamed') AS label, e.category, {dbl('e.debit')} AS amount, 3 AS detector, row_number() OVER (PARTITION BY e.user_id, e.month, e.category ORDER BY e.debit DESC, e.txn_id) AS rn
-  FROM enriched e JOIN category_trend t ON t.user_id = e.user_id AND t.month = e.month AND t.category = e.category WHERE t.spiked AND e.debit > 0) AS r WHERE rn <= 3"""
+  FROM enriched e JOIN category_trend t ON t.user_id = e.user_id AND t.month = e.month AND t.category = e.category WHERE t.spiked AND e.debit > 0 AND {_looked_into('e')}) AS r WHERE rn <= 3"""
 
 
 @relation
@@ -222,7 +250,7 @@ def fl4_fees(d: Spark) -> str:
     """NRM26, FN1."""
     return _first("amount DESC, dedupe_key", 40, f"""
 SELECT user_id, concat('fee_or_interest:', txn_id) AS dedupe_key, 'fee_or_interest' AS kind, CASE WHEN debit > 500 THEN 'high' ELSE 'medium' END AS severity, month, txn_id, CAST(NULL AS STRING) AS cluster_id,
-       {SPEND} AS label, coalesce(category, 'Other') AS category, {dbl('debit')} AS amount, 4 AS detector FROM ledger WHERE debit > 0 AND {d.matches('description', '(?i)' + '|'.join(FEES))}""")
+       {SPEND} AS label, coalesce(category, 'Other') AS category, {dbl('debit')} AS amount, 4 AS detector FROM ledger l WHERE debit > 0 AND {d.matches('description', '(?i)' + '|'.join(FEES))} AND {_looked_into('l')}""")
 
 
 @relation
@@ -255,7 +283,7 @@ def fl7_opaque_transfers(d: Spark) -> str:
     return _first("amount DESC, dedupe_key", 25, f"""
 SELECT l.user_id, concat('large_opaque_transfer:', l.txn_id) AS dedupe_key, 'large_opaque_transfer' AS kind, 'medium' AS severity, l.month, l.txn_id, CAST(NULL AS STRING) AS cluster_id, {SPEND} AS label,
        l.category, {dbl('l.debit')} AS amount, 7 AS detector FROM ledger l JOIN (
-  {ranked('user_id', 'debit', 'ledger WHERE debit > 0', 0.95)}) AS q ON l.user_id = q.user_id WHERE q.n >= 20 AND l.category = '{TRANSFER}' AND l.debit > q.x""")
+  {ranked('user_id', 'debit', 'ledger WHERE debit > 0', 0.95)}) AS q ON l.user_id = q.user_id WHERE q.n >= 20 AND l.category = '{TRANSFER}' AND l.debit > q.x AND {_looked_into('l')}""")
 
 
 DETECTORS = ("fl1_duplicates", "fl2_outliers", "fl3_spike_contributors", "fl4_fees", "fl5_price_hikes", "fl6_balance_risk", "fl7_opaque_transfers")
@@ -338,3 +366,32 @@ def jn4_flag_transactions(d: Spark) -> str:
 def st_cluster_pool(d: Spark) -> str:
     """ST3, ST4: counterparties of debits that no flag names."""
     return "SELECT DISTINCT l.user_id, l.cluster_id FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM flags f WHERE f.user_id = l.user_id AND f.cluster_id = l.cluster_id)"
+
+
+def replaced_flags(old: DataFrame, new: DataFrame, months: DataFrame) -> DataFrame:
+    """SNK4 over flags: of the users in ``months`` (user_id, month), flags in those months and all of the
+    global kinds go, whatever their keys; ``new`` comes in. Replaying it changes nothing."""
+    looked, users = months.select("user_id", "month").distinct(), months.select("user_id").distinct()
+    left = old.filter(~F.col("kind").isin(*GLOBAL_KINDS)).join(looked, ["user_id", "month"], "left_anti")
+    others = old.filter(F.col("kind").isin(*GLOBAL_KINDS)).join(users, "user_id", "left_anti")
+    return left.select(new.columns).unionByName(others.select(new.columns)).unionByName(new)
+
+
+def snk4_replaced_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All flags after a run over the affected months: a run has caps of its own, so it may find more."""
+    months = query("run_months")(spark, sf_dir)
+    out = replaced_flags(query("flags")(spark, sf_dir), query("flags", detector_months=months)(spark, sf_dir), months)
+    return out.select("user_id", "dedupe_key", "kind", "month", "severity", F.round("amount", 6).alias("amount"))
+
+
+def queries() -> dict:
+    return {"snk4_replaced_flags": snk4_replaced_flags}
+
+
+def oracles() -> dict[str, str]:
+    kinds = names(GLOBAL_KINDS)
+    return {"snk4_replaced_flags": f"""WITH old AS ({statement('flags', DUCK)}), months AS ({statement('affected_months', DUCK)}),
+new AS ({statement('flags', DUCK, swap={'detector_months': 'affected_months'})})
+SELECT user_id, dedupe_key, kind, month, severity, round(amount, 6) AS amount FROM (
+  SELECT {COLUMNS} FROM old WHERE CASE WHEN kind IN ({kinds}) THEN user_id NOT IN (SELECT user_id FROM months) ELSE (user_id, month) NOT IN (SELECT (user_id, month) FROM months) END
+  UNION ALL SELECT {COLUMNS} FROM new) AS f"""}

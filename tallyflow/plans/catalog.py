@@ -23,10 +23,10 @@ def names() -> list[str]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {n: query(n) for n in names()}
-    for module in (payees, goals, layout, incremental):
+    for module in (payees, goals, layout, recurring, incremental):
         out |= module.queries()
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: statement(n, DUCK) for n in names()} | incremental.ORACLES | layout.ORACLES | independent()
+    return {n: statement(n, DUCK) for n in names()} | incremental.ORACLES | layout.ORACLES | recurring.oracles() | independent()

@@ -123,14 +123,15 @@ def _needs(sql: str, own: str, given: frozenset[str]) -> list[str]:
     return [n for n in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql)) if n in RELATIONS and n != own and n not in given]
 
 
-def statement(name: str, dialect: Spark, given: frozenset[str] = frozenset()) -> str:
-    """The relation with all those below it as one WITH statement."""
+def statement(name: str, dialect: Spark, given: frozenset[str] = frozenset(), swap: dict[str, str] | None = None) -> str:
+    """The relation with all those below it as one WITH statement; ``swap`` reads other relations
+    under the names of some."""
     if name not in RELATIONS:
         from . import catalog  # noqa: F401  importing it registers all relations
     parts: dict[str, str] = {}
 
     def add(n: str) -> None:
-        sql = RELATIONS[n](dialect).strip()
+        sql = f"SELECT * FROM {swap[n]}" if swap and n in swap else RELATIONS[n](dialect).strip()
         for other in _needs(sql, n, given):
             if other not in parts:
                 add(other)
@@ -209,22 +210,24 @@ def kept(spark: SparkSession, sf_dir: str, name: str, state: tuple) -> DataFrame
     return _written[key]
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str, state: tuple | None = None) -> DataFrame:
+def _read(spark: SparkSession, sf_dir: str, name: str, state: tuple | None = None, own: dict[str, DataFrame] | None = None) -> DataFrame:
     statement(name, SPARK)
-    marts = _below(name)
-    sql = statement(name, SPARK, frozenset(marts))
+    own = own or {}
+    marts = [m for m in _below(name) if m not in own]
+    sql = statement(name, SPARK, frozenset([*marts, *own]))
     used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", sql)]
     if marts and state is None:
         state = _state(spark, sf_dir, [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", statement(name, SPARK))])
     given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used} | {m: kept(spark, sf_dir, m, state) for m in marts}
-    return build(spark, name, **given)
+    return build(spark, name, **given | own)
 
 
-def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    """The relation over the tables of a folder, by way of the marts below it."""
+def query(name: str, **own: DataFrame) -> Callable[[SparkSession, str], DataFrame]:
+    """The relation over the tables of a folder, by way of the marts below it. ``own`` frames take the
+    place of relations that no mart below it reads."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _read(spark, sf_dir, name)
+        return _read(spark, sf_dir, name, own=own)
 
     return run
 

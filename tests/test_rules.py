@@ -110,3 +110,24 @@ def test_statement_files(spark):
     about = {r.statement: (r.bank, r.last4) for r in details(lines, {"Ostrava": "ostrava", "Lima": "bank of lima"}).collect()}
     assert about["a"] == ("Ostrava", "4821") and about["d"] == (None, None)
     assert {r.statement for r in reloaded(lines, files.select(F.col("path").alias("statement")).filter("path = 'a'")).collect()} == {"a"}
+
+
+def test_flags_of_a_run_replace_those_in_its_scope(spark):
+    from tallyflow.operators.recurring import COLUMNS, replaced_flags
+
+    def flags(*rows):
+        return spark.createDataFrame([(u, k, kind, "high", m, None, None, "x", "y", 1.0) for u, k, kind, m in rows], "user_id int, dedupe_key string, kind string, severity string, month string, txn_id string, cluster_id string, label string, category string, amount double").select(*COLUMNS.split(", "))
+
+    old = flags((1, "a", "fee_or_interest", "2024-01"), (1, "b", "fee_or_interest", "2024-02"), (1, "c", "balance_risk", "2023-01"), (2, "d", "balance_risk", "2024-02"), (2, "e", "fee_or_interest", "2024-02"), (1, "n", "fee_or_interest", None))
+    new = flags((1, "z", "fee_or_interest", "2024-02"), (1, "y", "balance_risk", "2024-02"))
+    months = spark.createDataFrame([(1, "2024-02"), (1, "2024-02")], "user_id int, month string")
+    once = replaced_flags(old, new, months)
+    assert sorted(r.dedupe_key for r in once.collect()) == ["a", "d", "e", "n", "y", "z"]
+    assert sorted(map(str, replaced_flags(once, new, months).collect())) == sorted(map(str, once.collect()))
+
+
+def test_detectors_look_into_the_months_of_their_run(spark):
+    ledger = spark.createDataFrame([(1, f"t{m}", f"2024-0{m}", 600) for m in (1, 2, 3)], "user_id int, txn_id string, month string, x int").selectExpr(
+        "user_id", "txn_id", "month", "CAST(x AS DECIMAL(18,2)) AS debit", "'LATE FEE' AS description", "CAST(NULL AS STRING) AS merchant", "CAST(NULL AS STRING) AS payee", "CAST(NULL AS STRING) AS category")
+    months = spark.createDataFrame([(1, "2024-02"), (2, "2024-01")], "user_id int, month string")
+    assert [(r.txn_id, r.severity) for r in build(spark, "fl4_fees", ledger=ledger, detector_months=months).collect()] == [("t2", "high")]
