@@ -245,11 +245,11 @@ LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) AS s
 
 @relation
 def jn9_knn(d: Spark) -> str:
-    """CL6's join: the three most similar vectors of the same label, for vectors with an id divisible by 25."""
+    """CL6's join: the three most similar vectors of the same label, for the query set of a search: every id divisible by 20."""
     dot = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)))" if d.name == "duckdb" else "aggregate(zip_with(a.embedding, b.embedding, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, v) -> s + v)"
     return f"""
 SELECT vec_id, other, {r6('score')} AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, other) AS INTEGER) AS place FROM (
-  SELECT a.vec_id, b.vec_id AS other, {dot} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0) AS s) AS r WHERE place <= 3"""
+  SELECT a.vec_id, b.vec_id AS other, {dot} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) AS s) AS r WHERE place <= 3"""
 
 
 @relation
