@@ -65,8 +65,9 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 def parsed_date(d: Spark, x: str) -> str:
     """NRM12, NRM13: forms in turn; days and months beyond the calendar roll on; null if none fits."""
     num = lambda p, g: f"try_cast(nullif({d.extract(x, p, g)}, '') AS INTEGER)"
-    year = lambda p, g: f"CASE WHEN {num(p, g)} >= 100 THEN {num(p, g)} WHEN {num(p, g)} > 50 THEN 1900 + {num(p, g)} ELSE 2000 + {num(p, g)} END"
-    word = lambda p, g: "CASE " + " ".join(f"WHEN lower(substr({d.extract(x, p, g)}, 1, 3)) = '{m}' THEN {i}" for i, m in enumerate(MONTHS, 1)) + " END"
+    year = lambda p, g: f"{num(p, g)} + CASE WHEN {num(p, g)} >= 100 THEN 0 WHEN {num(p, g)} > 50 THEN 1900 ELSE 2000 END"
+    # a month's place in ",jan,feb,...": one search, as the text of twelve comparisons outgrows generated code
+    word = lambda p, g: f"CAST((nullif(position(concat(',', lower(substr({d.extract(x, p, g)}, 1, 3))) IN ',{','.join(MONTHS)}'), 0) + 3) / 4 AS INTEGER)"
     dmy, iso = "^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{2,4})", "^([0-9]{4})-([0-9]{2})-([0-9]{2})"
     dmon, mond = "^([0-9]{1,2}) ([A-Za-z]{3,9}),? ([0-9]{2,4})", "^([A-Za-z]{3,9}) ([0-9]{1,2}), ([0-9]{4})"
     return f"""CASE WHEN {d.matches(x, iso)} THEN {d.rolled(num(iso, 1), num(iso, 2), num(iso, 3))} WHEN {d.matches(x, dmy)} THEN {d.rolled(f'({year(dmy, 3)})', num(dmy, 2), num(dmy, 1))}
