@@ -176,35 +176,36 @@ def dominated(count: np.ndarray, fill: tuple[int, ...], waste: int) -> bool:
 
 def all_fillings(count: np.ndarray, room: int, most: int) -> Iterator[tuple[int, ...]]:
     """Every undominated filling of ``room`` that wastes at most ``most``, one at a time: pieces are
-    taken in falling order, the longest first."""
-    sizes = np.flatnonzero(count[: room + 1])[::-1].tolist()
-    if not sizes:
-        if room <= most:
-            yield ()
-        return
-    if sizes[0] == room:  # dominates every other
+    taken in falling order, the longest first. Between two fillings nothing but the pieces taken is kept,
+    as a search holds thousands of these; ``count`` must then be what it was before."""
+    if room and count[room]:  # dominates every other
         yield (room,)
         return
-    fill: list[int] = []  # indexes into sizes
-    used = [0] * len(sizes)
-    space, i = room, 0
+    fill: list[int] = []
+
+    def longest(end: int) -> int:
+        """The longest piece left of at most ``end``; 0 if there is none."""
+        while end > 0:
+            end -= int((count[end::-1] > 0).argmax())
+            if end <= 0 or count[end] <= 0:
+                return 0
+            if count[end] > fill.count(end):
+                return end
+            end -= 1
+        return 0
+
+    space = end = room
     while True:
-        while i < len(sizes) and (sizes[i] > space or used[i] >= count[sizes[i]]):
-            i += 1
-        if i < len(sizes):
-            fill.append(i)
-            used[i] += 1
-            space -= sizes[i]
-            continue
-        own = tuple(sizes[j] for j in fill)
+        while piece := longest(min(space, end)):
+            fill.append(piece)
+            space, end = space - piece, piece
+        own = tuple(fill)
         if space <= most and not dominated(count, own, space):
             yield own
         if not fill:
             return
-        i = fill.pop()
-        used[i] -= 1
-        space += sizes[i]
-        i += 1
+        end = fill.pop()
+        space, end = space + end, end - 1
 
 
 def fillings(count: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
@@ -301,9 +302,20 @@ def _search(count: np.ndarray, capacity: int, total: int, floor: int, best: list
         top = int(np.flatnonzero(count)[-1])
         rest = count.copy()
         rest[top] -= 1
-        tries = all_fillings(rest, capacity - top, max(0, spare - waste)) if wide else iter(fillings(rest, capacity - top, width))
+        tries = without(top, max(0, spare - waste)) if wide else iter(fillings(rest, capacity - top, width))
         return [tries, top, False]
 
+    def without(top: int, most: int) -> Iterator[tuple[int, ...]]:
+        """Fillings beside a piece that is out of the counts only while the next one is sought."""
+        tries = all_fillings(count, capacity - top, most)
+        while True:
+            count[top] -= 1
+            fill = next(tries, None)
+            count[top] += 1
+            if fill is None:
+                return
+            yield fill
+
     stack.append(level())
     while stack and nodes:
         now = stack[-1]

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -108,6 +109,24 @@ def test_every_letter_below_u0250_has_its_ids():
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_a_search_of_many_sequences_holds_little():
+    """Pairs that leave too little for a third: the bound on sequences is out of reach, all of the nodes are searched."""
+    rnd = random.Random(0)
+    sizes = [rnd.randrange(1400, 2100) for _ in range(9000)]
+    tracemalloc.start()
+    try:
+        plan = packing.plan(collections.Counter(sizes), 4096, nodes=4000)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    used = collections.Counter()
+    for items, n in plan:
+        assert sum(items) <= 4096
+        for x in items:
+            used[x] += n
+    assert used == collections.Counter(sizes) and peak < 40e6  # 165 MB with a copy of the counts for each sequence
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_all_undominated_fillings_are_enumerated(seed):
     rnd = random.Random(seed)
