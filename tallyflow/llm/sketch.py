@@ -1,8 +1,8 @@
-"""A count-min sketch over the anchors of sliding windows.
+"""Which anchors of sliding windows are repeated, as a filter of a fixed size.
 
 A window of ``width`` values holds ``width - gram + 1`` grams; its anchor is the one of least
 hash (the leftmost on ties). Equal windows have equal anchors at equal distances, so a
-window occurs at most as often as its anchor's gram is an anchor: the sketch of anchors
+window occurs at most as often as its anchor's gram is an anchor: counting anchors
 overestimates windows too, and never loses a repeated one, with far fewer keys.
 """
 
@@ -20,6 +20,7 @@ from .textscan import Powers, mix, rolling, sliding_min
 
 DEPTH = 2
 BLOCK = 20  # cells of a block, as a power of two
+REST = 40  # bits by which anchors of one block are told apart
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -39,20 +40,35 @@ class Anchors:
         self.keys = grams[self.anchor[self.first]]
 
     def hot(self, bits: int, maps: np.ndarray) -> np.ndarray:
-        """For each run whether the sketch says that its anchor is repeated."""
+        """For each run whether the filter says that its anchor is repeated."""
         out = np.ones(len(self.keys), bool)
+        block, rest = _named(self.keys, bits)
         for d in range(DEPTH):
-            cell = mix(self.keys, 60 + d) >> np.uint64(64 - bits)
+            cell = (block << np.uint64(min(BLOCK, bits))) | _cell(rest, d, bits)
             out &= (maps[d][(cell >> np.uint64(3)).astype(np.int64)] >> (7 - (cell & np.uint64(7))).astype(np.uint8)) & 1 > 0
         return out
 
 
+def _named(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block of each key, and the ``REST`` bits that stand for it there."""
+    mixed = mix(keys, 60)
+    high = max(0, bits - BLOCK)
+    return mixed >> np.uint64(64 - high) if high else np.zeros_like(mixed), mixed & np.uint64((1 << REST) - 1)
+
+
+def _cell(rest: np.ndarray, d: int, bits: int) -> np.ndarray:
+    """A key's cell within its block, another part of its bits in each row."""
+    return (rest >> np.uint64(d * REST // DEPTH)) & np.uint64((1 << min(BLOCK, bits)) - 1)
+
+
 def repeated_cells(texts: DataFrame, scan: Callable[[], Callable[[pa.Array], Iterator[Anchors]]], bits: int, flush: int = 2_000_000) -> np.ndarray:
-    """Bit maps (DEPTH x 2**bits) of the cells that all partitions' sketches together count twice.
+    """Bit maps (DEPTH x 2**bits) that hold the anchors which all partitions together meet twice.
 
-    ``texts`` has one string column. A task sends its cells in blocks whenever it holds
-    ``flush`` anchors; blocks are summed where they meet, up to 2, and come back as bits:
-    DEPTH * 2**bits / 8 bytes for the driver and each worker, whatever the input.
+    ``texts`` has one string column. A task sends the bits that tell its anchors apart in blocks
+    whenever it holds ``flush`` of them, none more than twice. Where a block meets, its anchors are
+    put in order, and those met twice alone take a cell in each row: what is met once, most
+    of any text, fills no cell. The maps are DEPTH * 2**bits / 8 bytes for the driver and each worker,
+    whatever the input. Two anchors count as one if ``bits - BLOCK + REST`` bits agree.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,15 +77,14 @@ def repeated_cells(texts: DataFrame, scan: Callable[[], Callable[[pa.Array], Ite
         size = 0
 
         def out() -> pa.RecordBatch:
-            keys = np.concatenate(held)
-            blocks, cells = [], []
-            for d in range(DEPTH):
-                cell = np.sort((mix(keys, 60 + d) >> np.uint64(64 - bits)).astype(np.int64))
-                edge = np.flatnonzero(np.diff(cell >> BLOCK, prepend=-1))
-                for a, b in zip(edge, np.append(edge[1:], len(cell)), strict=True):
-                    blocks.append((d << 20) + int(cell[a] >> BLOCK))
-                    cells.append((cell[a:b] & ((1 << BLOCK) - 1)).astype("<u4").tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(cells, pa.binary())], ["block", "cells"])
+            block, rest = _named(np.concatenate(held), bits)
+            both = np.sort((block << np.uint64(REST)) | rest)
+            both = both[np.concatenate([[True] * min(2, len(both)), both[2:] != both[:-2]])]
+            block = (both >> np.uint64(REST)).astype(np.int32)
+            edge = np.flatnonzero(np.diff(block, prepend=-1))
+            rests = both.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, : REST // 8]
+            own = [rests[a:b].tobytes() for a, b in zip(edge, np.append(edge[1:], len(both)), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(block[edge]), pa.array(own, pa.binary())], ["block", "anchors"])
 
         for batch in batches:
             for found in read(batch.column(0)):
@@ -82,22 +97,30 @@ def repeated_cells(texts: DataFrame, scan: Callable[[], Callable[[pa.Array], Ite
             yield out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        met: dict[int, list[bytes]] = {}
         for batch in batches:
-            for block, cells in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                own = sums.setdefault(block, np.zeros(1 << BLOCK, np.uint8))
-                cell, n = np.unique(np.frombuffer(cells, "<u4"), return_counts=True)
-                own[cell] = np.minimum(own[cell] + np.minimum(n, 2), 2)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(np.packbits(x > 1).tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "bits"])
-
-    sent = texts.mapInArrow(send, "block int, cells binary")
+            for block, anchors in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                met.setdefault(block, []).append(anchors)
+        while met:
+            block, parts = met.popitem()
+            rests = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, REST // 8)
+            wide = np.zeros((len(rests), 8), np.uint8)
+            wide[:, : REST // 8] = rests
+            own = np.sort(wide.view("<u8").ravel())
+            twice = own[1:][own[1:] == own[:-1]]
+            if len(twice):
+                row = np.zeros((DEPTH, 1 << min(BLOCK, bits)), bool)
+                for d in range(DEPTH):
+                    row[d, _cell(twice, d, bits).astype(np.int64)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(np.packbits(row).tobytes(), 1)], pa.binary())], ["block", "bits"])
+
+    sent = texts.mapInArrow(send, "block int, anchors binary")
     met = written(sent.repartition(partitions(texts.sparkSession), "block").mapInArrow(merge, "block int, bits binary"), "sketch-bits")
     maps = np.zeros((DEPTH, (1 << bits) // 8), np.uint8)
-    size = (1 << BLOCK) // 8
+    size = (1 << min(BLOCK, bits)) // 8
     for r in met.toLocalIterator():
-        k = (r["block"] & ((1 << 20) - 1)) * size
-        maps[r["block"] >> 20, k : k + size] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+        k = r["block"] * size
+        maps[:, k : k + size] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8).reshape(DEPTH, size)
     forget(met)
     return maps
 

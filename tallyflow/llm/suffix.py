@@ -248,9 +248,9 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, bits: int = 28, shar
     owner = F.coalesce(F.col("doc_id"), F.lit(LAST))
     sure = plain.filter(F.col("text").isNotNull()).select(F.col(id_).alias("_node"), owner.alias("_d"), "text")
     copies = written(sure.groupBy("_node").agg(F.count("*").alias("_n"), F.min("_d").alias("_first")).filter("_n > 1").select("_node", "_first"), "byte-copies")
-    maps = repeated_cells(sure.select("text"), byte_windows(width, gram), bits)
-    shared = docs.sparkSession.sparkContext.broadcast(maps)
     spoken = sure.join(copies, "_node", "left").filter(F.col("_first").isNull() | (F.col("_d") == F.col("_first")))
+    maps = repeated_cells(spoken.select("text"), byte_windows(width, gram), bits)
+    shared = docs.sparkSession.sparkContext.broadcast(maps)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments by the number of their row; each numbered row also comes with its text's name."""

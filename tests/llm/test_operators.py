@@ -10,12 +10,15 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyflow.llm import langid, linededup, lmscore, mixing, neardup, packing, quality, substring, suffix, topk
 from tallyflow.llm.queries import tokenizer_path
+from tallyflow.llm.sketch import Anchors, repeated_cells
 from tallyflow.llm.suffix import least_owner, suffix_array
+from tallyflow.llm.textscan import Powers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KINDS = "doc_id long, text string, lang string, source string, n_chars long, size string, score string"
@@ -275,6 +278,22 @@ def test_repeated_bytes(docs, rows, empty, crowd):
     assert suffix.remove_repeated_bytes(empty, 50, 20).count() == 0
 
 
+def test_the_filter_holds_only_what_is_repeated(spark):
+    """More anchors than the filter has cells; a copy of a text, which speaks through the other, repeats nothing."""
+    rnd = random.Random(4)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    found = ["".join(rnd.choice("abcdefgh ") for _ in range(500)) for _ in range(400)]
+    found[7], found[300] = found[7] + passage, passage + found[300]
+    made = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    maps = repeated_cells(made.select("text"), suffix.byte_windows(50, 24), 12)
+    _, off, data = pa.array([passage, "".join(found[20:60])]).buffers()
+    met = [Anchors(np.frombuffer(data, np.uint8)[lo:hi].astype(np.uint64), np.array([0, hi - lo]), 50, 24, Powers()).hot(12, maps).mean() for lo, hi in itertools.pairwise(np.frombuffer(off, np.int32))]
+    assert met[0] == 1 and met[1] < 0.02
+    copies = spark.createDataFrame([*enumerate(found), (999, found[20])], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix.remove_repeated_bytes(copies, 50, 12).collect()}
+    assert got == dict.fromkeys(range(400), 0) | {300: 300, 999: 500}
+
+
 def test_a_crowded_anchor_is_split(spark):
     """Many texts with one line between parts of their own, some of which repeat, against brute force."""
     rnd = random.Random(3)
