@@ -3,14 +3,21 @@
 A reader (``sources/statements.py``) gives one row for each line of text: (statement, page, block,
 block_y, line, line_y, x, width, text). A block is a few lines that stand together, ``block_y`` its
 upper edge; ``block`` and ``line`` count in reading order. Everything of one page is one bounded
-array, so that the rules that go by what came before are higher-order functions, not Python.
+array. Headers and pages' bodies are found by higher-order functions over it; rows and columns go by what
+came before, line by line, and are read from Arrow batches of whole pages.
 Lines without text or height take no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .normalize import DATE
 
@@ -78,7 +85,8 @@ def headers(lines: DataFrame) -> DataFrame:
         more = F.transform(F.filter("wrapped", lambda w: nearest(w["x"]) == i), lambda w: F.trim(w["text"]))
         return F.struct(h["x"].alias("x"), i.alias("place"), (h["x"] + h["width"]).alias("end_x"), F.trim(F.concat_ws(" ", F.trim(h["text"]), F.concat_ws(" ", more))).alias("text"))
 
-    levels = _blocks(lines).withColumn("levels", F.aggregate("ls", F.array().cast("array<double>"), joined))
+    dates = F.exists("ls", lambda v: v["text"].rlike(r"(?i)\bdate\b"))
+    levels = _blocks(lines).filter((F.size("ls") >= LEAST) & dates).withColumn("levels", F.aggregate("ls", F.array().cast("array<double>"), joined))
     counts = F.transform("levels", lambda k, i: F.struct(F.size(F.filter("ls", lambda v: level(v["line_y"]) == k)).alias("n"), (-i).alias("first"), k.alias("y")))
     anchored = levels.withColumn("anchor", F.array_max(counts)).filter(F.col("anchor.n") >= LEAST).withColumn("heads", F.filter("ls", lambda v: level(v["line_y"]) == F.col("anchor.y")))
     dated = anchored.filter(F.exists("heads", lambda h: h["text"].rlike(r"(?i)\bdate\b")))
@@ -113,17 +121,90 @@ def body(lines: DataFrame) -> DataFrame:
     return begun.select(*PAGE, "columns", flat.alias("ls"))
 
 
-def reading_order(pages: DataFrame) -> DataFrame:
-    """SRC4: a page's lines from top to bottom; those less than two units below the first of them go
-    from left to right."""
-
-    def begun(ks: Column, y: Column) -> Column:
-        return F.when(y - F.element_at(ks, -1) < NEAR, ks).otherwise(F.concat(ks, F.array(y)))
-
-    ys = F.array_sort(F.transform("ls", lambda v: v["line_y"]))
-    tops = pages.filter(F.size("ls") > 0).withColumn("tops", F.aggregate(F.slice(ys, 2, F.size(ys)), F.slice(ys, 1, 1), begun))
-    placed = F.transform("ls", lambda v: F.struct(F.array_max(F.filter("tops", lambda t: t <= v["line_y"])).alias("top"), v["x"].alias("x"), v["line_y"].alias("line_y"), v["block"].alias("block"), v["line"].alias("line"), v["text"].alias("text")))
-    return tops.select(*PAGE, "columns", F.array_sort(placed).alias("ls"))
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Nulls come before everything, as in Spark's order of structs."""
+    return column.cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+
+
+def _begun(ys: list[float]) -> list[int]:
+    """Of places in order, those that stand two units or more from the last of them."""
+    out: list[int] = []
+    for i, y in enumerate(ys):
+        if not out or not abs(y - ys[out[-1]]) < NEAR:
+            out.append(i)
+    return out
+
+
+def reading_order(off: np.ndarray, y: np.ndarray, x: np.ndarray, block: np.ndarray, line: np.ndarray, text: pa.Array) -> np.ndarray:
+    """SRC4: the order of the lines of pages ``off``, each from top to bottom; those less than two units
+    below the first of them go from left to right."""
+    page = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    down = np.lexsort((y, page))
+    begins = np.zeros(len(y), np.int64)
+    for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        begins[[lo + i for i in _begun(y[down[lo:hi]].tolist())]] = 1
+    top = np.empty(len(y), np.int64)
+    top[down] = np.cumsum(begins)
+    order = np.lexsort((line, block, y, x, top))
+    keys = [k[order] for k in (top, x, y, block, line)]
+    tied = np.flatnonzero(np.logical_and.reduce([k[1:] == k[:-1] for k in keys]))
+    if len(tied):  # lines of one number and place
+        runs = np.split(tied, np.flatnonzero(np.diff(tied) > 1) + 1)
+        for run in runs:
+            own = order[run[0] : run[-1] + 2].tolist()
+            order[run[0] : run[-1] + 2] = sorted(own, key=lambda i: text[i].as_py().encode())
+    return order
+
+
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Page, number and cells of the rows of a batch of pages (.., columns, ls)."""
+    columns, ls = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+    off = np.asarray(ls.offsets).astype(np.int64)
+    flat = ls.values.slice(off[0], off[-1] - off[0])
+    off = off - off[0]
+    page = np.repeat(np.arange(batch.num_rows), np.diff(off))
+    y, x, block, line = (_numbers(flat.field(c)) for c in ("line_y", "x", "block", "line"))
+    order = reading_order(off, y, x, block, line, flat.field("text"))
+    y, x, text, blank = y[order], x[order], flat.field("text").take(pa.array(order)), np.asarray(flat.field("x").is_null())[order]
+    dated = np.flatnonzero(flat.field("dated").fill_null(False).to_numpy(zero_copy_only=False)[order])
+    opens = np.zeros(len(y), np.int64)
+    edge = np.searchsorted(dated, off)
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        own = dated[lo:hi]
+        opens[own[_begun(y[own].tolist())]] = 1
+    row = np.cumsum(opens)
+    before = np.concatenate([[0], row])[off[:-1]]
+    number = row - before[page]
+
+    # a page's columns: where they end, and the first that has the same text
+    heads = np.asarray(columns.offsets).astype(np.int64)
+    wide = np.diff(heads)
+    ends, same, names = np.full((len(wide), wide.max()), -np.inf), np.zeros((len(wide), wide.max()), np.int64), []
+    where = _numbers(columns.values.field("end_x"))
+    titles = columns.values.field("text").to_pylist()
+    for i, (lo, n) in enumerate(zip(heads[:-1].tolist(), wide.tolist(), strict=True)):
+        own = dict.fromkeys(titles[lo : lo + n])
+        names.append(list(own))
+        own = {t: k for k, t in enumerate(own)}
+        ends[i, :n], same[i, :n] = where[lo : lo + n], [own[t] for t in titles[lo : lo + n]]
+    here = number > 0
+    page, x, blank, row, text = page[here], x[here], blank[here], row[here] - 1, text.filter(pa.array(here))
+    fits = (ends[page] > x[:, None]) & ~blank[:, None]
+    column = np.where(fits.any(axis=1), same[page, fits.argmax(axis=1)], 0)
+    left = np.flatnonzero(column == 0)
+    again = left[1:][row[left[1:]] == row[left[:-1]]]
+    again = again[wide[page[again]] > 1]
+    column[again] = same[page[again], 1] if len(again) else 0
+
+    first = np.flatnonzero(opens)
+    of = np.repeat(np.arange(batch.num_rows), np.diff(off))[first]
+    cells = np.concatenate([[0], np.cumsum(np.array([len(n) for n in names], np.int64)[of])])
+    place = cells[row] + column
+    sizes = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=cells[-1]))])
+    texts = text.take(pa.array(np.argsort(place, kind="stable"))).cast(pa.large_string())
+    values = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(sizes), texts), pa.scalar(" ", pa.large_string()))
+    keys = pa.array([t for i in of.tolist() for t in names[i]], pa.string())
+    return of, number[first], pa.MapArray.from_arrays(pa.array(cells, pa.int32()), keys, values.cast(pa.string()))
 
 
 def rows_of(lines: DataFrame) -> DataFrame:
@@ -131,21 +212,20 @@ def rows_of(lines: DataFrame) -> DataFrame:
     from the date that opened the one before; what precedes the first goes. A line belongs to the first
     column that ends right of where it starts, else to the leftmost; the leftmost holds one value, any
     other moves to the next column."""
-    pages = reading_order(body(lines))
-    dates = F.filter(F.transform("ls", lambda v, i: F.struct(i.alias("i"), v["line_y"].alias("y"), is_date(v["text"]).alias("dated"))), lambda v: v["dated"])
-
-    def opened(os: Column, v: Column) -> Column:
-        return F.when(F.abs(v["y"] - F.element_at(os, -1)["y"]) < NEAR, os).otherwise(F.concat(os, F.array(v)))
-
-    opens = pages.withColumn("dates", dates).withColumn("opens", F.aggregate(F.slice("dates", 2, F.size("dates")), F.slice("dates", 1, 1), opened))
-    each = opens.select(*PAGE, "columns", "opens", F.posexplode("ls").alias("pos", "l")).withColumn("row_no", F.size(F.filter("opens", lambda o: o["i"] <= F.col("pos")))).filter("row_no > 0")
-    left = F.col("columns")[0]["text"]
-    found = F.coalesce(F.get(F.filter("columns", lambda c: c["end_x"] > F.col("l.x")), F.lit(0))["text"], left)
-    nth = F.row_number().over(Window.partitionBy(*PAGE, "row_no", "found").orderBy("pos"))
-    named = each.withColumn("found", found).withColumn("nth", nth).withColumn("column", F.when((F.col("found") == left) & (F.col("nth") > 1) & (F.size("columns") > 1), F.col("columns")[1]["text"]).otherwise(F.col("found")))
-    rows = named.groupBy(*PAGE, "row_no").agg(F.first("columns").alias("columns"), F.sort_array(F.collect_list(F.struct("pos", "column", F.col("l.text").alias("text")))).alias("ls"))
-    cells = F.transform(F.array_distinct(F.transform("columns", lambda c: c["text"])), lambda t: F.struct(t.alias("column"), F.concat_ws(" ", F.transform(F.filter("ls", lambda v: v["column"] == t), lambda v: v["text"])).alias("value")))
-    return rows.select(*PAGE, "row_no", F.map_from_entries(cells).alias("cells"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                part = part.filter(pc.greater(pc.list_value_length(part.column(part.num_columns - 1)), 0))
+                if part.num_rows:
+                    of, number, cells = _read(part)
+                    yield pa.RecordBatch.from_arrays([*[part.column(k).take(pa.array(of)) for k in range(len(PAGE))], pa.array(number.astype(np.int32)), cells], [*PAGE, "row_no", "cells"])
+
+    ls = F.transform("ls", lambda v: F.struct(*[v[c].alias(c) for c in ("line_y", "x", "block", "line", "text")], is_date(v["text"]).alias("dated")))
+    pages = body(lines).select(*PAGE, F.transform("columns", lambda c: F.struct(c["end_x"].alias("end_x"), c["text"].alias("text"))).alias("columns"), ls.alias("ls"))
+    kinds = T.StructType([*[pages.schema[c] for c in PAGE], T.StructField("row_no", T.IntegerType()), T.StructField("cells", T.MapType(T.StringType(), T.StringType()))])
+    return pages.mapInArrow(read, kinds)
 
 
 #: NRM1: canonical names of columns by the words their headers may hold; a pluggable stand-in.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from tallyflow.operators.layout import headers, rows_of, unreadable
@@ -50,6 +52,18 @@ def test_rows_and_columns(pages):
     }
 
 
+def test_a_long_page_is_read_line_by_line(spark):
+    """Each row's work must not grow with the page; lines of one number and place go by their text."""
+    lines = block(1, 0, 38, HEAD)
+    for k in range(1500):
+        lines += block(1, 1 + k, 100 + 20 * k, [*row(100 + 20 * k, "03/02/2024", f"a{k}", "1.00", "9.00"), (110 + 20 * k, 81, 40, "more")])
+    lines += [(*lines[-1][:4], 4, lines[-1][5], 81.0, w, t) for w, t in ((5.0, "z"), (9.0, "b"))]
+    pages = spark.createDataFrame(lines, LINE)
+    began = time.time()
+    got = {r.row_no: r.cells["Details of it"] for r in rows_of(pages).collect()}
+    assert got == {k + 1: f"a{k} more" for k in range(1499)} | {1500: "a1499 b more z"} and time.time() - began < 30
+
+
 def test_no_lines(pages):
     none = pages.filter("false")
     assert headers(none).count() == 0 and rows_of(none).count() == 0 and unreadable(none).count() == 0
