@@ -102,22 +102,46 @@ def similar(x: np.ndarray, y: np.ndarray, k: int, least: float, powers: Powers)
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the least node of each connected component of the links (x, y).
 
-    Least labels pass over the links and along themselves until nothing changes; each round is a
-    written table, and joins on a hot node are left to skew-aware sort-merge joins.
+    Each node points to its least neighbour, if that is less, and on to where that leads; the links
+    between what then has one label go, the rest link labels. At least half of the labels go each
+    round, and the links of a hot node with the first; joins on it are left to skew-aware sort-merge joins.
     """
-    edges = written(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "link-edges")
-    state = written(edges.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("comp")), "link-labels")
-    while True:
-        near = edges.join(state.select(F.col("node").alias("y"), "comp"), "y").groupBy("x").agg(F.min("comp").alias("m"))
-        low = state.join(near, state["node"] == near["x"]).select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
-        low = written(low, "link-labels")
-        jump = low.join(low.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp")
-        new = written(jump.select("node", F.least("comp", "next").alias("comp"), (F.least("comp", "next") != F.col("old")).alias("moved")), "link-labels")
-        forget(state, low)
+    edges = written(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x != y").distinct(), "link-edges")
+    state = None
+    while edges.limit(1).count():
+        low = written(edges.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("comp")), "link-labels")
+        while True:
+            jump = low.join(low.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp")
+            new = written(jump.select("node", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved")), "link-labels")
+            forget(low)
+            low = new
+            if not low.filter("moved").limit(1).count():
+                break
+        kept = edges.join(low.select(F.col("node").alias("x"), F.col("comp").alias("a")), "x").join(low.select(F.col("node").alias("y"), F.col("comp").alias("b")), "y")
+        kept = written(kept.filter("a != b").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct(), "link-edges")
+        forget(edges)
+        edges = kept
+        new = low.select("node", "comp") if state is None else written(_led(state, low), "link-labels")
+        new._written_at = low._written_at if state is None else new._written_at
+        if state is not None:
+            forget(state, low)
         state = new
-        if not state.filter("moved").limit(1).count():
-            forget(edges)
-            return state.select("node", "comp")
+    forget(edges)
+    return links.select(F.col("x").alias("node"), F.col("x").alias("comp")).limit(0) if state is None else state
+
+
+def _led(labels: DataFrame, on: DataFrame) -> DataFrame:
+    """Labels, replaced by where ``on`` leads them."""
+    return labels.join(on.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
+
+
+def with_more(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, comp) when more links come; the links' ends meet under their labels."""
+    x, y = (labels.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}")) for c in ("x", "y"))
+    ends = links.join(x, "x", "left").join(y, "y", "left").select(F.coalesce("_x", "x").alias("x"), F.coalesce("_y", "y").alias("y"))
+    roots = written(components(written(ends, "link-ends")), "link-roots")
+    new = roots.select("node", F.col("node").alias("comp")).join(labels.select("node"), "node", "left_anti")
+    return written(_led(labels.unionByName(new), roots), "link-labels")
 
 
 def _apart_bits(a: str, b: str) -> Column:
@@ -227,8 +251,8 @@ def _classes(sure: DataFrame, f: str, g: str, k: int, least: float, bands: int,
     more = written(texts.near(more, least).join(pairs, ["x", "y"], "left_anti"), "omh-pairs")
     if more.limit(1).count():
         found = written(texts.similar(more, least), "omh-links")
-        links = links.unionByName(found)
-        labels = components(links) if links.limit(1).count() else None
+        if found.limit(1).count():
+            labels = components(found) if labels is None else with_more(labels, found)
     each = texts.table.select("node", "f", "g", "first")
     if labels is None:
         return each.select("f", "g", F.col("first").alias("class_id"), "first", F.lit(True).alias("chosen"))

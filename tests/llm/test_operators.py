@@ -278,6 +278,28 @@ def test_repeated_bytes(docs, rows, empty, crowd):
     assert suffix.remove_repeated_bytes(empty, 50, 20).count() == 0
 
 
+def test_components(spark):
+    """Chains, stars and single links, all at once and in two parts, against a union by hand."""
+    rnd = random.Random(6)
+    ids = rnd.sample(range(10_000), 900)
+    links = [*itertools.pairwise(ids[:60]), *[(ids[100], i) for i in ids[101:500]], *[(rnd.choice(ids[500:]), rnd.choice(ids[500:])) for _ in range(250)], (ids[5], ids[5])]
+    want = {i: i for x in links for i in x}
+    for _ in range(len(links)):
+        before = dict(want)
+        for x, y in links:
+            want[x] = want[y] = min(want[x], want[y])
+        if want == before:
+            break
+    own = spark.createDataFrame(links, "x long, y long")
+    alone = {x for x, y in links if x == y and sum(x in z for z in links) == 1}
+    got = {r.node: r.comp for r in neardup.components(own).collect()}
+    assert got == {k: v for k, v in want.items() if k not in alone}
+    rnd.shuffle(links)
+    first, more = (spark.createDataFrame(x, "x long, y long") for x in (links[:300], links[300:]))
+    found = {r.node: r.comp for r in neardup.with_more(neardup.components(first), more).collect()}
+    assert found | {k: want[k] for k in alone} == want
+
+
 def test_the_filter_holds_only_what_is_repeated(spark):
     """More anchors than the filter has cells; a copy of a text, which speaks through the other, repeats nothing."""
     rnd = random.Random(4)
