@@ -238,10 +238,7 @@ def _classes(sure: DataFrame, f: str, g: str, k: int, least: float, bands: int,
     full = written(texts.bands().groupBy("band", "key").agg(F.count("*").alias("many")).filter("many > 1"), "omh-buckets")
     held = written(texts.bands().join(full, ["band", "key"]), "omh-members")
     forget(full)
-    # the leader of a bucket stands in the middle: its own keys are those that most others have
-    weight = held.groupBy("node").agg(F.sum("many").alias("weight"))
-    lead = held.select("band", "key", "node").join(weight, "node").groupBy("band", "key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
-    lead = written(lead, "omh-leaders")
+    lead = written(_leaders(held, texts), "omh-leaders")
     texts.fetch(held.select("node").distinct())
     pairs = held.select("band", "key", "node").join(lead, ["band", "key"]).filter("node != leader")
     pairs = written(texts.near(pairs.select(F.least("leader", "node").alias("x"), F.greatest("leader", "node").alias("y")), least), "omh-pairs")
@@ -264,6 +261,20 @@ def _classes(sure: DataFrame, f: str, g: str, k: int, least: float, bands: int,
     return written(each.select("f", "g", F.when(own, F.col("first")).otherwise(F.col("class_id")).alias("class_id"), "first", (own | (F.col("chosen") == F.col("node"))).alias("chosen")), "omh-each")
 
 
+def _leaders(held: DataFrame, texts: Texts) -> DataFrame:
+    """(band, key, leader): the member in the middle of each bucket.
+
+    Its own keys are those that most others have. In a large group many texts have all of these, and
+    are far from each other where no key looks: of them, the one whose parity is the commonest, by 32 bits.
+    """
+    own = written(held.groupBy("node").agg(F.sum("many").alias("weight")).join(texts.slim, "node"), "omh-weights")
+    halves = F.flatten(F.transform("sig", lambda x: F.array(x.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(x, 32))))
+    bits = own.select("node", F.posexplode(halves).alias("at", "bits")).filter("bits != 0")
+    votes = bits.join(bits.groupBy("at", "bits").agg(F.count("*").alias("many")), ["at", "bits"]).groupBy("node").agg(F.sum("many").alias("votes"))
+    ranks = own.select("node", "weight").join(votes, "node", "left").select("node", F.struct("weight", F.coalesce("votes", F.lit(0)).alias("votes"), "node").alias("rank"))
+    return held.select("band", "key", "node").join(ranks, "node").groupBy("band", "key").agg(F.max_by("node", "rank").alias("leader"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 12, size: int = 3, whole: int = 50) -> DataFrame:
     """Add class_id to every row, replacing a column of this name.
 
@@ -275,8 +286,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
     empty table gives none.
 
     Candidates agree on a band: an order MinHash of ``size`` k-mers. In each bucket all members
-    meet one leader, the member whose bands are the commonest: in a group of near copies that is
-    the text they all stem from, or the one closest to it. Two members near enough to the middle to
+    meet one leader, the member whose bands are the commonest, and of several such the one whose
+    parity is: in a group of near copies that is the text they all stem from, or the one closest to it. Two members near enough to the middle to
     be similar on that account alone are both similar to it. Buckets still in several components
     are then settled (``_apart``): one of at most ``whole`` texts is compared whole, the texts of
     larger ones by their rarest shingles, which loses no link. Pairs whose numbers of shingles or

@@ -486,6 +486,26 @@ def test_near_duplicates_that_share_a_passage(spark, whole):
     assert {r.doc_id: r.class_id for r in got.collect()} == {i: top(i) for i in range(len(found))}
 
 
+def test_leaders_of_large_groups_stand_in_the_middle(spark, monkeypatch):
+    """Many near copies have all keys of the text they stem from, and some are far from it elsewhere:
+    led by one of these, a group leaves most of its texts to be compared with all others."""
+    rnd = random.Random(3)
+    found = []
+    for i in range(6):
+        base = [f"g{i}w{rnd.randrange(5000)}" for _ in range(150)]
+        found += [(i, [w if j not in cut else f"z{rnd.randrange(10**6)}" for j, w in enumerate(base)]) for n in range(160) for cut in [rnd.sample(range(150), min(n, 1 + n % 3))]]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for _, w in found]
+    least = list(range(len(found)))
+    for a, b in itertools.combinations(range(len(found)), 2):
+        if found[a][0] == found[b][0] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and least[a] != least[b]:
+            least = [min(least[a], least[b]) if x in (least[a], least[b]) else x for x in least]
+    compared, similar = [], neardup.Texts.similar
+    monkeypatch.setattr(neardup.Texts, "similar", lambda self, pairs, share: compared.append(pairs.count()) or similar(self, pairs, share))
+    got = neardup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, (_, w) in enumerate(found)], "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(least))
+    assert sum(compared[1:]) < len(found), compared
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_banded_alignment(seed):
     rnd = random.Random(seed)
